@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import langid, quality
+from ledgerloom.llm import html_text, langid, packing, quality, records, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,34 @@ def fold(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2("text", 256).alias("key"))
+    out = sharding.pack_shards(rows, "key", "size", shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(fold(4) != 2))
     return langid.identify(docs.select("doc_id", (fold(4) == 2).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.with_words(docs))
+
+
+def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = records.write_records(table(spark, sf_dir, "documents").select("doc_id", "text"), records.tokenizer_path())
+    return records.read_records(manifest)
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold(3) != 1)
@@ -29,7 +51,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_language": op3_language, "op8_quality": op8_quality}
+    return {
+        "op2_sharding": op2_sharding,
+        "op3_language": op3_language,
+        "op4_packing": op4_packing,
+        "op5_records": op5_records,
+        "op6_html": op6_html,
+        "op8_quality": op8_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
