@@ -130,3 +130,23 @@ def spanning(pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
             label = new
     i = np.flatnonzero(label != np.arange(n))
     return i, label[i]
+
+
+def sorted_groups(batches, keys: int):
+    """Tables of the rows that agree in the first `keys` columns, from batches sorted by these columns. Only the group
+    at hand is in memory."""
+    held, held_key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            key = tuple(c[a] for c in columns)
+            if held and key != held_key:
+                yield held_key, pa.Table.from_batches(held)
+                held = []
+            held_key = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held_key, pa.Table.from_batches(held)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import html_text, langid, packing, quality, records, sharding
+from ledgerloom.llm import capfilter, html_text, jaccard, langid, packing, quality, records, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op7_capfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(fold(3) != 1)
@@ -50,6 +54,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def queries() -> dict:
     return {
         "op2_sharding": op2_sharding,
@@ -57,7 +65,9 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op5_records": op5_records,
         "op6_html": op6_html,
+        "op7_capfilter": op7_capfilter,
         "op8_quality": op8_quality,
+        "op10_jaccard": op10_jaccard,
     }
 
 
