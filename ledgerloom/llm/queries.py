@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import capfilter, html_text, jaccard, langid, packing, quality, records, sharding
+from ledgerloom.llm import capfilter, html_text, jaccard, langid, packing, quality, records, sharding, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def fold(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -60,6 +64,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_suffix": op1_suffix,
         "op2_sharding": op2_sharding,
         "op3_language": op3_language,
         "op4_packing": op4_packing,
