@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import capfilter, html_text, jaccard, langid, packing, quality, records, sharding, suffix
+from ledgerloom.llm import capfilter, decontaminate, html_text, jaccard, langid, packing, quality, records, sharding, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -72,6 +76,7 @@ def queries() -> dict:
         "op6_html": op6_html,
         "op7_capfilter": op7_capfilter,
         "op8_quality": op8_quality,
+        "op9_decontaminate": op9_decontaminate,
         "op10_jaccard": op10_jaccard,
     }
 
