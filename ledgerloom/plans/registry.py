@@ -1,11 +1,40 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, where SQL expresses them, their SQL."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ["compare_queries"]
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its own name."""
+
+    def put(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return put
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f"ledgerloom.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    load()
+    return dict(_sql)
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
