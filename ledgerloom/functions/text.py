@@ -121,7 +121,7 @@ def heading_score(line: Column, term: Column) -> Column:
     key = fold(line)
     plain, numbered = F.concat(F.lit("^"), term), F.concat(F.lit(r"^(?:\d+ )+"), term)
     exact, more = F.lit("$"), F.lit(" ")
-    return F.when(key.rlike(F.concat(numbered, exact)), 320).when(key.rlike(F.concat(numbered, more)), 270).when(key.rlike(F.concat(plain, exact)), 220).when(key.rlike(F.concat(plain, more)), 160).otherwise(0)
+    return F.when(F.rlike(key, F.concat(numbered, exact)), 320).when(F.rlike(key, F.concat(numbered, more)), 270).when(F.rlike(key, F.concat(plain, exact)), 220).when(F.rlike(key, F.concat(plain, more)), 160).otherwise(0)
 
 
 def line_around(text: Column, pattern: str) -> Column:
