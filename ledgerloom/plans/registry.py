@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["compare_queries", "text_queries"]
+MODULES = ["compare_queries", "text_queries", "evidence_queries", "record_queries"]
 _queries: dict = {}
 _sql: dict[str, str] = {}
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.text import document_id
 
-EVIDENCE = T.ArrayType(T.StructType().add("document_id", "string").add("page", "int").add("section", "string").add("excerpt", "string").add("chunk_id", "string"))
+EVIDENCE = T.ArrayType(T.StructType().add("document_id", "string").add("page", "integer").add("section", "string").add("excerpt", "string").add("chunk_id", "string"))
 VALUE = T.StructType().add("kind", "string").add("numeric_value", T.DecimalType(38, 6)).add("currency", "string").add("unit", "string").add("normalized_text", "string").add("raw_text", "string")
 
 
@@ -30,7 +30,7 @@ TEXT_FIELD = field_of(T.StringType())
 RECORD = (
     T.StructType()
     .add("policy_id", "string")
-    .add("source_documents", T.ArrayType(T.StructType().add("document_id", "string").add("source_file", "string").add("sha256", "string").add("page_count", "int").add("language", "string").add("document_type", "string").add("origin", "string")))
+    .add("source_documents", T.ArrayType(T.StructType().add("document_id", "string").add("source_file", "string").add("sha256", "string").add("page_count", "integer").add("language", "string").add("document_type", "string").add("origin", "string")))
     .add("identification", T.StructType([T.StructField(n, TEXT_FIELD) for n in "insurer product_name susep_process policy_number insured policyholder document_version".split()]))
     .add("contractual_terms", T.StructType([T.StructField("policy_period", field_of(T.StructType().add("start", "date").add("end", "date"))), T.StructField("currency", TEXT_FIELD), T.StructField("premium", field_of(VALUE)), T.StructField("retroactive_date", field_of(T.DateType())), T.StructField("extended_reporting_period", field_of(VALUE)), *(T.StructField(n, TEXT_FIELD) for n in "geographic_scope jurisdiction coverage_trigger".split()), *(T.StructField(f"{n}_canonical", T.StringType()) for n in "geographic_scope jurisdiction coverage_trigger".split())]))
     .add("policy_limits", LIMITS)
@@ -87,7 +87,7 @@ def read_concepts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    fact = T.StructType([T.StructField(n, T.StringType()) for n in "fact_id kind path collection canonical_id expected expected_status".split()]).add("evidence_pages", "array<int>")
+    fact = T.StructType([T.StructField(n, T.StringType()) for n in "fact_id kind path collection canonical_id expected expected_status".split()]).add("evidence_pages", T.ArrayType(T.IntegerType()))
     raw = spark.read.schema(T.StructType().add("source_id", "string").add("facts", T.ArrayType(fact))).json(path, multiLine=True)
     return raw.select("source_id", F.explode("facts").alias("f")).select("source_id", "f.*")
 
