@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 
 def set_metrics(expected: DataFrame, extracted: DataFrame, by: str, item: str) -> DataFrame:
     """Precision, recall and F1 of distinct items for each group; an empty side counts as its convention says."""
-    a = expected.select(by, item).where(F.col(item).isNotNull()).distinct().withColumn("e", F.lit(1))
-    b = extracted.select(by, item).where(F.col(item).isNotNull()).distinct().withColumn("x", F.lit(1))
-    got = a.join(b, [by, item], "full").groupBy(by).agg(F.count(F.expr("e + x")).alias("tp"), F.count("e").alias("expected"), F.count("x").alias("extracted"))
+    side = lambda df, e, x: df.select(by, item).where(F.col(item).isNotNull()).withColumn("__e", F.lit(e)).withColumn("__x", F.lit(x))
+    items = side(expected, 1, 0).unionByName(side(extracted, 0, 1)).groupBy(by, item).agg(F.max("__e").alias("__e"), F.max("__x").alias("__x"))
+    got = items.groupBy(by).agg(F.sum(F.col("__e") * F.col("__x")).alias("tp"), F.sum("__e").alias("expected"), F.sum("__x").alias("extracted"))
     precision = F.when(F.col("extracted") == 0, F.when(F.col("expected") == 0, 1.0).otherwise(0.0)).otherwise(F.col("tp") / F.col("extracted"))
     recall = F.when(F.col("expected") == 0, 1.0).otherwise(F.col("tp") / F.col("expected"))
     got = got.withColumn("precision", precision).withColumn("recall", recall)

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from ledgerloom.functions.text import fold, line_around, squeeze
 
@@ -36,7 +37,7 @@ def line_windows(texts: DataFrame, sizes: Column, text: str = "text") -> DataFra
     return out.withColumn("window", F.array_join(F.slice("__lines", F.col("start"), F.col("size")), "\n")).drop("__lines")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of two texts, case ignored."""
     return pd.Series([SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio() for x, y in zip(a, b)])

@@ -77,5 +77,5 @@ def matched_item(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     asked = questions.select("question_id", fold(F.col("question")).alias("norm"))
     words = asked.select("question_id", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
     hits = words.join(phrases.withColumn("token", F.split_part("term", F.lit(" "), F.lit(1))), "token").where(F.contains("norm", F.col("term")))
-    order = W.partitionBy("question_id").orderBy(F.desc(F.length("term")), "item")
+    order = W.partitionBy("question_id").orderBy(F.desc(F.length("term")), "item", "term")
     return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("question_id", "item", "term")

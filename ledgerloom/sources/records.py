@@ -47,7 +47,7 @@ REQUIRED = ["policy_id", "source_documents", "identification", "contractual_term
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of JSON files that hold a bare record or one under policy_json, policy or policy_record."""
-    envelope = T.StructType(RECORD.fields)
+    envelope = T.StructType(list(RECORD.fields))
     for name in ("policy_json", "policy", "policy_record"):
         envelope = envelope.add(name, RECORD)
     raw = spark.read.schema(envelope.add("_corrupt", "string")).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
