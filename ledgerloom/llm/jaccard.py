@@ -1,14 +1,20 @@
 """N-gram Jaccard join by prefix trees.
 
 A document is the set of its distinct word n-grams in one global order: longer n-grams first (in bytes, a fixed stand-in
-for rarity), then by hash. Documents with equal sets are collapsed. Two sets with Jaccard similarity of at least the
-threshold share an n-gram among the first n - ceil(threshold * n) + 1 of each, so every distinct n-gram of such prefixes
-is a meeting point; the meeting points whose smallest document is the same one are merged, and each such group gets
-its sets once. A task stores the sets of a group in a prefix tree (a level spans a range of the global order, a node is
-one distinct way to fill the ranges so far) and joins the tree with itself: pairs of nodes carry the overlap of their
-paths, which all sets below share, and a pair is cut as soon as its overlap plus the smaller remaining length cannot
-reach the required overlap. What is left at the leaves is exact. Groups beyond `block` sets are split into pairs of
-blocks; from each group only a spanning forest of its links goes on, and components are joined on Spark.
+for rarity), then by hash. Documents with equal sets are collapsed. Sets meet at points, which are chosen so that no
+link is lost: sizes fall into classes a factor of the threshold wide, a pair lies in one class or two neighbouring ones,
+and for the larger class at most k n-grams are in only one of two linked sets. The hash range is cut into k + 1 + e
+parts, so linked sets agree on e + 1 whole parts at least; each non-empty part's content is a point of the set. Only sets
+with more than e empty parts could agree on empty ones alone; they also get the n-grams of their prefix (the first
+n - ceil(threshold * n) + 1 in the global order, of which linked sets share one) as points. A passage that many
+documents share makes no points, since parts hold n-grams of the whole text.
+
+Points whose smallest document is the same one are merged, and each such group gets its sets once. A task stores the
+sets of a group in a prefix tree (a level spans a range of the global order, a node is one distinct way to fill the
+ranges so far) and joins the tree with itself: pairs of nodes carry the overlap of their paths, which all sets below
+share, and a pair is cut as soon as its overlap plus the smaller remaining length cannot reach the required overlap.
+What is left at the leaves is exact. Groups beyond `block` sets are split into pairs of blocks; from each group only a
+spanning forest of its links goes on, and components are joined on Spark.
 
 Null, empty and blank texts have no n-grams and link with nothing; a text of fewer words than n is one n-gram of all
 its words. Repeated rows and ties: equal sets always link. An empty table gives an empty result. Extra columns are ignored.
@@ -19,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from ledgerloom.llm.common import blocks, connected_components, sorted_groups, spanning, utf8_view, written
 
@@ -80,12 +87,57 @@ class Shingler:
             if hi - lo >= width:
                 yield np.unique(keys[lo : hi - width + 1])
             elif hi > lo:
-                short = mixed((h[lo:hi] * self.place[: hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo))
+                short = mixed(np.array([(h[lo:hi] * self.place[: hi - lo]).sum(dtype=np.uint64) ^ np.uint64(hi - lo)]))[0]
                 yield np.array([(255 - min(255, int(end[hi - 1] - start[lo]))) << 56 | int(short) >> 8], np.uint64)
             else:
                 yield np.zeros(0, np.uint64)
 
 
+class Points:
+    """Meeting points of sets for a threshold num / den."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.least = [-(-num // (den - num))]  # the smallest set that can link with another one
+        self.parts: list[tuple[int, int]] = []
+
+    def instance(self, c: int) -> tuple[int, int]:
+        """(parts, empty ones allowed) of class c."""
+        while len(self.parts) <= c:
+            low = self.least[len(self.parts)]
+            top = low * self.den // self.num
+            self.least.append(top + 1)
+            union = 2 * top * self.den // (self.num + self.den)
+            k = union * (self.den - self.num) // self.den
+            e = 0
+            for _ in range(4):
+                empty = (k + 1 + e) * np.exp(-low / (k + 1 + e))
+                e = int(np.ceil(empty + 3 * np.sqrt(empty)))
+            self.parts.append((k + 1 + e, e))
+        return self.parts[c]
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if len(s) < self.least[0]:
+            return np.zeros(0, np.int64)
+        while self.least[-1] <= len(s):
+            self.instance(len(self.parts))
+        c = int(np.searchsorted(self.least, len(s), "right")) - 1
+        h = (s << np.uint64(8) >> np.uint64(32)).astype(np.uint64)
+        order = np.argsort(h)
+        h = h[order]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s[order]), dtype=np.uint64)])
+        out = []
+        for j in (c, c + 1):
+            parts, spare = self.instance(j)
+            cuts = np.searchsorted(h * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            full = np.flatnonzero(cuts[1:] > cuts[:-1])
+            mark = mixed((full + (j << 32) + 1).astype(np.uint64) * FACTOR)
+            out.append(mixed((total[cuts[full + 1]] - total[cuts[full]]) ^ mark))
+            if parts - len(full) > spare:
+                out.append(mixed(s[: len(s) + 1 + (-self.num * len(s) // self.den)] ^ np.uint64(j + 1)))
+        return np.concatenate(out).view(np.int64)
+
+
 def tree_join(sets: list[np.ndarray], num: int, den: int, levels: int) -> np.ndarray:
     """Pairs (i, j) of the distinct non-empty sets with den * overlap >= num * union, by a self-join of their prefix tree."""
     size = np.array([len(s) for s in sets])
@@ -141,26 +193,28 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): two documents link when den * overlap >= num * union."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def prefixes(batches):
-        shingler = Shingler(width)
+    def pointed(batches):
+        shingler, points = Shingler(width), Points(num, den)
         for batch in batches:
-            n, hi, lo, front = [], [], [], []
+            n, hi, lo, met = [], [], [], []
             for s in shingler.sets(batch.column(1)):
                 n.append(len(s))
                 hi.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
                 lo.append(int(mixed(s ^ FACTOR).sum(dtype=np.uint64).view(np.int64)))
-                front.append(s[: len(s) + 1 + (-num * len(s) // den)].view(np.int64) if den * len(s) >= num * (len(s) + 1) else s[:0].view(np.int64))
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in front])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(front) if front else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], ["doc_id", "n", "hi", "lo", "front"])
+                met.append(points.of(s))
+            sizes = np.concatenate([[0], np.cumsum([len(x) for x in met])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(met) if met else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], ["doc_id", "n", "hi", "lo", "points"])
 
-    sets = written(rows.mapInArrow(prefixes, "doc_id long, n long, hi long, lo long, front array<long>"), "sets")
+    sets = written(rows.mapInArrow(pointed, "doc_id long, n long, hi long, lo long, points array<long>"), "sets")
     same = ["n", "hi", "lo"]
     reps = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    fronts = sets.where("size(front) > 0").join(reps, same).where("doc_id = rep").select("doc_id", "n", "front").dropDuplicates(["doc_id"])
-    points = fronts.select("doc_id", "n", F.explode("front").alias("point"))
-    centers = points.groupBy("point").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("met")).where("met > 1").select("point", "center")
-    members = written(points.join(centers, "point").select("center", "doc_id", "n").distinct(), "members")
+    # one exchange; a window keeps no group in memory beyond its sorted (point, doc_id) rows, which can spill
+    met = sets.select("doc_id", F.explode("points").alias("point"))
+    at = W.partitionBy("point")
+    met = met.withColumn("center", F.min("doc_id").over(at)).withColumn("last", F.max("doc_id").over(at)).where("center < last")
+    members = met.select("center", "doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id"), "n"), "doc_id").select("center", "doc_id", "n")
+    members = written(members, "members")
     parts = members.groupBy("center").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("all")).where("met > 1")
     parts = parts.select("center", F.greatest(F.ceil(F.col("met") / block), F.ceil(F.col("all") / (block * 1000))).cast("int").alias("parts"))
     sent = members.join(parts, "center").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
