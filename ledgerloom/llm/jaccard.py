@@ -77,10 +77,10 @@ class Shingler:
         h = mixed((total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
         first = np.searchsorted(start, offsets)  # first word of each row
         m = max(0, len(h) - width + 1)
-        gram = np.zeros(m, np.uint64)
+        gram, size = np.zeros(m, np.uint64), np.zeros(m, np.int64)
         for k in range(width):
             gram += h[k : k + m] * self.place[k]
-        size = end[width - 1 :] - start[:m] if m else np.zeros(0, np.int64)
+            size += (end - start)[k : k + m]
         keys = (np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(56) | mixed(gram) >> np.uint64(8)
         for i in range(n):
             lo, hi = first[i], first[i + 1]
@@ -88,7 +88,7 @@ class Shingler:
                 yield np.unique(keys[lo : hi - width + 1])
             elif hi > lo:
                 short = mixed(np.array([(h[lo:hi] * self.place[: hi - lo]).sum(dtype=np.uint64) ^ np.uint64(hi - lo)]))[0]
-                yield np.array([(255 - min(255, int(end[hi - 1] - start[lo]))) << 56 | int(short) >> 8], np.uint64)
+                yield np.array([(255 - min(255, int((end - start)[lo:hi].sum()))) << 56 | int(short) >> 8], np.uint64)
             else:
                 yield np.zeros(0, np.uint64)
 
