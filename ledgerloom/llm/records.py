@@ -17,6 +17,8 @@ gives an empty manifest. Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
 import zlib
 
@@ -125,24 +127,47 @@ def parsed(data: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], int]:
     return np.array([int.from_bytes(data[s + 12 : s + 20], "little", signed=True) for s in starts], np.int64), ids, at
 
 
-def encoder(path: str, width: int, words: int = 400_000):
+TAIL = ".,;:!?*%$&#"  # marks that are a pre-token of their own after a letter
+
+
+def parts_of(word: str) -> tuple[str, str]:
+    """(core, tail) of a word; the tokenizer always cuts between a letter and a run of marks. An ASCII core is lower-cased, as the tokenizer does."""
+    core = word.rstrip(TAIL)
+    if not core or core[-1] >= "\u0250" or not core[-1].lower()[-1].isalpha():  # lower case of one letter ends in a mark
+        return word, ""
+    return core.lower() if core.isascii() and "<" not in core else core, word[len(core) :]
+
+
+def encoder(path: str, width: int, most: int = 700_000):
     """Function from texts to byte strings of ids. Texts are cut at blanks and line ends, where the tokenizer cuts too
-    (it drops white space, and no pre-token holds any), and each different word is encoded once and remembered."""
+    (it drops white space, and no pre-token holds any). Different words, and the cores they are made of, are encoded
+    once and remembered while the worker process lives, up to `most` of each; then the memory starts anew."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {"": b""}
+    state = sys.modules.setdefault("ledgerloom_worker_state", types.ModuleType("ledgerloom_worker_state")).__dict__
+    if (path, width) not in state:
+        state[path, width] = Tokenizer.from_file(path), {}, {}
+    tokenizer, words, cores = state[path, width]
 
     def encoded(texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*cut).difference(known)) if cut else []
-        if len(known) + len(fresh) > words:
-            known.clear()
-            fresh = list(set().union(*cut).union([""]))
-        for a in range(0, len(fresh), 20_000):
-            for w, e in zip(fresh[a : a + 20_000], tokenizer.encode_batch(fresh[a : a + 20_000], add_special_tokens=False)):
-                known[w] = np.array(e.ids, f"<u{width}").tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+        seen = set().union(*cut) if cut else set()
+        fresh = seen.difference(words)
+        if len(words) + len(fresh) > most:
+            words.clear()
+            fresh = seen
+        split = [(w, *parts_of(w)) for w in fresh]
+        used = {core for _, core, _ in split}.union(tail for _, _, tail in split)
+        if len(cores) + len(used) > most:
+            cores.clear()
+        new = list(used.difference(cores))
+        for a in range(0, len(new), 20_000):
+            for w, e in zip(new[a : a + 20_000], tokenizer.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False)):
+                cores[w] = np.array(e.ids, f"<u{width}").tobytes()
+        for w, core, tail in split:
+            words[w] = cores[core] + cores[tail] if tail else cores[core]
+        return [b"".join(map(words.__getitem__, x)) for x in cut]
 
     return encoded
 
@@ -168,8 +193,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int =
         index, at, n_ids = [], 0, 0
         with system.open_output_stream(f"{name}.rec") as out:
             for batch in batches:
-                for a in range(0, batch.num_rows, 1000):
-                    rows = batch.slice(a, 1000)
+                for a in range(0, batch.num_rows, 2500):
+                    rows = batch.slice(a, 2500)
                     doc_ids = rows.column(0).to_numpy()
                     ids = [x + end for x in encoded(rows.column(1).fill_null("").to_pylist())]
                     data, sizes = frames(doc_ids, ids)
