@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ledgerloom.functions.text import fold, heading_score, substring_count, term_count
+from ledgerloom.functions.text import fold, substring_count, term_count
 
 
 def folded(chunks: DataFrame) -> DataFrame:
@@ -29,15 +29,27 @@ def keyword_scores(chunks: DataFrame, keywords: DataFrame, cap: int = 4) -> Data
     return found.groupBy("chunk_id", "profile").agg(F.sum(3 + F.least(F.col("n") - 1, F.lit(cap))).alias("score"))
 
 
-def alias_scores(chunks: DataFrame, terms: DataFrame, head: int = 1200) -> DataFrame:
+def headings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, item, term, head): rank of the best line of a chunk that starts with a term, after section numbers or
+    not; the rule of functions.text.heading_score as an equi-join on the first token. Terms do not start with numbers."""
+    lines = chunks.select("chunk_id", F.explode(F.split("text", "\n")).alias("line")).select("chunk_id", fold(F.col("line")).alias("key"))
+    lines = lines.withColumn("body", F.regexp_replace("key", r"^(?:\d+ )+", "")).where("body <> ''").withColumn("token", F.split_part("body", F.lit(" "), F.lit(1)))
+    met = lines.join(terms.withColumn("token", F.split_part("term", F.lit(" "), F.lit(1))), "token")
+    exact, begins = F.col("body") == F.col("term"), F.startswith("body", F.concat("term", F.lit(" ")))
+    numbered = F.col("body") != F.col("key")
+    head = F.when(exact, F.when(numbered, 320).otherwise(220)).when(begins, F.when(numbered, 270).otherwise(160))
+    return met.groupBy("chunk_id", "item", "term").agg(F.max(head).alias("head"))
+
+
+def alias_scores(chunks: DataFrame, terms: DataFrame, top: int = 1200) -> DataFrame:
     """(chunk_id, item, score) of terms (item, term): the best alias. Occurrences give 8 + up to 6, a heading line
     180 plus its rank, a place near the top 12."""
     found = candidates(chunks, terms).withColumn("n", term_count(F.col("norm"), F.col("term"))).where("n > 0")
-    lines = F.transform(F.split("text", "\n"), lambda x: x)
-    best = F.array_max(F.transform(lines, lambda line: heading_score(line, F.col("term"))))
-    score = 8 + F.least("n", F.lit(6)) + F.when(best > 0, best + 180).otherwise(0)
-    score = score + F.when(F.instr(F.substring("norm", 1, head), F.col("term")) > 0, 12).otherwise(0)
-    return found.groupBy("chunk_id", "item").agg(F.max(score.cast("long")).alias("score"))
+    near = F.when(F.instr(F.substring("norm", 1, top), F.col("term")) > 0, 12).otherwise(0)
+    found = found.select("chunk_id", "item", "term", (8 + F.least("n", F.lit(6)) + near).alias("found"))
+    both = found.join(headings(chunks, terms), ["chunk_id", "item", "term"], "left")
+    score = F.col("found") + F.coalesce(F.col("head") + 180, F.lit(0))
+    return both.groupBy("chunk_id", "item").agg(F.max(score.cast("long")).alias("score"))
 
 
 def best_chunk(scores: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
