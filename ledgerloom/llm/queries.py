@@ -1,4 +1,4 @@
-"""One query per operator, over its whole table; `pipeline` is added where corpus_pipeline.py is present."""
+"""One query per operator, over its whole table."""
 
 from __future__ import annotations
 
@@ -81,5 +81,18 @@ def queries() -> dict:
     }
 
 
+OP7_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(i, k) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.i, link.j FROM reach JOIN link ON reach.k = link.i)
+SELECT reach.i AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(k) AS component_id, min(k) = reach.i AS kept FROM reach LEFT JOIN (SELECT i, count(*) AS n FROM link GROUP BY 1) c ON c.i = reach.i GROUP BY reach.i"""
+
+OP10_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS MATERIALIZED (SELECT i, j FROM (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * o >= 90 * (x.n + y.n - o)),
+reach(i, k) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.i, link.j FROM reach JOIN link ON reach.k = link.i)
+SELECT i AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(k) AS component_id FROM reach LEFT JOIN n ON n.doc_id = i GROUP BY i"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_capfilter": OP7_SQL, "op10_jaccard": OP10_SQL}
