@@ -110,3 +110,29 @@ def window_support(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def grounded(items: DataFrame, evidence: DataFrame, hits: DataFrame) -> DataFrame:
     """Items (document_id, item) without evidence take the best hit (document_id, item, window), if there is one."""
     return items.join(evidence, ["document_id", "item"], "left_anti").join(hits, ["document_id", "item"])
+
+
+def heading_support(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(document_id, term, score, pos, excerpt): the best heading line of a text for each term (item terms joined on the
+    first token): numbered exact 300, numbered with at most six more words 250, plain 220 and 170; the excerpt is the
+    line and the two after it. Ties go to the first line."""
+    lines = texts.select("document_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    order = W.partitionBy("document_id").orderBy("pos")
+    lines = lines.withColumn("excerpt", F.concat_ws("\n", "line", F.lead("line", 1).over(order), F.lead("line", 2).over(order))).withColumn("key", fold(F.col("line")))
+    lines = lines.withColumn("body", F.regexp_replace("key", r"^(?:\d+ )+", "")).withColumn("token", F.split_part("body", F.lit(" "), F.lit(1)))
+    met = lines.where("body <> ''").join(terms.select("term", F.split_part("term", F.lit(" "), F.lit(1)).alias("token")), "token")
+    numbered, exact = F.col("body") != F.col("key"), F.col("body") == F.col("term")
+    more = F.size(F.split("body", " ")) - F.size(F.split("term", " "))
+    prefix = F.startswith("body", F.concat("term", F.lit(" "))) & (more <= 6)
+    score = F.when(exact, F.when(numbered, 300).otherwise(220)).when(prefix, F.when(numbered, 250).otherwise(170))
+    best = met.withColumn("score", score).where("score is not null")
+    rank = F.row_number().over(W.partitionBy("document_id", "term").orderBy(F.desc("score"), "pos"))
+    return best.withColumn("rank", rank).where("rank = 1").select("document_id", "term", "score", "pos", "excerpt")
+
+
+def recovered(results: DataFrame, support: DataFrame) -> DataFrame:
+    """Validation results (…, document_id, term, status) with invalid claims turned RECOVERED where a support exists."""
+    found = support.select("document_id", "term", F.col("excerpt").alias("recovered_excerpt"))
+    out = results.join(found, ["document_id", "term"], "left")
+    hit = (F.col("status") == "INVALID") & F.col("recovered_excerpt").isNotNull()
+    return out.withColumn("status", F.when(hit, "RECOVERED").otherwise(F.col("status"))).withColumn("recovered_excerpt", F.when(hit, F.col("recovered_excerpt")))

@@ -79,3 +79,42 @@ def matched_item(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     hits = words.join(phrases.withColumn("token", F.split_part("term", F.lit(" "), F.lit(1))), "token").where(F.contains("norm", F.col("term")))
     order = W.partitionBy("question_id").orderBy(F.desc(F.length("term")), "item", "term")
     return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("question_id", "item", "term")
+
+
+def label_map(items: DataFrame) -> DataFrame:
+    """(id, label) of the ids that have one label only."""
+    return items.groupBy("id").agg(F.count_distinct("label").alias("n"), F.min("label").alias("label")).where("n = 1").select("id", "label")
+
+
+def humanized(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """texts(text_id, text) with `[id]` and `` `id` `` replaced by labels; ids without a label stay. The ids of a text meet
+    the labels in a join and are folded back, the longest first."""
+    found = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\[`]([A-Za-z][A-Za-z0-9_]*)[\]`]"), F.lit(1)))).alias("id"))
+    pairs = found.join(labels, "id").groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("id")).alias("n"), "id", "label"))).alias("pairs"))
+    put = lambda t, p: F.replace(F.replace(t, F.concat(F.lit("["), p["id"], F.lit("]")), p["label"]), F.concat(F.lit("`"), p["id"], F.lit("`")), p["label"])
+    out = texts.join(pairs, "text_id", "left")
+    return out.withColumn(text, F.when(F.col("pairs").isNull(), F.col(text)).otherwise(F.aggregate("pairs", F.col(text), put))).drop("pairs")
+
+
+def local_answers(questions: DataFrame, rows: DataFrame, caps: dict[str, tuple[str, int]]) -> DataFrame:
+    """Answers that need no model: questions(question_id, portfolio_id, intent) and rows(portfolio_id, status, label, field_id);
+    caps names for each intent the status it lists and how many rows. Bullets are built once a portfolio and intent."""
+    plan = F.create_map(*(F.lit(x) for intent, (status, _) in caps.items() for x in (status, intent)))
+    most = F.create_map(*(F.lit(x) for intent, (_, n) in caps.items() for x in (intent, n)))
+    listed = rows.withColumn("intent", F.try_element_at(plan, F.col("status"))).where("intent is not null")
+    rank = F.row_number().over(W.partitionBy("portfolio_id", "intent").orderBy("label", "field_id"))
+    listed = listed.withColumn("rank", rank).where(F.col("rank") <= F.element_at(most, F.col("intent")))
+    line = F.concat(F.lit("- "), F.col("label"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n")
+    bullets = listed.groupBy("portfolio_id", "intent").agg(text.alias("answer"))
+    return questions.join(bullets, ["portfolio_id", "intent"], "left")
+
+
+def guarded(answer: Column, is_request: Column, refusal: str, markers: list[str], support: str) -> Column:
+    """Answers to requests for a recommendation: without a refusal they become the fixed text; the support text is added once."""
+    key, refuses = fold(answer), F.lit(False)
+    for m in markers:
+        refuses = refuses | F.contains(key, F.lit(m))
+    text = F.when(refuses, answer).otherwise(F.lit(refusal))
+    text = F.when(F.contains(text, F.lit(support)), text).otherwise(F.concat(text, F.lit(" "), F.lit(support)))
+    return F.when(is_request, text).otherwise(answer)

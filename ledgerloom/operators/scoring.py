@@ -95,3 +95,10 @@ def phrase_scores(chunks: DataFrame, phrases: DataFrame, head: int = 1000) -> Da
     found = candidates(chunks, phrases).where(F.contains("norm", F.col("term")))
     score = 80 + F.when(F.instr(F.substring("norm", 1, head), F.col("term")) > 0, 20).otherwise(0)
     return found.groupBy("chunk_id", "item").agg(F.max(score.cast("long")).alias("score"))
+
+
+def stage_routes(routes: DataFrame) -> DataFrame:
+    """(document_id, routes): a map from each stage to its chunk ids in reading order."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "chunk_id"))), lambda x: x["chunk_id"])
+    per = routes.groupBy("document_id", "profile").agg(ids.alias("chunks"))
+    return per.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("profile", "chunks")))).alias("routes"))

@@ -230,3 +230,51 @@ def concept_glossary(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(X.fold(F.col("text")), " ")).alias("term")).where("length(term) >= 6").distinct()
     phrases = words.select(F.concat(F.lit("t"), F.length("term").cast("string")).alias("item"), "term")
     return retrieve.matched_item(questions_of(spark, sf_dir), phrases)
+
+
+HEADS = f"""line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos FROM documents), k AS (SELECT d, l, pos, concat_ws(chr(10), l, lead(l) OVER w, lead(l, 2) OVER w) x, {sql_fold('l')} k FROM line WHERE l <> '' WINDOW w AS (PARTITION BY d ORDER BY pos)), b AS (SELECT *, regexp_replace(k, '^([0-9]+ )+', '') b FROM k),
+scored AS (SELECT d, t, pos, x, CASE WHEN b = t THEN CASE WHEN b <> k THEN 300 ELSE 220 END WHEN starts_with(b, t || ' ') AND len(string_split(b, ' ')) - len(string_split(t, ' ')) <= 6 THEN CASE WHEN b <> k THEN 250 ELSE 170 END END s FROM b, (VALUES ('the'), ('de la'), ('der'), ('this work')) AS v(t)),
+head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, t ORDER BY s DESC, pos) r FROM scored WHERE s IS NOT NULL) WHERE r = 1)"""
+HEAD_TERMS = [("the",), ("de la",), ("der",), ("this work",)]
+
+
+@query(f"WITH {HEADS} SELECT d AS document_id, t AS term, s AS score, pos, x AS excerpt FROM head")
+def heading_support(spark, sf_dir):
+    return evidence.heading_support(sources_of(spark, sf_dir), spark.createDataFrame(HEAD_TERMS, "term string"))
+
+
+@query(f"WITH {HEADS} SELECT doc_id AS document_id, v.t AS term, CASE WHEN contains(text, v.t) THEN 'VALID' WHEN head.x IS NOT NULL THEN 'RECOVERED' ELSE 'INVALID' END AS status FROM documents CROSS JOIN (VALUES ('the'), ('de la'), ('der'), ('this work')) AS v(t) LEFT JOIN head ON head.d = doc_id AND head.t = v.t")
+def evidence_recover(spark, sf_dir):
+    """Every document is claimed to hold four terms, in lower case; the claims that fail are looked for in its headings."""
+    sources = sources_of(spark, sf_dir)
+    terms = F.array(*(F.lit(t) for (t,) in HEAD_TERMS))
+    claims = sources.withColumn("term", F.explode(terms)).withColumn("status", F.when(F.contains("text", F.col("term")), "VALID").otherwise("INVALID"))
+    support = evidence.heading_support(sources, spark.createDataFrame(HEAD_TERMS, "term string"))
+    return evidence.recovered(claims.drop("text"), support).select("document_id", "term", "status")
+
+
+@query("""SELECT conv_id, turn, 'see ' || n_name || ' and ' || CASE WHEN turn % 2 = 0 THEN 'REGION ' || r_name ELSE '[unknown]' END AS text FROM conversations JOIN nation ON n_nationkey = conv_id % 25 JOIN region ON n_regionkey = r_regionkey""")
+def humanized_ids(spark, sf_dir):
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    labels = retrieve.label_map(nations.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label")).unionByName(regions.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.concat(F.lit("REGION "), "r_name").alias("label"))))
+    talk = table(spark, sf_dir, "conversations").join(nations, F.col("n_nationkey") == F.col("conv_id") % 25)
+    second = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("`r"), F.col("n_regionkey").cast("string"), F.lit("`"))).otherwise("[unknown]")
+    texts = talk.select("conv_id", "turn", F.struct("conv_id", "turn").alias("text_id"), F.concat(F.lit("see [n"), F.col("n_nationkey").cast("string"), F.lit("] and "), second).alias("text"))
+    return retrieve.humanized(texts, labels).select("conv_id", "turn", "text")
+
+
+@query("""WITH c AS (SELECT c_nationkey p, c_mktsegment s, c_custkey f, c_name l, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_name, c_custkey) r FROM customer),
+b AS (SELECT p, s, string_agg('- ' || l, chr(10) ORDER BY r) a FROM c WHERE (s = 'BUILDING' AND r <= 6) OR (s = 'MACHINERY' AND r <= 8) GROUP BY ALL)
+SELECT conv_id, turn, a AS answer FROM conversations LEFT JOIN b ON p = conv_id % 25 AND s = CASE turn % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' END""")
+def local_answers(spark, sf_dir):
+    intent = F.when(F.col("turn") % 3 == 0, "BUILD").when(F.col("turn") % 3 == 1, "MACHINE").otherwise("FREE")
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("question_id"), (F.col("conv_id") % 25).cast("int").alias("portfolio_id"), intent.alias("intent"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("portfolio_id"), F.col("c_mktsegment").alias("status"), F.col("c_name").alias("label"), F.col("c_custkey").alias("field_id"))
+    got = retrieve.local_answers(asked, rows, {"BUILD": ("BUILDING", 6), "MACHINE": ("MACHINERY", 8)})
+    return got.select("conv_id", "turn", "answer")
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN text WHEN contains({sql_fold('text')}, 'the') THEN text || ' Ask a broker.' ELSE 'No recommendation is made. Ask a broker.' END AS answer FROM conversations")
+def guarded_answers(spark, sf_dir):
+    answer = retrieve.guarded(F.col("text"), F.col("turn") % 2 == 0, "No recommendation is made.", ["the"], "Ask a broker.")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("answer"))

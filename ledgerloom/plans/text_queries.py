@@ -262,3 +262,12 @@ def identity_phrase_score(spark, sf_dir):
     phrases = spark.createDataFrame([(t, t) for _, t in TERMS], "item string, term string")
     got = scoring.best_chunk(scoring.phrase_scores(scoring.folded(docs), phrases), docs, ["document_id", "item"])
     return got.select("document_id", "item", "chunk_id", "score")
+
+
+@query(f"WITH {ALIASED}, top AS (SELECT * FROM (SELECT source d, profile, doc_id c, row_number() OVER (PARTITION BY source, profile ORDER BY s DESC, doc_id) r FROM scored JOIN documents USING (doc_id)) WHERE r <= 5) SELECT d AS document_id, string_agg(profile || '=' || ids, ';' ORDER BY profile) AS routes FROM (SELECT d, profile, string_agg(c::VARCHAR, ',' ORDER BY c) ids FROM top GROUP BY ALL) GROUP BY 1")
+def stage_routes(spark, sf_dir):
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit(1).alias("page_number"), F.col("doc_id").alias("chunk_index"), "text")
+    scores = scoring.alias_scores(scoring.folded(docs), item_terms(spark)).withColumnRenamed("item", "profile")
+    routes = scoring.stage_routes(scoring.routed([scores], docs, 5))
+    shown = F.transform(F.map_entries("routes"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda c: c.cast("string")), ",")))
+    return routes.select("document_id", F.array_join(shown, ";").alias("routes"))
