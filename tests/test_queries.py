@@ -20,7 +20,7 @@ def duck():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)].astype(object)
-    show = lambda v: "~" if v is None or v is pd.NaT or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    show = lambda v: "~" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, r)) for r in df.itertuples(index=False))
 
 
