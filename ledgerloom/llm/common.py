@@ -29,7 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written() tables from which all that follows has been written, too."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def utf8_view(column) -> tuple[np.ndarray, np.ndarray]:
@@ -97,19 +107,22 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     edges = edges.where("src is not null and dst is not null and src <> dst")
     edges = written(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), name)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = nodes.select("node", F.col("node").alias("component"))
+    labels = written(nodes.select("node", F.col("node").alias("component")), name)
     while not edges.isEmpty():
         both = edges.union(edges.select("dst", "src"))
         hook = both.groupBy("src").agg(F.min("dst").alias("to")).select(F.col("src").alias("label"), F.least("src", "to").alias("to"))
-        hook = written(hook, name)
+        hook = first = written(hook, name)
         for _ in range(2):
             far = hook.select(F.col("label").alias("to"), F.col("to").alias("far"))
             hook = hook.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to"))
         hook = written(hook, name)
+        old = [first, hook, labels, edges]
         labels = written(labels.join(hook, labels.component == hook.label, "left").select("node", F.coalesce("to", "component").alias("component")), name)
         a, b = hook.select(F.col("label").alias("src"), F.col("to").alias("a")), hook.select(F.col("label").alias("dst"), F.col("to").alias("b"))
         moved = edges.join(a, "src").join(b, "dst").where("a <> b")
         edges = written(moved.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct(), name)
+        discard(*old)
+    discard(edges)
     return spark.createDataFrame([], "node long, component long").union(labels)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ledgerloom.llm.common import blocks, connected_components, sorted_groups, spanning, utf8_view, written
+from ledgerloom.llm.common import blocks, connected_components, discard, sorted_groups, spanning, utf8_view, written
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 1 << 20
@@ -206,15 +206,17 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(met) if met else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], ["doc_id", "n", "hi", "lo", "points"])
 
-    sets = written(rows.mapInArrow(pointed, "doc_id long, n long, hi long, lo long, points array<long>"), "sets")
     same = ["n", "hi", "lo"]
+    pointed_sets = written(rows.mapInArrow(pointed, "doc_id long, n long, hi long, lo long, points array<long>"), "points")
+    sets = written(pointed_sets.select("doc_id", *same), "sets")
     reps = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     # one exchange; a window keeps no group in memory beyond its sorted (point, doc_id) rows, which can spill
-    met = sets.select("doc_id", F.explode("points").alias("point"))
+    met = pointed_sets.select("doc_id", F.explode("points").alias("point"))
     at = W.partitionBy("point")
     met = met.withColumn("center", F.min("doc_id").over(at)).withColumn("last", F.max("doc_id").over(at)).where("center < last")
     members = met.select("center", "doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id"), "n"), "doc_id").select("center", "doc_id", "n")
     members = written(members, "members")
+    discard(pointed_sets)
     parts = members.groupBy("center").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("all")).where("met > 1")
     parts = parts.select("center", F.greatest(F.ceil(F.col("met") / block), F.ceil(F.col("all") / (block * 1000))).cast("int").alias("parts"))
     sent = members.join(parts, "center").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
