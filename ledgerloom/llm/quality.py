@@ -16,7 +16,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import Window as W
 
 from ledgerloom.llm.common import blocks, utf8_view
 
@@ -82,8 +81,8 @@ def vote(model: dict, rows: np.ndarray, neighbours: int, temperature: float) ->
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 2048, latent: int = 64):
     """Model from (doc_id, text) and (doc_id, quality); None without labelled rows. Sample: least hashes of doc_id."""
     labels = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    nth = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    taken = labels.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= max_labelled).drop("nth")
+    first = [labels.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for c in (0, 1)]
+    taken = first[0].unionByName(first[1])
     counts = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def rows(batches):
