@@ -222,7 +222,7 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
     sent = members.join(parts, "center").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sent = sent.select("center", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id")
-    sent = sent.join(rows, "doc_id")
+    sent = sent.hint("merge").join(rows, "doc_id")  # the same plan at every size
     keys = ["center", "lo", "hi"]
 
     def joined(batches):
