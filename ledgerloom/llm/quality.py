@@ -1,13 +1,13 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is a row of a term matrix: byte-class bigrams of the whole text plus one shape term (how many words and how
-few of them distinct). Term weights are log frequency times inverse document frequency; a truncated singular value
+A text is a row of a term matrix: byte-class bigrams of the whole text plus shape terms (how many words, and the
+bounds that the share of distinct words is below). Term weights are log frequency times inverse document frequency; a truncated singular value
 decomposition of the labelled rows gives the latent space. The labelled vectors (at most `max_labelled` a class, a
 bound of the broadcast) go to every task, which takes exact cosines of its documents with all of them in blocks of
 matrix products. The `neighbours` nearest vote with weights exp(cosine / temperature), and each class's votes are
 scaled by the share of it that was taken, so the vote estimates the true class odds.
 
-Nulls and empty texts have only the shape term and get a score like any text. Repeated rows are scored alike. With
+Nulls and empty texts have only shape terms and get a score like any text. Repeated rows are scored alike. With
 no labelled rows the score is 0.5, with one class it is that class. Extra columns are ignored.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.llm.common import blocks, utf8_view
 
 CLASSES, BANDS, SHARES = 32, 16, 12
-TERMS = CLASSES * CLASSES + BANDS * SHARES
+TERMS = CLASSES * CLASSES + BANDS + SHARES
 
 
 def byte_classes() -> np.ndarray:
@@ -36,7 +36,7 @@ def byte_classes() -> np.ndarray:
 
 
 def term_rows(column) -> np.ndarray:
-    """Raw term frequencies (rows x TERMS, float32) of an Arrow string column: bigram shares, and the shape term."""
+    """Raw term frequencies (rows x TERMS, float32) of an Arrow string column: bigram shares and shape terms."""
     data, offsets = utf8_view(column)
     n = len(offsets) - 1
     out = np.zeros((n, TERMS), np.float32)
@@ -50,8 +50,8 @@ def term_rows(column) -> np.ndarray:
     for i in range(n):
         words = raw[offsets[i] : offsets[i + 1]].split()
         share = len(set(words)) / len(words) if words else 0.0
-        band = min(BANDS - 1, len(words).bit_length())
-        out[i, CLASSES * CLASSES + band * SHARES + min(SHARES - 1, int(share * SHARES))] = 30
+        out[i, CLASSES * CLASSES + min(BANDS - 1, len(words).bit_length())] = 1
+        out[i, CLASSES * CLASSES + BANDS + min(SHARES - 1, int(share * SHARES)) :] = 30  # one term for each bound that the share is below
     return out
 
 
