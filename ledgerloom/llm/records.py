@@ -24,11 +24,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ledgerloom.llm.common import shared_dir, utf8_view, written
+from ledgerloom.llm.common import blocks, shared_dir, utf8_view, written
 
 MASK_DELTA, MAGIC, BLOCK = 0xA282EAD8, 0x314C5452, 64  # the mask constant of the public record format
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_ids", "<i8")])
@@ -139,9 +140,10 @@ def parts_of(word: str) -> tuple[str, str]:
 
 
 def encoder(path: str, width: int, most: int = 700_000):
-    """Function from texts to byte strings of ids. Texts are cut at blanks and line ends, where the tokenizer cuts too
-    (it drops white space, and no pre-token holds any). Different words, and the cores they are made of, are encoded
-    once and remembered while the worker process lives, up to `most` of each; then the memory starts anew."""
+    """Function from an Arrow string column to (ids of all rows in one array, offsets of the rows). Texts are cut at blanks
+    and line ends, where the tokenizer cuts too (it drops white space, and no pre-token holds any); Arrow numbers the
+    different words of a batch. Words, and the cores they are made of, are encoded once and remembered while the worker
+    process lives, up to `most` of each; then the memory starts anew."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -150,10 +152,8 @@ def encoder(path: str, width: int, most: int = 700_000):
         state[path, width] = Tokenizer.from_file(path), {}, {}
     tokenizer, words, cores = state[path, width]
 
-    def encoded(texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*cut) if cut else set()
-        fresh = seen.difference(words)
+    def remember(seen: list[str]):
+        fresh = [w for w in seen if w not in words]
         if len(words) + len(fresh) > most:
             words.clear()
             fresh = seen
@@ -167,7 +167,19 @@ def encoder(path: str, width: int, most: int = 700_000):
                 cores[w] = np.array(e.ids, f"<u{width}").tobytes()
         for w, core, tail in split:
             words[w] = cores[core] + cores[tail] if tail else cores[core]
-        return [b"".join(map(words.__getitem__, x)) for x in cut]
+
+    def encoded(column) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.split_pattern(pc.replace_substring(column.fill_null(""), "\n", " "), " ")
+        rows = cut.offsets.to_numpy().astype(np.int64)
+        numbered = cut.flatten().dictionary_encode()
+        word, seen = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        remember(seen)
+        codes = [words[w] for w in seen]
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // width
+        table = np.frombuffer(b"".join(codes), f"<u{width}")
+        at = np.concatenate([[0], np.cumsum(size[word])])
+        index = np.repeat((np.cumsum(size) - size)[word] - at[:-1], size[word]) + np.arange(at[-1])
+        return table[index], at[rows - rows[0]]
 
     return encoded
 
@@ -193,10 +205,11 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int =
         index, at, n_ids = [], 0, 0
         with system.open_output_stream(f"{name}.rec") as out:
             for batch in batches:
-                for a in range(0, batch.num_rows, 2500):
-                    rows = batch.slice(a, 2500)
+                for a, b in blocks(utf8_view(batch.column(1))[1], 8 << 20):
+                    rows = batch.slice(a, b - a)
                     doc_ids = rows.column(0).to_numpy()
-                    ids = [x + end for x in encoded(rows.column(1).fill_null("").to_pylist())]
+                    flat, at_row = encoded(rows.column(1))
+                    ids = [flat[x:y].tobytes() + end for x, y in zip(at_row[:-1], at_row[1:])]
                     data, sizes = frames(doc_ids, ids)
                     out.write(data)
                     index.append(np.zeros(len(ids), INDEX))
