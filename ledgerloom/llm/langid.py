@@ -46,7 +46,7 @@ def gram_counts(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, max_cells: int = 1 << 23) -> dict | None:
+def train(docs: DataFrame, max_cells: int = 1 << 22) -> dict | None:
     """Model from (lang, text) rows; counts are summed on Spark, only what the size bound allows comes to the driver."""
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
     counts = rows.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
