@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import fold, line_around, squeeze
+from ledgerloom.operators.scoring import inside
 
 
 def validated(claims: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -98,11 +99,12 @@ def clean_terms(terms: Column) -> Column:
     return F.transform(F.array_sort(F.transform(keys, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
 
 
-def window_support(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(document_id, term, size, start, window): the smallest, then first window of one to three lines with a term."""
+def window_support(texts: DataFrame, terms: DataFrame, meet=inside) -> DataFrame:
+    """(document_id, term, size, start, window): the smallest, then first window of one to three lines with a term,
+    inside words too, or with `meet=whole` where the window holds the term's first token as a word."""
     windows = line_windows(texts, F.array(F.lit(1), F.lit(2), F.lit(3))).withColumn("norm", fold(F.col("window")))
     words = windows.select("document_id", "size", "start", "window", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
-    hits = words.join(terms.select("term", F.split_part("term", F.lit(" "), F.lit(1)).alias("token")), "token").where(F.contains("norm", F.col("term")))
+    hits = words.join(meet(words, terms), "token").where(F.contains("norm", F.col("term")))
     order = W.partitionBy("document_id", "term").orderBy("size", "start")
     return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("document_id", "term", "size", "start", "window")
 

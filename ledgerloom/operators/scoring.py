@@ -1,7 +1,8 @@
 """Scores of chunks against keywords and aliases, and top-k routing of chunks to stages.
 
-Terms meet chunks by an equi-join on the term's first token: chunks are tokenised once, so no pair of a chunk and a
-term without a common token is ever made.
+Terms that count as whole words meet chunks by an equi-join on the term's first token. Terms that count inside longer
+words too meet the distinct words of all chunks first (`inside`), and chunks by an equi-join on these words. Chunks are
+tokenised once, so no pair of a chunk and a term without a common part of a word is ever made.
 """
 
 from __future__ import annotations
@@ -23,9 +24,30 @@ def candidates(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return first.join(wanted, "token").drop("token").join(chunks, "chunk_id")
 
 
-def keyword_scores(chunks: DataFrame, keywords: DataFrame, cap: int = 4) -> DataFrame:
-    """(chunk_id, profile, score): each keyword that occurs gives 3 plus its further occurrences up to `cap`."""
-    found = candidates(chunks, keywords).withColumn("n", substring_count(F.col("norm"), F.col("term"))).where("n > 0")
+def whole(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(token, term): the first token of each term (term)."""
+    return terms.select(F.split_part("term", F.lit(" "), F.lit(1)).alias("token"), "term").distinct()
+
+
+def inside(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(token, term): the words (token) in which an occurrence of a term (term) can begin: a term of one token stands
+    anywhere in a word, the first token of a longer one ends a word. Terms are a dictionary; empty ones occur nowhere."""
+    wanted = terms.where("term <> ''").select("term", F.split_part("term", F.lit(" "), F.lit(1)).alias("first")).distinct()
+    begins = F.endswith("token", F.col("first")) | ((F.col("first") == F.col("term")) & F.contains("token", F.col("first")))
+    return words.select("token").distinct().join(F.broadcast(wanted), begins).select("token", "term")
+
+
+def containing(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """Pairs of folded chunks (chunk_id, norm, ...) and folded terms (term, ...) that occur in them, inside words too."""
+    words = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
+    met = words.join(inside(words, terms), "token").select("chunk_id", "term").distinct()
+    return met.join(terms, "term").join(chunks, "chunk_id").where(F.contains("norm", F.col("term")))
+
+
+def keyword_scores(chunks: DataFrame, keywords: DataFrame, cap: int = 4, pairs=containing) -> DataFrame:
+    """(chunk_id, profile, score): each keyword that occurs gives 3 plus its further occurrences up to `cap`. `pairs` tells
+    what can occur: `containing`, or `candidates` for chunks that hold the keyword's first token as a word."""
+    found = pairs(chunks, keywords).withColumn("n", substring_count(F.col("norm"), F.col("term"))).where("n > 0")
     return found.groupBy("chunk_id", "profile").agg(F.sum(3 + F.least(F.col("n") - 1, F.lit(cap))).alias("score"))
 
 
@@ -90,9 +112,9 @@ def page_range(pages: DataFrame, pattern: str, after: int = 10) -> DataFrame:
     return pages.groupBy("document_id").agg(F.coalesce(first, F.max("page_number")).cast("long").alias("end_page"), F.max("page_number").cast("long").alias("page_count"))
 
 
-def phrase_scores(chunks: DataFrame, phrases: DataFrame, head: int = 1000) -> DataFrame:
-    """(chunk_id, item, score) of phrases (item, term): 80, and 20 more near the top."""
-    found = candidates(chunks, phrases).where(F.contains("norm", F.col("term")))
+def phrase_scores(chunks: DataFrame, phrases: DataFrame, head: int = 1000, pairs=containing) -> DataFrame:
+    """(chunk_id, item, score) of phrases (item, term): 80, and 20 more near the top; `pairs` as in keyword_scores."""
+    found = pairs(chunks, phrases).where(F.contains("norm", F.col("term")))
     score = 80 + F.when(F.instr(F.substring("norm", 1, head), F.col("term")) > 0, 20).otherwise(0)
     return found.groupBy("chunk_id", "item").agg(F.max(score.cast("long")).alias("score"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import evaluate, evidence, retrieve
+from ledgerloom.operators import evaluate, evidence, retrieve, scoring
 from ledgerloom.plans.registry import query, table
 from ledgerloom.plans.text_queries import LINES_A_PAGE, doc_pages, documents, sql_fold
 
@@ -91,7 +91,7 @@ hit AS (SELECT d, t, size, k FROM (SELECT *, {sql_fold('w')} f FROM w), (VALUES
 SELECT d AS document_id, t AS term, size, k AS start FROM (SELECT *, row_number() OVER (PARTITION BY d, t ORDER BY size, k) r FROM hit) WHERE r = 1""")
 def window_support(spark, sf_dir):
     terms = spark.createDataFrame([("this work is",), ("licensed under",), ("la de",)], "term string")
-    return evidence.window_support(sources_of(spark, sf_dir), terms).select("document_id", "term", "size", F.col("start").cast("long").alias("start"))
+    return evidence.window_support(sources_of(spark, sf_dir), terms, meet=scoring.whole).select("document_id", "term", "size", F.col("start").cast("long").alias("start"))  # as its SQL
 
 
 @query("""WITH word AS (SELECT doc_id d, lang, n_chars FROM documents), e AS (SELECT lang, d FROM word JOIN labels ON d = doc_id WHERE quality = 1 GROUP BY ALL), x AS (SELECT lang, d FROM word JOIN labels ON d = doc_id WHERE n_chars >= 1000 GROUP BY ALL),
@@ -229,7 +229,7 @@ SELECT q AS question_id, item, term FROM (SELECT *, row_number() OVER (PARTITION
 def concept_glossary(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(X.fold(F.col("text")), " ")).alias("term")).where("length(term) >= 6").distinct()
     phrases = words.select(F.concat(F.lit("t"), F.length("term").cast("string")).alias("item"), "term")
-    return retrieve.matched_item(questions_of(spark, sf_dir), phrases)
+    return retrieve.matched_item(questions_of(spark, sf_dir), phrases, meet=scoring.whole)  # as its SQL
 
 
 HEADS = f"""line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos FROM documents), k AS (SELECT d, l, pos, concat_ws(chr(10), l, lead(l) OVER w, lead(l, 2) OVER w) x, {sql_fold('l')} k FROM line WHERE l <> '' WINDOW w AS (PARTITION BY d ORDER BY pos)), b AS (SELECT *, regexp_replace(k, '^([0-9]+ )+', '') b FROM k),

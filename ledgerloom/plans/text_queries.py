@@ -226,7 +226,7 @@ WHOLE = "CASE WHEN contains(term, ' ') THEN (length(' ' || replace(t, ' ', '  ')
 @query(f"WITH {COUNTED} SELECT doc_id AS chunk_id, profile, sum(3 + least(n - 1, 4))::BIGINT AS score FROM (SELECT doc_id, profile, term, (length(t) - length(replace(t, term, ''))) // length(term) n, t FROM doc, k WHERE list_contains(string_split(t, ' '), split_part(term, ' ', 1))) WHERE n > 0 GROUP BY 1, 2")
 def chunk_scores(spark, sf_dir):
     terms = spark.createDataFrame(TERMS, "profile string, term string")
-    return scoring.keyword_scores(scoring.folded(doc_chunks(spark, sf_dir)), terms)
+    return scoring.keyword_scores(scoring.folded(doc_chunks(spark, sf_dir)), terms, pairs=scoring.candidates)  # as its SQL
 
 
 HEADS = f"list_max(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches({sql_fold('l')}, '^([0-9]+ )+' || term || '$') THEN 500 WHEN regexp_matches({sql_fold('l')}, '^([0-9]+ )+' || term || ' ') THEN 450 WHEN {sql_fold('l')} = term THEN 400 WHEN starts_with({sql_fold('l')}, term || ' ') THEN 340 ELSE 0 END))"
@@ -260,7 +260,8 @@ def route_topk(spark, sf_dir):
 def identity_phrase_score(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit(1).alias("page_number"), F.col("doc_id").alias("chunk_index"), "text")
     phrases = spark.createDataFrame([(t, t) for _, t in TERMS], "item string, term string")
-    got = scoring.best_chunk(scoring.phrase_scores(scoring.folded(docs), phrases), docs, ["document_id", "item"])
+    # first tokens as whole words, as its SQL
+    got = scoring.best_chunk(scoring.phrase_scores(scoring.folded(docs), phrases, pairs=scoring.candidates), docs, ["document_id", "item"])
     return got.select("document_id", "item", "chunk_id", "score")
 
 
