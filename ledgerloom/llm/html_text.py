@@ -2,8 +2,9 @@
 
 A tokenizer feeds a tree builder that closes elements by the implied-end rules (a block ends an open paragraph, an item
 ends the item before it, cells, rows, options and definition parts likewise), skips unmatched end tags and ends all at
-the end of input. The renderer walks the tree: hidden elements (head, script, style, template, `hidden`, display none,
-visibility hidden) give nothing, inline text collapses white space, blocks stand on lines of their own with a blank
+the end of input. The renderer walks the tree: elements that are not rendered (head, script, style, template, the
+attribute `hidden`, a style of display none or visibility hidden, definitions of drawings, annotations of formulas) give
+nothing, text of formulas and drawings and what stands in for scripts is text, inline text collapses white space, blocks stand on lines of their own with a blank
 line around paragraphs, headings, lists and tables, list items get a mark and an indent, preformatted text stays as it
 is, and table cells are padded so that columns align.
 
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 # fixed values: element classes of the public HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object svg math audio video canvas".split())
+HIDDEN = frozenset("head script style template title iframe noembed noframes datalist object audio video canvas".split())
+UNDRAWN = dict.fromkeys("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient".split(), "svg") | dict.fromkeys(("annotation", "annotation-xml"), "math")  # inside svg or math only
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure form fieldset hr".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer header hgroup html li legend main menu nav option optgroup search section summary caption tr".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"), "optgroup": ("option optgroup", "select"), "tr": ("td th tr caption colgroup", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "thead": ("td th tr thead tbody tfoot caption colgroup", "table"), "tbody": ("td th tr thead tbody tfoot caption colgroup", "table"), "tfoot": ("td th tr thead tbody tfoot caption colgroup", "table"), "body": ("head", "html")}
@@ -32,15 +34,36 @@ ENDS_P = BLOCK - {"option", "optgroup", "tr", "html", "body", "caption"}
 DEPTH = 200
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-HIDING = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']\S*))?")
+QUOTED = re.compile(r"/\*.*?\*/|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
+HIDING = {("display", "none"), ("visibility", "hidden"), ("visibility", "collapse")}
 NUMBER = re.compile(r"(colspan|start)\s*=\s*[\"']?(\d{1,3})", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items")
+    __slots__ = ("tag", "attrs", "items", "shown")
 
-    def __init__(self, tag, attrs=""):
+    def __init__(self, tag, attrs="", within=()):
         self.tag, self.attrs, self.items = tag, attrs, []
+        self.shown = not (tag in HIDDEN or attrs and hides(attrs) or tag in UNDRAWN and any(x.tag == UNDRAWN[tag] for x in within))
+
+
+def hides(attrs: str) -> bool:
+    """The attribute `hidden`, whatever its value, or a style that leaves display none or visibility hidden in force."""
+    low = attrs.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
+    values = {}
+    for m in ATTRIBUTE.finditer(low):
+        values.setdefault(m[1], m[2] or "")  # of repeated attributes the first holds
+    style, fixed = {}, set()
+    for part in QUOTED.sub("", html.unescape(values.get("style", "").strip("\"'"))).split(";"):
+        name, _, value = part.partition(":")
+        name, (value, _, last) = name.strip(), value.partition("!")
+        if last.strip() == "important" or name not in fixed:
+            style[name] = value.strip()
+            fixed |= {name} if last.strip() == "important" else set()
+    return "hidden" in values or not HIDING.isdisjoint(style.items())
 
 
 def tree(source: str) -> Node:
@@ -75,7 +98,7 @@ def tree(source: str) -> Node:
             close(("p",), ("td", "th", "table", "button"))
         if tag in CLOSES:
             close(*CLOSES[tag])
-        node = Node(tag, m[3])
+        node = Node(tag, m[3], open_)
         open_[-1].items.append(node)
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.I).search(source, at)
@@ -113,7 +136,7 @@ def render(node: Node, pre: bool = False) -> list[str]:
     def put(child, number):
         if isinstance(child, str):
             inline.append(child if pre else child.replace("\r", " "))
-        elif child.tag in HIDDEN or child.attrs and HIDING.search(child.attrs):
+        elif not child.shown:
             return
         elif child.tag == "br":
             inline.append("\n" if pre else "\r")
@@ -161,7 +184,7 @@ def table(node: Node) -> list[str]:
         if isinstance(child, str):
             if text := " ".join(child.split()):
                 before.append(text)
-        elif child.tag in HIDDEN or HIDING.search(child.attrs):
+        elif not child.shown:
             continue
         elif child.tag == "tr" or child.tag in ("td", "th"):
             cells = child.items if child.tag == "tr" else [child]
@@ -169,7 +192,7 @@ def table(node: Node) -> list[str]:
             for cell in cells:
                 if isinstance(cell, str):
                     row += [" ".join(cell.split())] if cell.strip() else []
-                elif cell.tag not in HIDDEN and not HIDING.search(cell.attrs):
+                elif cell.shown:
                     row.append(" ".join(" ".join(render(cell)).split()))
                     row += [""] * (min(int(dict(NUMBER.findall(cell.attrs.lower())).get("colspan", 1)), 100) - 1)
             rows.append(row)
