@@ -4,12 +4,14 @@ Training counts every (three-byte context, byte) of the lower-cased UTF-8 text o
 rows. Each language gets one variable-order byte context tree of order 3, 2, 1, 0 and -1 with method-C escapes: in a
 context seen n times with d distinct next bytes, byte b costs -log2(count / (n + d)), and a byte not seen there costs
 the escape, -log2(d / (n + d)), plus its cost one order lower; a context never seen passes on for free; order -1 is
-uniform over 256 bytes. The statistics are frozen, so every cost can be laid out in one table [context, symbol,
-language], which is broadcast; a text's exact code length under a language is a sum of table cells, and the shortest
-code wins. Ties go to the language first by name.
+uniform over 256 bytes. The statistics are frozen, so the costs of every (context, byte) that some language has seen are
+laid out once, one row of all languages each, and broadcast; a byte not seen in a context costs that context's row of
+escapes and is looked up one order lower. A text's exact code length under a language is the sum, and the shortest code
+wins. Ties go to the language first by name.
 
-Size bound of the broadcast table: at most `max_cells` cells. Bytes beyond the 127 most frequent share one symbol, and
-only the most frequent contexts that fit are kept; a context that is not kept falls to its shorter suffix.
+Nothing is pruned: all contexts and bytes of all languages count. The driver holds one row for each (language, four
+bytes) that occurs; the broadcast holds 4 bytes for each language and each (context, byte) that occurs, and for each
+context its escapes, a bit for each byte and where its costs begin.
 
 Null text, or text without a letter: `und`, score 0. Without training rows everything is `und`. Rows with null
 language teach nothing. Repeated rows count as often as they occur. Extra columns are ignored.
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.llm.common import blocks, utf8_view
 
 SYMBOLS = 128
+ONE = np.uint64(1)
 
 
 def gram_counts(batches):
@@ -46,36 +49,79 @@ def gram_counts(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, max_cells: int = 1 << 22) -> dict | None:
-    """Model from (lang, text) rows; counts are summed on Spark, only what the size bound allows comes to the driver."""
+def train(docs: DataFrame) -> dict | None:
+    """Model from (lang, text) rows; counts are summed on Spark."""
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    counts = rows.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    try:
-        langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(max_cells // SYMBOLS).collect())
-        if not langs:
-            return None
-        top = counts.groupBy((F.col("gram") % 256).alias("byte")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "byte").limit(SYMBOLS - 1).collect()
-        symbol = np.full(256, SYMBOLS - 1, np.uint8)
-        symbol[[r["byte"] for r in top]] = np.arange(len(top))
-        table = F.array(*(F.lit(int(s)) for s in symbol))
-        at = lambda k: F.get(table, F.shiftright("gram", 8 * k).bitwiseAND(255).cast("int"))
-        seen = counts.select("lang", *(at(k).alias(f"s{k}") for k in range(4)), "n")
-        room = max_cells // (SYMBOLS * len(langs)) - SYMBOLS - 2
-        got = []
-        for order, share in ((3, 0.75), (2, 0.25), (1, None)):
-            keys = [f"s{k}" for k in range(order, 0, -1)]
-            part = seen.groupBy("lang", *keys, "s0").agg(F.sum("n").alias("n"))
-            if share:
-                kept = part.groupBy(*keys).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), *keys).limit(max(1, int(room * share)))
-                part = part.join(kept.drop("all"), keys)
-            got.append((order, keys, part.toPandas()))
-    finally:
-        counts.unpersist()
-    return layout(langs, symbol, got)
+    counts = rows.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not counts.num_rows:
+        return None
+    names = counts.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()])
+    return trees(langs, place[names.indices.to_numpy()], counts.column("gram").to_numpy(), counts.column("n").to_numpy())
+
+
+def trees(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict:
+    """Context trees of all languages from counts n of (lang, gram). Contexts are numbered by order, 0 is the empty one:
+    `pick` maps three symbols to the longest context seen, `lower` a context to its suffix, `escape` [context, language]
+    has the cost of going there, `bits` [context, word] the symbols seen in it, `first` the cell of each word's first
+    symbol and `cost` [cell, language] the costs."""
+    wide = len(langs)
+    known = np.zeros(256, bool)
+    for k in range(4):
+        known[gram >> 8 * k & 255] = True
+    width = int(known.sum()) + 1  # the last symbol stands for each byte that was never seen
+    symbol = np.where(known, np.cumsum(known) - 1, width - 1).astype(np.int32)
+    key = np.zeros(len(gram), np.int64)
+    for k in range(3, -1, -1):
+        key = key * width + symbol[gram >> 8 * k & 255]
+
+    def summed(at: np.ndarray, size: int, weights=None) -> np.ndarray:
+        return np.bincount(at, weights, size * wide).reshape(size, wide)
+
+    def coded(count, total, distinct, lower):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own, escape = -np.log2(count / (total + distinct)), -np.log2(distinct / (total + distinct))
+        return np.where(count > 0, own, np.where(total > 0, escape, 0.0) + lower)
+
+    count = summed(key % width * wide + lang, width, n)
+    cost = [coded(count, count.sum(0), (count > 0).sum(0), 8.0).astype(np.float32)]
+    pick = np.zeros((width, width, width), np.int32)
+    words = (width + 63) // 64
+    full = np.full(words, np.iinfo(np.uint64).max)
+    escape, lower, bits, first = [np.zeros((1, wide), np.float32)], [np.zeros(1, np.int32)], [full[None]], [np.arange(words)[None] * 64]
+    below, below_at, below_id, ids, cells = np.arange(width), cost[0], np.zeros(1, np.int64), 1, width
+    for order in (1, 2, 3):
+        pair, at = np.unique(key % width ** (order + 1) * wide + lang, return_inverse=True)
+        each, own, tongue = np.bincount(at, n), pair // wide, pair % wide
+        keys, cell = np.unique(own, return_inverse=True)
+        contexts, start, context = np.unique(keys // width, return_index=True, return_inverse=True)
+        total, distinct = (summed(context[cell] * wide + tongue, len(contexts), w) for w in (each, None))
+        down = np.searchsorted(below, keys % width**order)  # seen there too: counts of all orders are of the same bytes
+        mine, edge = np.empty((len(keys), wide), np.float32), np.searchsorted(cell, np.arange(0, len(keys) + 65536, 65536))
+        for i, a in enumerate(range(0, len(keys), 65536)):
+            b, lo, hi = min(a + 65536, len(keys)), edge[i], edge[i + 1]
+            count = summed((cell[lo:hi] - a) * wide + tongue[lo:hi], b - a, each[lo:hi])
+            mine[a:b] = coded(count, total[context[a:b]], distinct[context[a:b]], below_at[down[a:b]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape.append(np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0).astype(np.float32))
+        here, shorter = np.zeros((len(contexts), words), np.uint64), contexts % width ** (order - 1)
+        np.bitwise_or.at(here, (context, keys % width // 64), np.uint64(1) << (keys % width % 64).astype(np.uint64))
+        seen = np.bitwise_count(here).astype(np.int64)
+        first.append(cells + start[:, None] + np.cumsum(seen, 1) - seen)
+        lower.append((below_id[0] + np.searchsorted(below_id[1:], shorter) if order > 1 else shorter).astype(np.int32))
+        bits.append(here)
+        cost.append(mine)
+        digits = tuple(contexts // width**i % width for i in range(order - 1, -1, -1))
+        pick[(slice(None),) * (3 - order) + digits] = ids + np.arange(len(contexts), dtype=np.int32)
+        below, below_at, below_id = keys, mine, np.concatenate([[ids], contexts])
+        ids, cells = ids + len(contexts), cells + len(keys)
+    return {"langs": langs, "symbol": symbol, "width": width, "pick": pick.reshape(-1), "words": words, "escape": np.concatenate(escape), "lower": np.concatenate(lower), "bits": np.concatenate(bits).reshape(-1), "first": np.concatenate(first).reshape(-1).astype(np.int32 if cells < 2**31 else np.int64), "cost": np.concatenate(cost)}
 
 
 def layout(langs: list[str], symbol: np.ndarray, got: list) -> dict:
-    """Cost table [context, symbol, language] and the map from three symbols to the longest kept context."""
+    """Costs of counted contexts in full, [context, symbol, language], and the map from three symbols to the longest
+    context; `trees` holds the same costs for the symbols that were seen. For small alphabets, where all can be read off."""
     number = {lang: i for i, lang in enumerate(langs)}
     width = int(np.bincount(symbol, minlength=SYMBOLS)[SYMBOLS - 1])
     uniform = np.full((SYMBOLS, len(langs)), 8.0)
@@ -125,22 +171,44 @@ def layout(langs: list[str], symbol: np.ndarray, got: list) -> dict:
     return {"langs": langs, "symbol": symbol, "pick": pick.reshape(-1), "cost": np.concatenate(costs).reshape(-1, len(langs))}
 
 
+def priced(model: dict, context: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Costs [position, language] of symbols in contexts."""
+
+    def found(context, s):
+        at = context * model["words"] + (s >> 6)
+        word, bit = model["bits"][at], (s & 63).astype(np.uint64)
+        return model["first"][at] + np.bitwise_count(word & ((ONE << bit) - ONE)), (word >> bit & ONE) == 0
+
+    cell, missed = found(context, s)
+    todo = np.flatnonzero(missed)
+    left, at = [], context[todo]
+    while len(todo):
+        left.append((todo, model["escape"][at]))
+        at = model["lower"][at]
+        cell[todo], missed = found(at, s[todo])
+        todo, at = todo[missed], at[missed]
+    cost = model["cost"][cell]
+    for places, escape in left:
+        cost[places] += escape
+    return cost
+
+
 def code_lengths(model: dict, text) -> tuple[np.ndarray, np.ndarray]:
     """(bits [row, language], bytes of each row) of an Arrow string column."""
     data, offsets = utf8_view(pc.utf8_lower(text))
     n = len(offsets) - 1
-    bits = np.zeros((n, len(model["langs"])))
+    bits, width = np.zeros((n, len(model["langs"]))), model["width"]
     for a, b in blocks(offsets, 1 << 20):
         lo, hi = offsets[a], offsets[b]
         if lo == hi:
             continue
-        s = model["symbol"][data[lo:hi]].astype(np.int32)
+        s = model["symbol"][data[lo:hi]]
         code = np.zeros(len(s), np.int32)  # context of the first bytes of a text: symbols of the text before it count
-        code[3:] = (s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]
+        code[3:] = (s[:-3] * width + s[1:-2]) * width + s[2:-1]
         context = model["pick"][code]
         first = (offsets[a:b][np.diff(offsets[a : b + 1]) > 0] - lo)[:, None] + np.arange(3)
         context[first[first < len(s)]] = 0  # ... and so the first three bytes of each are coded at order 0
-        cost = model["cost"][context * SYMBOLS + s]
+        cost = priced(model, context, s)
         full = np.flatnonzero(np.diff(offsets[a : b + 1]) > 0)
         bits[a + full] = np.add.reduceat(cost, offsets[a:b][full] - lo, axis=0, dtype=np.float64)
     return bits, np.diff(offsets)
