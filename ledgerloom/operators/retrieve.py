@@ -22,6 +22,31 @@ def shared_tokens(questions: DataFrame, rows: DataFrame, weight: int = 5, stop:
     return q.join(r, "token").groupBy("question_id", "row_id").agg((F.count(F.lit(1)) * weight).alias("score"))
 
 
+SIDES = {f"side {x}": f"side_{x}" for x in "abc"}
+ASKED = {"NEEDS_REVIEW": (30, ["revis", "ambigu", "conflit"]), "EQUAL": (16, ["igual", "comum", "todas", "todos"]), "ONLY_IN_SOME": (16, ["algumas", "apenas", "parcial", "so em"]), "DIFFERENT": (12, ["difer", "compar"])}
+
+
+def boosted(questions: DataFrame, rows: DataFrame, weight: int = 5, stop: list[str] = []) -> DataFrame:
+    """(question_id, row_id, status, score) of comparison rows (portfolio_id, row_id, label, field_id, status, search_text)
+    for the questions (portfolio_id, question_id, question) of their portfolio: weight x shared tokens, 25 for the label and
+    18 for the field id in the question, 50 for the row of a side it names and the boost of a status it asks for. Rows
+    without a score are left out; rank by score, then rows that are not ALL_MISSING."""
+    q = questions.select("portfolio_id", "question_id", fold(F.col("question")).alias("__asked"), tokens(F.col("question"), stop).alias("__tokens"))
+    r = rows.select("portfolio_id", "row_id", "field_id", "status", fold(F.col("label")).alias("__label"), fold(F.col("field_id")).alias("__field"), F.split(fold(F.col("search_text")), " ").alias("__words"))
+    has = lambda x: F.contains("__asked", x)
+    held = lambda x: F.coalesce((x != "") & has(x), F.lit(False))
+    score = F.coalesce(F.size(F.array_intersect("__tokens", "__words")), F.lit(0)) * weight
+    score = score + F.when(held(F.col("__label")), 25).otherwise(0) + F.when(held(F.col("__field")), 18).otherwise(0)
+    for words, field in SIDES.items():
+        score = score + F.when(has(F.lit(words)) & (F.col("field_id") == field), 50).otherwise(0)
+    for status, (boost, markers) in ASKED.items():
+        any_of = F.lit(False)
+        for m in markers:
+            any_of = any_of | has(F.lit(m))
+        score = score + F.when(any_of & (F.col("status") == status), boost).otherwise(0)
+    return q.join(r, "portfolio_id").select("question_id", "row_id", "status", score.cast("long").alias("score")).where("score > 0")
+
+
 def top(scores: DataFrame, limit: int, tie: list = ["row_id"]) -> DataFrame:
     order = W.partitionBy("question_id").orderBy(F.desc("score"), *tie)
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
