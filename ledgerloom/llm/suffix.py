@@ -17,7 +17,8 @@ distinct stretches (with the least doc_id of each), and a bucket answers a chunk
 a third of all documents holds thus reaches its bucket once a chunk, not once a document, and nothing grows with a group.
 
 Null text is empty. Documents shorter than 50 bytes lose nothing. Rows with equal doc_id are one document in no order:
-neither removes from the other. Matches never cross documents. An empty table gives an empty result.
+neither removes from the other. A null doc_id is not smaller or larger than any: such documents lose and remove nothing.
+Matches never cross documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def distinct(data: np.ndarray, found: list, doc: np.ndarray) -> tuple[np.ndarray
     size, words = strings + WINDOW - 1, words_at(data)
     shape = lead.astype(np.uint64) * np.uint64(128) + strings.astype(np.uint64)
     for seed in range(1, 9):
-        code = shape + np.uint64(seed)
+        code = mixed((shape + np.uint64(seed << 32)) * np.uint64(0xC2B2AE3D27D4EB4F))  # so that no bytes can undo a shape
         for piece in pieces(words, start, size):
             code = mixed((code ^ piece) * np.uint64(0x9E3779B97F4A7C15))
         _, one, which = np.unique(code, return_index=True, return_inverse=True)
@@ -342,33 +343,40 @@ def removed(left: pa.Table, right: pa.Table, buckets: int, keep_text: bool, sche
     begins[1:] &= ~gone[:-1]
     inner = offsets[:-1][np.diff(offsets) > 0]
     begins[inner] = gone[inner]
-    out = {"doc_id": ids, "n_bytes": np.diff(offsets), "n_removed": [], "n_spans": [], "kept": [] if keep_text else None, "kept_sha256": []}
+    out = {"doc_id": ids, "n_bytes": np.diff(offsets), "n_removed": [], "n_spans": [], "kept": [] if keep_text else None, "kept_sha256": [], "text_sha256": [] if "text_sha256" in schema.names else None}
     for a, b in zip(offsets[:-1], offsets[1:]):
         kept = data[a:b][~gone[a:b]].tobytes()
         out["n_removed"].append(b - a - len(kept))
         out["n_spans"].append(int(begins[a:b].sum()))
         out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+        if out["text_sha256"] is not None:
+            out["text_sha256"].append(hashlib.sha256(data[a:b].tobytes()).hexdigest())
         if keep_text:
             out["kept"].append(kept.decode("utf-8", "ignore"))
     return pa.Table.from_pydict({k: v for k, v in out.items() if v is not None}, schema=schema)
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, batch: int = 1 << 15) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the remaining text `kept`) of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, keep_text: bool = True, chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, batch: int = 1 << 15, text_hash: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the remaining text `kept` and the text_sha256 of the
+    whole text, which tells rows of one doc_id apart) of docs (doc_id, text).
 
     Remaining bytes that are no whole UTF-8 character (a removed run can end inside one) count in kept_sha256 but not in `kept`.
     """
+    nameless, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, total // chunk_bytes), max(1, total // bucket_bytes)
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("chunk")
     send = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("block", pa.binary())])
     reply = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("bits", pa.binary())])
-    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), *([("kept", pa.string())] if keep_text else []), ("kept_sha256", pa.string())])
+    final = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), *([("kept", pa.string())] if keep_text else []), ("kept_sha256", pa.string()), *([("text_sha256", pa.string())] if text_hash else [])])
     sent, replied = "bucket long, chunk long, block binary", "chunk long, bucket long, kind int, bits binary"
     by_chunk = rows.groupBy("chunk")
     keys = by_chunk.applyInArrow(lambda key, t: key_blocks(key, t, buckets, send), sent)
     keys = written(keys.groupBy("bucket").applyInArrow(lambda key, t: key_answers(key, t, reply), replied), "keys")
     blocks = by_chunk.cogroup(keys.groupBy("chunk")).applyInArrow(lambda left, right: sent_blocks(left, right, buckets, send), sent)
     bits = blocks.groupBy("bucket").applyInArrow(lambda key, t: answers(key, t, batch, reply), replied).union(keys)
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept string, " if keep_text else "") + "kept_sha256 string"
-    return by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(lambda left, right: removed(left, right, buckets, keep_text, final), fields)
+    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept string, " if keep_text else "") + "kept_sha256 string" + (", text_sha256 string" if text_hash else "")
+    got = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(lambda left, right: removed(left, right, buckets, keep_text, final), fields)
+    text = F.coalesce("text", F.lit(""))
+    whole = {"doc_id": F.lit(None).cast("long"), "n_bytes": F.octet_length(text).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": text, "kept_sha256": F.sha2(text, 256), "text_sha256": F.sha2(text, 256)}
+    return got.unionByName(nameless.select(*(whole[c].alias(c) for c in got.columns)))
