@@ -2,15 +2,20 @@
 
 A filter is a direction (a_i, b_j) / sqrt 2 made of one random unit codeword for each half of the coordinates, so
 `code` codewords a half give code**2 filters of which none is stored. A vector is list-decoded to all filters whose
-inner product reaches the cap height: with the codewords of a half sorted by their product, only the pairs that can
-still exceed are looked at. The cap height makes `filters` filters a vector expected; a vector with fewer than
-`least` takes its `least` best. Vectors of one label that share a filter are compared by exact cosine in double
-precision, in blocks of matrix products. A pair counts only at the lowest first codeword under which it shares a
-filter, so no table of pairs is ever built; buckets above `block` vectors are split into pairs of blocks.
+inner product reaches the cap height: only codewords that can still exceed with the best one of the other half are
+looked at. The cap height makes `filters` filters a vector expected; a vector with fewer than `least` takes its `least`
+best. Vectors of one label meet by an equi-join on the whole filter (label, dimension, i, j); a meeting pair counts only
+at its lowest common filter, where its exact cosine in double precision decides, so no table of pairs is ever built.
+
+If `code` is not given it is the least power of two whose filters hold one unrelated vector of the largest label each on
+average (64 to 32,768), so the unrelated pairs that are compared grow with the rows, not with their square. Only filters
+that two vectors have get the vectors themselves; the others end as (filter, number) rows. A filter with more than
+`block` vectors is split into pairs of blocks.
 
 Equal vectors of a label are collapsed before (their links follow from the count), so a group of copies costs one
 vector. Null, zero or non-finite vectors and null labels link with nothing; vectors of different dimension never link.
-Repeated vec_ids are rows of their own. An empty table gives an empty result. Extra columns are dropped.
+Repeated vec_ids are rows of their own. An empty table gives an empty result. Extra columns are dropped. Labels may be of
+any type that groups, components float or double.
 The filters are random (fixed seed), so a link can be missed: measured recall stands in the README.
 """
 
@@ -23,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import connected_components, sorted_groups, spanning, written
+from ledgerloom.llm.common import connected_components, discard, spanning, written
+
+SMALL = 48  # larger groups are compared by matrix products
 
 
 def codewords(size: int, dim: int, half: int) -> np.ndarray:
@@ -35,44 +42,69 @@ def list_decode(unit: np.ndarray, code: int, filters: int, least: int) -> list[n
     """Filter numbers i * code + j of each unit vector, ascending."""
     cut = (unit.shape[1] + 1) // 2
     height = NormalDist().inv_cdf(1 - min(0.5, filters / code**2)) / math.sqrt(unit.shape[1]) * math.sqrt(2)
-    first = unit[:, :cut] @ codewords(code, cut, 0).T
-    second = unit[:, cut:] @ codewords(code, unit.shape[1] - cut, 1).T if unit.shape[1] > cut else np.zeros((len(unit), code))
-    best = second.max(1)
+    first_words, second_words = codewords(code, cut, 0), codewords(code, unit.shape[1] - cut, 1) if unit.shape[1] > cut else None
     out = []
-    for a, b, top in zip(first, second, best):
-        i = np.flatnonzero(a + top >= height)
-        hit = a[i][:, None] + b[None, :] >= height
-        if hit.sum() < least:
-            i = np.arange(code)
-            total = a[:, None] + b[None, :]
-            hit = total >= np.partition(total.ravel(), -least)[-least] if code * code > least else np.ones_like(total, bool)
-        rows, j = np.nonzero(hit)
-        out.append(i[rows] * code + j)
+    for lo in range(0, len(unit), 256):
+        part = unit[lo : lo + 256]
+        first = part[:, :cut] @ first_words.T
+        second = part[:, cut:] @ second_words.T if second_words is not None else np.zeros((len(part), code))
+        for a, b in zip(first, second):
+            i, j = np.flatnonzero(a + b.max() >= height), np.flatnonzero(b + a.max() >= height)
+            rows, columns = np.nonzero(a[i][:, None] + b[j][None, :] >= height)
+            if len(rows) < least:  # the best sums are among the best of either half
+                k = min(least, code)
+                i, j = np.argpartition(a, -k)[-k:], np.argpartition(b, -k)[-k:]
+                total = a[i][:, None] + b[j][None, :]
+                rows, columns = np.unravel_index(np.argpartition(total.ravel(), -min(least, total.size))[-min(least, total.size) :], total.shape)
+            out.append(np.sort(i[rows].astype(np.int64) * code + j[columns]))
     return out
 
 
-def linked(unit: np.ndarray, lists: list[np.ndarray], first: int, code: int, threshold: float, side: np.ndarray | None) -> np.ndarray:
-    """Boolean matrix of the pairs to count at codeword `first`. side: 0 or 1 for each vector if only cross pairs do."""
-    cosine = unit @ unit.T >= threshold
-    np.fill_diagonal(cosine, False)
-    if side is not None:
-        cosine &= side[:, None] != side[None, :]
-    if not cosine.any():
-        return cosine
-    sizes = [len(x) for x in lists]
-    ids, column = np.unique(np.concatenate(lists), return_inverse=True)
-    grid = np.zeros((len(lists), len(ids)), np.float32)
-    grid[np.repeat(np.arange(len(lists)), sizes), column] = 1
-    here, lower = grid[:, ids // code == first], grid[:, ids // code < first]
-    return cosine & (here @ here.T > 0) & ~(lower @ lower.T > 0)
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: int = 64, filters: int = 32, least: int = 12, block: int = 1200) -> DataFrame:
+def meeting(unit: np.ndarray, lists: np.ndarray, group: np.ndarray, filter_: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """(linked pairs of rows (i, j), i < j, number of cosines taken) of rows sorted by group. lists: filters of each row,
+    filled up with negative numbers that occur once. side: 0, or 1 and 2 where only pairs of different sides count."""
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(cuts, len(group)))
+    near, taken = [], 0
+    for k in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+        begin = cuts[sizes == k]
+        a, b = np.triu_indices(k, 1)
+        step = max(1, (1 << 18) // len(a))
+        for x in range(0, len(begin), step):
+            i, j = ((begin[x : x + step, None] + c[None, :]).ravel() for c in (a, b))
+            keep = (side[i] == 0) | (side[i] != side[j])
+            i, j = i[keep], j[keep]
+            taken += len(i)
+            hit = np.einsum("nd,nd->n", unit[i], unit[j]) >= threshold
+            near.append(np.stack([i[hit], j[hit]], 1))
+    for at, k in zip(cuts[sizes > SMALL], sizes[sizes > SMALL]):
+        cosine = unit[at : at + k] @ unit[at : at + k].T >= threshold
+        mine = side[at : at + k]
+        cosine &= (mine[:, None] == 0) | (mine[:, None] != mine[None, :])
+        taken += k * (k - 1) // 2
+        near.append(np.argwhere(np.triu(cosine, 1)) + at)
+    pairs = np.concatenate(near) if near else np.zeros((0, 2), np.int64)
+    lowest = np.ones(len(pairs), bool)
+    for x in range(0, len(pairs), 1 << 14):
+        p = pairs[x : x + (1 << 14)]
+        here = filter_[p[:, 0], None]
+        left = np.where(lists[p[:, 0]] < here, lists[p[:, 0]], -1)  # the filters below this one
+        right = np.where(lists[p[:, 1]] < here, lists[p[:, 1]], -2)
+        both = np.sort(np.concatenate([left, right], 1), axis=1)
+        lowest[x : x + (1 << 14)] = ~((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).any(1)
+    return pairs[lowest], taken
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: int | None = None, filters: int = 32, least: int = 24, block: int = 1200) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
     groups = written(fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    if code is None:
+        most = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+        code = min(1 << 15, max(64, 1 << math.ceil(math.log2(math.sqrt(filters * most)))))
+    kind = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
 
     def decoded(batches):
         for batch in batches:
@@ -83,35 +115,71 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: int = 64,
                 x = np.array(batch.column("embedding").take(pa.array(at)).to_pylist(), np.float64)
                 for k, found in zip(at, list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), code, filters, least)):
                     lists[k] = found
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], [*batch.schema.names, "dim", "filters"])
-
-    coded = groups.mapInArrow(decoded, "label int, embedding array<float>, rep long, copies long, dim int, filters array<long>")
-    coded = written(coded.withColumn("first", F.explode(F.array_distinct(F.transform("filters", lambda f: F.floor(f / code).cast("int"))))), "decoded")
-    sizes = coded.groupBy("label", "dim", "first").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    sent = coded.join(sizes, ["label", "dim", "first"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.select("label", "dim", "first", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "copies", "embedding", "filters")
-    keys = ["label", "dim", "first", "lo", "hi"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], [*batch.schema.names, "dim", "filters"])
+
+    fields = ", ".join(f"{c} {kind[c]}" for c in groups.columns)
+    coded = written(groups.mapInArrow(decoded, f"{fields}, dim int, filters array<int>"), "decoded")
+    entries = coded.select("label", "dim", F.explode("filters").alias("filter"), "rep")
+    met = entries.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = met.select("label", "dim", "filter", F.ceil(F.col("members") / block).cast("int").alias("parts"))
+    ids = entries.join(met, ["label", "dim", "filter"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    ids = ids.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ids = ids.select("label", "dim", "filter", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep")
+    sent = ids.join(coded.select("rep", "label", "dim", "copies", "embedding", "filters"), ["rep", "label", "dim"])
+    keys = ["label", "dim", "filter", "lo", "hi"]
+    # neighbours in the sort order are numbered by Spark's own comparison of the keys, so labels of any type do
+    sent = sent.withColumn("cell", F.xxhash64(*keys)).select("cell", *keys[2:], "dim", "part", "rep", "copies", "embedding", "filters", "label")
 
     def compared(batches):
-        for (_, _, first, lo, hi), group in sorted_groups(batches, 5):
-            x = np.array(group.column("embedding").to_pylist(), np.float64)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            side = (group.column("part").to_numpy() == hi).astype(int) if lo != hi else None
-            hits = linked(unit, [np.array(f) for f in group.column("filters").to_pylist()], first, code, threshold, side)
-            rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-            links = hits @ copies
-            i, j = spanning(np.argwhere(hits), len(rep))
-            some = links > 0
-            src, dst = np.concatenate([rep[some], rep[i]]), np.concatenate([rep[some], rep[j]])
-            if len(src):
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(np.concatenate([links[some], np.zeros(len(i), np.int64)]))], ["src", "dst", "n"])
-
-    found = written(sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compared, "src long, dst long, n long"), "links")
+        held = []
+
+        def found(table):
+            table = table.combine_chunks()
+            column = {c: table.column(c).to_numpy() for c in ("cell", "filter", "lo", "hi", "dim", "part", "rep", "copies")}
+            label = table.column("label").combine_chunks()
+            label = (label if isinstance(label, pa.DictionaryArray) else label.dictionary_encode()).indices.to_numpy()
+            group = np.cumsum(np.any([np.diff(c, prepend=c[:1]) != 0 for c in (label, *(column[k] for k in ("dim", "filter", "lo", "hi")))], axis=0))
+            some = table.column("filters").combine_chunks()
+            size = np.diff(some.offsets.to_numpy())
+            lists = -3 - np.arange(len(size), dtype=np.int64)[:, None] * np.ones(max(1, size.max()), np.int64)
+            lists[np.arange(lists.shape[1]) < size[:, None]] = some.flatten().to_numpy()
+            for dim in np.unique(column["dim"]):
+                at = np.flatnonzero(column["dim"] == dim)
+                x = table.column("embedding").take(pa.array(at)).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(at), dim)
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                side = np.where(column["lo"] != column["hi"], 1 + (column["part"] == column["hi"]), 0)[at]
+                pairs, _ = meeting(unit, lists[at], group[at], column["filter"][at], side, threshold)
+                if not len(pairs):
+                    continue
+                rep, copies = column["rep"][at], column["copies"][at]
+                links = np.bincount(pairs.ravel(), copies[pairs[:, ::-1]].ravel(), len(at)).astype(np.int64)
+                i, j = spanning(pairs, len(at))
+                linked = np.flatnonzero(links)
+                src, dst, n = np.concatenate([rep[linked], rep[i]]), np.concatenate([rep[linked], rep[j]]), np.concatenate([links[linked], np.zeros(len(i), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(n)], ["src", "dst", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 8192:
+                continue
+            table = pa.Table.from_batches(held)
+            last = np.flatnonzero(table.column("cell").to_numpy() != table.column("cell")[-1].as_py())
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on
+            if whole:
+                yield from found(table.slice(0, whole))
+                held = pa.Table.slice(table, whole).to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    sent = sent.repartition("cell").sortWithinPartitions("cell", *keys)
+    found = written(sent.mapInArrow(compared, "src long, dst long, n long"), "links")
     links = found.where("n > 0").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("src <> dst").select("src", "dst"))
     per = groups.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     per = per.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    discard(coded)
     out = rows.join(per, ["label", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -165,3 +165,34 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_spanning_forest_keeps_components():
     i, j = spanning(np.array([(0, 1), (1, 2), (4, 3)]), 6)
     assert sorted(zip(i.tolist(), j.tolist())) == [(1, 0), (2, 0), (4, 3)]
+
+
+def test_filters_compare_a_share_of_the_pairs_that_falls_as_they_grow():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((300, 64))
+    z -= (z * x[:300]).sum(1, keepdims=True) * x[:300]
+    unit = np.concatenate([x, 0.931 * x[:300] + np.sqrt(1 - 0.931**2) * z / np.linalg.norm(z, axis=1, keepdims=True)])
+    every, shares = len(unit) * (len(unit) - 1) // 2, []
+    for code in (64, 256):
+        lists = capfilter.list_decode(unit, code, 32, 24)
+        size = np.array([len(x) for x in lists])
+        row = np.repeat(np.arange(len(unit)), size)
+        at = np.argsort(np.concatenate(lists), kind="stable")
+        row, filter_ = row[at], np.concatenate(lists)[at]
+        padded = -3 - np.arange(len(unit))[:, None] * np.ones(size.max(), np.int64)
+        padded[np.arange(size.max()) < size[:, None]] = np.concatenate(lists)
+        group = np.cumsum(np.diff(filter_, prepend=filter_[:1]) != 0)
+        pairs, taken = capfilter.meeting(unit[row], padded[row], group, filter_, np.zeros(len(row), int), 0.93)
+        pairs = row[pairs]
+        assert len(np.unique(pairs, axis=0)) == len(pairs)  # each link once
+        assert {(i, i + 1500) for i in range(300)}.issuperset(map(tuple, np.sort(pairs, 1))) and len(pairs) >= 0.97 * 300
+        shares.append(taken / every)
+    assert shares[1] < shares[0] / 3 and shares[1] < 0.03
+
+
+def test_cap_filters_take_any_labels_and_double_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.1], "a"), (2, [1.0, 0.0, 0.11], "a"), (3, [1.0, 0.0, 0.1], "b"), (4, [1.0, 0.0, 0.1], "a"), (5, [], "a"), (4, [0.0, 1.0, 0.0], "a")]
+    got = capfilter.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (4, 2, 1, False), (5, 0, 5, True)]
