@@ -59,7 +59,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.drop("hamming")  # SQL has no fingerprints
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,16 @@ link AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a
 reach(i, k) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.i, link.j FROM reach JOIN link ON reach.k = link.i)
 SELECT reach.i AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(k) AS component_id, min(k) = reach.i AS kept FROM reach LEFT JOIN (SELECT i, count(*) AS n FROM link GROUP BY 1) c ON c.i = reach.i GROUP BY reach.i"""
 
+OP9_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(min(text)), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+i AS MATERIALIZED (SELECT item_id, len(w) AS m, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM b WHERE len(w) >= 5),
+g AS MATERIALIZED (SELECT doc_id, n, x.pos AS pos, x.g AS g FROM (SELECT doc_id, len(w) AS n, unnest(list_transform(range(0, len(w) - 4), lambda k: {'pos': k, 'g': array_to_string(w[k + 1:k + 5], ' ')})) AS x FROM d WHERE len(w) >= 5)),
+s AS (SELECT DISTINCT doc_id, n, m, greatest(least(pos, n - m), 0) AS start FROM g JOIN (SELECT DISTINCT m, g FROM i) USING (g)),
+c AS (SELECT s.doc_id, s.n, s.m, s.start, g.g, count(*) AS cw FROM s JOIN g ON g.doc_id = s.doc_id AND g.pos BETWEEN s.start AND s.start + s.m - 5 GROUP BY ALL),
+o AS (SELECT doc_id, n, m, start, item_id, sum(least(cw, ci)) AS o FROM c JOIN (SELECT item_id, m, g, count(*) AS ci FROM i GROUP BY ALL) USING (m, g) GROUP BY ALL),
+f AS (SELECT doc_id, item_id, start, least(m, n - start) AS n_words, o / (least(m, n - start) - 4 + m - 4 - o) AS similarity FROM o WHERE o * 180 >= 80 * (least(m, n - start) - 4 + m - 4))
+SELECT doc_id, item_id, start::INT AS start, n_words::INT AS n_words, similarity FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
+
 OP10_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
@@ -95,4 +106,4 @@ SELECT i AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(k) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_capfilter": OP7_SQL, "op10_jaccard": OP10_SQL}
+    return {"op7_capfilter": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_jaccard": OP10_SQL}

@@ -196,3 +196,47 @@ def test_cap_filters_take_any_labels_and_double_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.1], "a"), (2, [1.0, 0.0, 0.11], "a"), (3, [1.0, 0.0, 0.1], "b"), (4, [1.0, 0.0, 0.1], "a"), (5, [], "a"), (4, [0.0, 1.0, 0.0], "a")]
     got = capfilter.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
     assert sorted(map(tuple, got.collect())) == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (4, 2, 1, False), (5, 0, 5, True)]
+
+
+def test_hamming_blocks_meet_all_within_the_radius_and_few_others(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm import decontaminate as D
+
+    rng = np.random.default_rng(6)
+    signed = lambda x: int(x) - (1 << 64 if int(x) >> 63 else 0)
+    items = rng.integers(0, 1 << 64, (20, 2), np.uint64)
+    rows = []
+    for i in range(600):
+        fp = items[i % 20].copy() if i < 300 else rng.integers(0, 1 << 64, 2, np.uint64)
+        for bit in rng.choice(128, int(rng.integers(0, 45)), replace=False):
+            fp[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        rows.append((i, 40 + i % 2, signed(fp[0]), signed(fp[1])))
+    known = [(j, 40 + j % 2, signed(a), signed(b)) for j, (a, b) in enumerate(items)]
+    apart = lambda x, y: bin((x[2] ^ y[2]) & (1 << 64) - 1).count("1") + bin((x[3] ^ y[3]) & (1 << 64) - 1).count("1")
+    want = {(x[0], y[0]): apart(x, y) for x in rows for y in known if x[1] == y[1] and apart(x, y) <= D.RADIUS}
+    windows, benchmark = spark.createDataFrame(rows, "id long, m int, f0 long, f1 long"), spark.createDataFrame(known, "item_id long, m int, f0 long, f1 long")
+    found = D.near_prints(windows, benchmark, ["id", "m"])
+    got = found.collect()
+    assert len(want) > 150 and {(r["id"], r["item_id"]): r["hamming"] for r in got} == want and len(got) == len(want)
+    unrelated = D.near_prints(windows.where("id >= 300"), benchmark, ["id", "m"], radius=128).agg(F.count(F.lit(1))).first()[0]
+    assert unrelated < 0.1 * 300 * 10
+
+
+def test_windows_at_the_threshold_are_within_the_radius(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm import decontaminate as D
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(2000):
+        n = int(rng.integers(9, 60))
+        both = -(-8 * 2 * n // 18)  # shingles in common for a similarity of 0.8 just reached
+        a = rng.integers(-(1 << 62), 1 << 62, n).tolist()
+        rows.append((i, a, a[:both] + rng.integers(-(1 << 62), 1 << 62, n - both).tolist()))
+    df = spark.createDataFrame(rows, "id long, a array<long>, b array<long>")
+    one, two = (D.simhash(df.select("id", F.col(c).alias("sh")), ["id"]) for c in "ab")
+    apart = one.join(two.select("id", F.col("f0").alias("g0"), F.col("f1").alias("g1")), "id")
+    far = apart.where(F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) > D.RADIUS).count()
+    assert far <= 0.005 * 2000
