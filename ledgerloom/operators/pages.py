@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
@@ -24,10 +25,13 @@ def page_status(text: Column, threshold: int = 80) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, "EMPTY").when(n < threshold, "LOW_TEXT").otherwise("NATIVE_TEXT")
 
 
+#: fixed value: a line that is only a page number
+PAGE_NUMBER = r"(?i)^(?:p[aá]g(?:ina)?\.?\s*)?\d+(?:\s*/\s*\d+)?$"
+
+
 def margin_key(line: Column) -> Column:
     """What a margin line counts as: page numbers are all one."""
-    number = r"(?i)^(?:p[aá]g(?:ina)?\.?\s*)?\d+(?:\s*/\s*\d+)?$"
-    return F.when(line.rlike(number), "<PAGE_NUMBER>").otherwise(F.lower(line))
+    return F.when(line.rlike(PAGE_NUMBER), "<PAGE_NUMBER>").otherwise(F.lower(line))
 
 
 def page_lines(pages: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -57,48 +61,84 @@ def without_margins(lines: DataFrame, margins: DataFrame, window: int = 3) -> Da
     return got.select(*PAGE, clean_text(F.array_join(texts("kept"), "\n")).alias("clean_text"), texts("gone").alias("removed_lines"))
 
 
-#: fixed values: where a chunk may end, the best first
+#: fixed values: what a chunk may end after, the best first
 BREAKS = ["\n\n", "\n", ". ", "; ", ", ", " "]
+BLANK = np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
+
+
+class Ruler:
+    """Places of a page where chunks may begin and end, measured once from all of its characters."""
+
+    def __init__(self, text: str):
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        blank = np.isin(letters, BLANK)
+        flips = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+        self.words, self.ends = np.flatnonzero(flips < 0), np.flatnonzero(flips > 0)  # first letter of each word, place after its last
+        self.size = len(letters)
+        self.breaks = []
+        for mark in BREAKS:
+            hit = letters == ord(mark[-1])
+            if len(mark) == 2:
+                hit = hit & np.concatenate([[False], letters[:-1] == ord(mark[0])])
+            self.breaks.append(np.flatnonzero(hit) + 1)  # places after the mark
+        self.blanks = np.flatnonzero(blank)
+
+    def stop(self, wanted: int, slack: int) -> int:
+        """The last place after the best kind of mark that lies whole in the `slack` characters up to `wanted`."""
+        for mark, places in zip(BREAKS, self.breaks):
+            k = int(places.searchsorted(wanted, "right"))
+            if k and places[k - 1] - len(mark) >= wanted - slack:
+                return int(places[k - 1])
+        return wanted
+
+    def resume(self, wanted: int, most: int) -> int:
+        """The first place from `wanted` on that follows white space."""
+        k = int(self.blanks.searchsorted(wanted - 1))
+        return min(int(self.blanks[k]) + 1, most) if k < len(self.blanks) else most
+
+    def inked(self, lo: int, hi: int) -> tuple[int, int]:
+        """[lo, hi) without white space at either side; empty if there is nothing else."""
+        i, j = int(self.ends.searchsorted(lo, "right")), int(self.words.searchsorted(hi)) - 1
+        return (max(lo, int(self.words[i])), min(hi, int(self.ends[j]))) if i <= j else (lo, lo)
 
 
 def cut(text: str, size: int, overlap: int, back: int) -> list[tuple[int, int]]:
-    """Offsets of the chunks of one page, which depend on one another from left to right."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            floor = max(start + 1, end - back)
-            for mark in BREAKS:
-                at = text.rfind(mark, floor, end)
-                if at >= 0:
-                    end = at + len(mark)
-                    break
-        a, b = start, end
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        if b > a:
-            out.append((a, b))
-        if end >= n:
-            break
-        start = max(end - overlap, start + 1)
-        while start < end and start > 0 and not text[start - 1].isspace():
-            start += 1
-    return out
+    """Offsets of the chunks of one page: each ends after a mark where one is near, and the next one goes back by the
+    overlap, to the word that follows."""
+    ruler, out, at = Ruler(text), [], 0
+    if not len(ruler.words):
+        return out
+    while at + size < ruler.size:
+        end = ruler.stop(at + size, min(back, size - 1))
+        out.append(ruler.inked(at, end))
+        at = ruler.resume(max(end - overlap, at + 1), end)
+    out.append(ruler.inked(at, ruler.size))
+    return [(a, b) for a, b in out if a < b]
 
 
 def chunks(pages: DataFrame, text: str = "clean_text", size: int = 3000, overlap: int = 250, back: int = 500) -> DataFrame:
-    """Chunks of at most `size` characters with exact offsets. Greedy inside a page, parallel over pages, Arrow batches."""
+    """Chunks of at most `size` characters with exact offsets. Greedy inside a page, parallel over pages, Arrow batches.
+    A page of one chunk needs no places, only its white space taken off."""
     if overlap >= size:
         raise ValueError("the overlap must be smaller than a chunk")
 
+    def spans(t: str) -> list[tuple[int, int]]:
+        if len(t) > size:
+            return cut(t, size, overlap, back)
+        lead = len(t) - len(t.lstrip())
+        return [(lead, len(t.rstrip()))] if lead < len(t) else []
+
     def split(batches):
         for batch in batches:
-            rows = [(d, p, i, a, b, t[a:b]) for d, p, t in zip(*(c.to_pylist() for c in batch.columns)) if t for i, (a, b) in enumerate(cut(t, size, overlap, back))]
-            names = ["document_id", "page_number", "chunk_index", "char_start", "char_end", "text"]
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+            texts = batch.column(2).to_pylist()
+            found = [spans(t) if t else [] for t in texts]
+            n = np.array([len(x) for x in found], np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.array([s for x in found for s in x], np.int32).reshape(-1, 2)
+            index = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            pieces = pa.array([t[a:b] for t, x in zip(texts, found) for a, b in x], pa.string())
+            head = batch.select(["document_id", "page_number"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*head.columns, pa.array(index.astype(np.int32)), pa.array(place[:, 0].copy()), pa.array(place[:, 1].copy()), pieces], ["document_id", "page_number", "chunk_index", "char_start", "char_end", "text"])
 
     kind = pages.schema["document_id"].dataType.simpleString()
     out = pages.select("document_id", F.col("page_number").cast("int"), text).mapInArrow(split, f"document_id {kind}, page_number int, chunk_index int, char_start int, char_end int, text string")

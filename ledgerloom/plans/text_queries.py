@@ -148,6 +148,32 @@ def chunk_invariants(spark, sf_dir):
     return got.groupBy("document_id").agg(F.bool_and(exact).alias("offsets_match"), F.bool_and(F.length("text") <= 3000).alias("bounded"), ((F.min("char_start") == 0) & (F.max("char_end") == F.max(F.length("clean_text")))).alias("covers"))
 
 
+CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{00a0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"
+
+
+def sql_stop(size: int, back: int, s: str = "s") -> str:
+    """End of a chunk that begins at s of text t with n characters: after the last best mark of the characters before the limit."""
+    lo, hi = f"greatest({s} + 1, {s} + {size} - {back})", f"{s} + {size}"
+    near = f"reverse(substr(t, {lo} + 1, {hi} - {lo}))"
+    ends = [f"WHEN contains({near}, reverse({m})) THEN {hi} - strpos({near}, reverse({m})) + 1" for m in ("chr(10) || chr(10)", "chr(10)", "'. '", "'; '", "', '", "' '")]
+    return f"CASE WHEN {s} + {size} >= n THEN n {' '.join(ends)} ELSE {hi} END"
+
+
+def sql_next(overlap: int) -> str:
+    """Begin of the next chunk: back by the overlap from e, then to the place after the next white space."""
+    at = f"greatest(e - {overlap}, s + 1)"
+    return rf"least(e, {at} + length(regexp_extract(substr(t, {at}, e - {at} + 1), '^\S*')))"
+
+
+@query(rf"""WITH RECURSIVE clean AS (SELECT doc_id d, {CLEAN} t FROM documents), page AS (SELECT d, t, length(t) n FROM clean WHERE t <> ''),
+walk(d, s, e) AS (SELECT d, 0::BIGINT, ({sql_stop(800, 200, "0")})::BIGINT FROM page UNION ALL SELECT d, s, {sql_stop(800, 200)} FROM (SELECT walk.d, t, n, {sql_next(100)} AS s FROM walk JOIN page USING (d) WHERE e < n)),
+inked AS (SELECT d, s + length(x) - length(regexp_replace(x, '^\s+', '')) a, e - length(x) + length(regexp_replace(x, '\s+$', '')) b, t FROM (SELECT *, substr(t, s + 1, e - s) x FROM walk JOIN page USING (d)))
+SELECT d AS document_id, (row_number() OVER (PARTITION BY d ORDER BY a) - 1)::INT AS chunk_index, a::INT AS char_start, b::INT AS char_end, sha256(substr(t, a + 1, b - a)) AS hash FROM inked WHERE a < b""")
+def chunk_rows(spark, sf_dir):
+    pages = documents(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), X.clean_text(F.col("text")).alias("clean_text"))
+    return P.chunks(pages, size=800, overlap=100, back=200).select("document_id", "chunk_index", "char_start", "char_end", F.sha2("text", 256).alias("hash"))
+
+
 READING = "reading AS (SELECT conv_id d, turn + 1 p, max(text) r FROM conversations GROUP BY ALL)"
 
 
