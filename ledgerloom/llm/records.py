@@ -10,12 +10,17 @@ Files are in ascending order of doc_id: range partitions, sorted, one file a par
 with a name of its own and reports them in a manifest row, so a lost executor or a speculative attempt leaves at most
 an orphan that no manifest names. Paths go through the Arrow file system of the URI: local, HDFS or object store.
 
-Null text is empty: only the end id. Repeated doc_ids stay as records of their own, next to each other. An empty table
-gives an empty manifest. Extra columns are ignored.
+Texts are encoded whole by the tokenizers library. Only where the tokenizer's own file proves that it cuts at every blank
+(`cuts_at_blanks`) are words encoded once and remembered.
+
+Null text is empty: only the end id. Repeated doc_ids stay as records of their own, next to each other. A null doc_id
+comes first, is stored as the least long and read as null (a doc_id of that value is refused). An empty table gives an
+empty manifest. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -128,6 +133,35 @@ def parsed(data: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray], int]:
     return np.array([int.from_bytes(data[s + 12 : s + 20], "little", signed=True) for s in starts], np.int64), ids, at
 
 
+#: fixed value: the words of a tokenizer that is known to cut at blanks, between letters and marks, and at each digit
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NO_ID = -(1 << 63)
+
+
+def cuts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer's file says that a text's ids are those of its words in turn: white space is dropped, no word
+    holds any, and nothing else looks across words. Anything not known here is taken for no."""
+    steps = spec.get("normalizer") or {}
+    plain = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    cut = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    parts = [{k: v for k, v in x.items() if k != "trim_offsets"} for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    model = spec.get("model") or {}
+    return (
+        steps.get("normalizers") == plain
+        and parts == [cut, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+        and not (spec.get("truncation") or spec.get("padding") or model.get("dropout"))
+        and model.get("type") == "BPE"
+        and not any(set(t["content"]) & set(" \n\t") or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
+    )
+
+
+def id_width(path: str, end_id: int) -> int:
+    """Bytes of an id: two while all ids fit, else four."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 and end_id < 1 << 16 else 4
+
+
 TAIL = ".,;:!?*%$&#"  # marks that are a pre-token of their own after a letter
 
 
@@ -140,17 +174,26 @@ def parts_of(word: str) -> tuple[str, str]:
 
 
 def encoder(path: str, width: int, most: int = 700_000):
-    """Function from an Arrow string column to (ids of all rows in one array, offsets of the rows). Texts are cut at blanks
-    and line ends, where the tokenizer cuts too (it drops white space, and no pre-token holds any); Arrow numbers the
+    """Function from an Arrow string column to (ids of all rows in one array, offsets of the rows). Where the tokenizer cuts
+    at blanks (it drops white space, and no pre-token holds any), so do we; Arrow numbers the
     different words of a batch. Words, and the cores they are made of, are encoded once and remembered while the worker
-    process lives, up to `most` of each; then the memory starts anew."""
+    process lives, up to `most` of each; then the memory starts anew. Other tokenizers get the texts whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     state = sys.modules.setdefault("ledgerloom_worker_state", types.ModuleType("ledgerloom_worker_state")).__dict__
     if (path, width) not in state:
-        state[path, width] = Tokenizer.from_file(path), {}, {}
-    tokenizer, words, cores = state[path, width]
+        with open(path, encoding="utf-8") as f:
+            state[path, width] = Tokenizer.from_file(path), {}, {}, cuts_at_blanks(json.load(f))
+    tokenizer, words, cores, by_word = state[path, width]
+
+    def whole(column) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)])
+        return np.fromiter((i for x in got for i in x), f"<u{width}", int(at[-1])), at
+
+    if not by_word:
+        return whole
 
     def remember(seen: list[str]):
         fresh = [w for w in seen if w not in words]
@@ -190,9 +233,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2, parts: int | None = None) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int | None = None, parts: int | None = None) -> DataFrame:
     """Writes all texts of docs (doc_id, text) as record files and returns the manifest, one row a file, in order."""
     to = shared_dir(docs.sparkSession, "records")
+    width = width or id_width(tokenizer, end_id)
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def store(batches):
@@ -207,7 +251,10 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int =
             for batch in batches:
                 for a, b in blocks(utf8_view(batch.column(1))[1], 8 << 20):
                     rows = batch.slice(a, b - a)
-                    doc_ids = rows.column(0).to_numpy()
+                    doc_ids = rows.column(0)
+                    if pc.any(pc.equal(doc_ids, NO_ID)).as_py():
+                        raise ValueError("the least long stands for a null doc_id")
+                    doc_ids = doc_ids.fill_null(NO_ID).to_numpy()
                     flat, at_row = encoded(rows.column(1))
                     ids = [flat[x:y].tobytes() + end for x, y in zip(at_row[:-1], at_row[1:])]
                     data, sizes = frames(doc_ids, ids)
@@ -250,7 +297,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                         n = np.array([len(x) for x in ids], np.int64)
                         crc = np.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], np.int64)
                         seen += len(n)
-                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         at += int(n.sum())
                 if rest or seen != row["n_records"]:
                     raise ValueError(f"{path} is cut short")
