@@ -9,7 +9,7 @@ line around paragraphs, headings, lists and tables, list items get a mark and an
 is, and table cells are padded so that columns align.
 
 Null html gives empty text; text without markup is one paragraph; broken markup (cut tags, stray '<') is text. Elements
-nest 200 deep, deeper ones join their ancestor at that depth, with all their text. Extra columns are kept; result
+nest 512 deep, deeper ones join their ancestor at that depth, with all their text. Extra columns are kept; result
 columns are overwritten.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,13 +32,12 @@ BLOCK = SPACED | frozenset("address article aside body center dd details dialog
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"), "optgroup": ("option optgroup", "select"), "tr": ("td th tr caption colgroup", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "thead": ("td th tr thead tbody tfoot caption colgroup", "table"), "tbody": ("td th tr thead tbody tfoot caption colgroup", "table"), "tfoot": ("td th tr thead tbody tfoot caption colgroup", "table"), "body": ("head", "html")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 ENDS_P = BLOCK - {"option", "optgroup", "tr", "html", "body", "caption"}
-DEPTH = 200
+DEPTH, MOST_ACROSS = 512, 1000  # the standard's bound of colspan, and the depth at which its parsers stop nesting
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']\S*))?")
 QUOTED = re.compile(r"/\*.*?\*/|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
 HIDING = {("display", "none"), ("visibility", "hidden"), ("visibility", "collapse")}
-NUMBER = re.compile(r"(colspan|start)\s*=\s*[\"']?(\d{1,3})", re.I)
 
 
 class Node:
@@ -133,7 +133,7 @@ def render(node: Node, pre: bool = False) -> list[str]:
             else:
                 lines.extend(t for x in text.split("\r") if (t := " ".join(x.split())) or len(lines))
 
-    def put(child, number):
+    def put(child, nth):
         if isinstance(child, str):
             inline.append(child if pre else child.replace("\r", " "))
         elif not child.shown:
@@ -156,7 +156,7 @@ def render(node: Node, pre: bool = False) -> list[str]:
                 inner = render(child, pre or child.tag == "pre")
                 inner = collapse(inner) if child.tag in ("li", "dd", "dt", "blockquote") else inner
             if child.tag == "li":
-                mark = f"{number}. " if number else "- "
+                mark = "- " if nth is None else f"{nth}. "
                 inner = [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(inner or [""])]
                 inner[0] = inner[0].rstrip() or mark.rstrip()
             elif child.tag in ("dd", "blockquote"):
@@ -167,47 +167,76 @@ def render(node: Node, pre: bool = False) -> list[str]:
             lines.extend([*space, *inner, *space])
 
     def walk(parent):
-        count = int(dict(NUMBER.findall(parent.attrs.lower())).get("start", 1)) if parent.tag == "ol" else 0
+        count = number(parent, "start", 1) if parent.tag == "ol" else 0
         for child in parent.items:
-            put(child, count)
-            count += parent.tag == "ol" and not isinstance(child, str) and child.tag == "li"
+            item = parent.tag == "ol" and not isinstance(child, str) and child.tag == "li"
+            count = number(child, "value", count) if item else count
+            put(child, count if parent.tag == "ol" else None)
+            count += item
 
     walk(node)
     flush()
     return [x.rstrip() for x in lines]
 
 
+def number(node: Node, name: str, default: int) -> int:
+    """An integer attribute; of repeated ones the first holds."""
+    if name in node.attrs.lower():
+        for m in ATTRIBUTE.finditer(node.attrs):
+            if m[1].lower() == name:
+                value = re.match(r"\s*([+-]?[0-9]+)", (m[2] or "").strip("\"'"))
+                return int(value[1]) if value else default
+    return default
+
+
 def table(node: Node) -> list[str]:
-    rows, before, stack = [], [], list(reversed(node.items))
+    """Rows with aligned cells. A cell holds its place in the rows it spans, to the end of its row group at most; columns
+    without any text take no space."""
+    rows, before, held, stack = [], [], {}, list(reversed(node.items))
     while stack:
         child = stack.pop()
-        if isinstance(child, str):
+        if child is None:
+            held = {}
+        elif isinstance(child, str):
             if text := " ".join(child.split()):
                 before.append(text)
         elif not child.shown:
             continue
         elif child.tag == "tr" or child.tag in ("td", "th"):
             cells = child.items if child.tag == "tr" else [child]
-            row = []
+            row, at, fresh = {}, 0, {}
             for cell in cells:
+                while at in held:
+                    at += 1
                 if isinstance(cell, str):
-                    row += [" ".join(cell.split())] if cell.strip() else []
+                    if cell.strip():
+                        row[at] = " ".join(cell.split())
+                        at += 1
                 elif cell.shown:
-                    row.append(" ".join(" ".join(render(cell)).split()))
-                    row += [""] * (min(int(dict(NUMBER.findall(cell.attrs.lower())).get("colspan", 1)), 100) - 1)
+                    row[at] = " ".join(" ".join(render(cell)).split())
+                    across, down = min(max(number(cell, "colspan", 1), 1), MOST_ACROSS), number(cell, "rowspan", 1)
+                    if down == 0 or down > 1:
+                        fresh |= dict.fromkeys(range(at, at + across), down - 1 if down else -1)  # below nothing ends it: to the end of the group
+                    at += across
+            held = {k: v - 1 for k, v in held.items() if v != 1} | fresh
             rows.append(row)
         elif child.tag in ("tbody", "thead", "tfoot"):
-            stack.extend(reversed(child.items))
+            stack.extend([None, *reversed(child.items), None])
         else:
             before.extend(collapse(render(child)))
-    wide = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return before + ["  ".join(c.ljust(w) for c, w in zip(row, wide)).rstrip() for row in rows]
+    wide = {}
+    for row in rows:
+        for at, text in row.items():
+            wide[at] = max(wide.get(at, 0), len(text))
+    used = sorted(at for at, w in wide.items() if w)
+    return before + ["  ".join(row.get(at, "").ljust(wide[at]) for at in used).rstrip() for row in rows]
 
 
 def page_text(source: str | None) -> tuple[str, str]:
     """(title, visible text) of a page."""
     if not source:
         return "", ""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 16 * DEPTH))
     title = re.search(r"<title[^>]*>(.*?)</title", source, re.S | re.I)
     return " ".join(html.unescape(title[1]).split()) if title else "", "\n".join(collapse(render(tree(source.replace("\0", ""))))).replace("\0", "")
 
