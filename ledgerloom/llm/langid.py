@@ -4,7 +4,7 @@ Training counts every (three-byte context, byte) of the lower-cased UTF-8 text o
 rows. Each language gets one variable-order byte context tree of order 3, 2, 1, 0 and -1 with method-C escapes: in a
 context seen n times with d distinct next bytes, byte b costs -log2(count / (n + d)), and a byte not seen there costs
 the escape, -log2(d / (n + d)), plus its cost one order lower; a context never seen passes on for free; order -1 is
-uniform over 256 bytes. The statistics are frozen, so the costs of every (context, byte) that some language has seen are
+uniform over 256 bytes. The begin of a text is part of the contexts of its first three bytes. The statistics are frozen, so the costs of every (context, byte) that some language has seen are
 laid out once, one row of all languages each, and broadcast; a byte not seen in a context costs that context's row of
 escapes and is looked up one order lower. A text's exact code length under a language is the sum, and the shortest code
 wins. Ties go to the language first by name.
@@ -26,26 +26,31 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.common import blocks, utf8_view
 
-SYMBOLS = 128
+SYMBOLS, START = 128, 255
 ONE = np.uint64(1)
 
 
+def begun(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the texts' bytes with three bytes START, which UTF-8 never has, before each; places of the texts' own bytes)."""
+    at = np.arange(len(data)) + 3 * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
+    out = np.full(len(data) + 3 * (len(offsets) - 1), START, np.uint8)
+    out[at] = data
+    return out, at
+
+
 def gram_counts(batches):
-    """(lang, text) batches -> (lang, gram, n): gram packs four bytes, the last one lowest."""
+    """(lang, text) batches -> (lang, gram, n): gram packs four bytes, the last one lowest; the first bytes of a text
+    follow START."""
     for batch in batches:
         for lang in pc.unique(batch.column("lang")).to_pylist():
             text = pc.utf8_lower(batch.column("text").filter(pc.equal(batch.column("lang"), lang)))
             data, offsets = utf8_view(text)
             for a, b in blocks(offsets, 4 << 20):
-                x = data[offsets[a] : offsets[b]].astype(np.uint32)
-                if len(x) < 4:
+                if offsets[a] == offsets[b]:
                     continue
-                gram = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
-                inside = np.ones(len(gram), bool)
-                ends = (offsets[a + 1 : b] - offsets[a])[:, None] - np.arange(1, 4)
-                ends = ends[(ends >= 0) & (ends < len(gram))]
-                inside[ends] = False
-                gram, n = np.unique(gram[inside], return_counts=True)
+                x, at = begun(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                x = x.astype(np.uint32)
+                gram, n = np.unique(x[at - 3] << 24 | x[at - 2] << 16 | x[at - 1] << 8 | x[at], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
@@ -202,13 +207,10 @@ def code_lengths(model: dict, text) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = offsets[a], offsets[b]
         if lo == hi:
             continue
-        s = model["symbol"][data[lo:hi]]
-        code = np.zeros(len(s), np.int32)  # context of the first bytes of a text: symbols of the text before it count
-        code[3:] = (s[:-3] * width + s[1:-2]) * width + s[2:-1]
-        context = model["pick"][code]
-        first = (offsets[a:b][np.diff(offsets[a : b + 1]) > 0] - lo)[:, None] + np.arange(3)
-        context[first[first < len(s)]] = 0  # ... and so the first three bytes of each are coded at order 0
-        cost = priced(model, context, s)
+        x, at = begun(data[lo:hi], offsets[a : b + 1] - lo)
+        s = model["symbol"][x]
+        context = model["pick"][(s[at - 3] * width + s[at - 2]) * width + s[at - 1]]
+        cost = priced(model, context, s[at])
         full = np.flatnonzero(np.diff(offsets[a : b + 1]) > 0)
         bits[a + full] = np.add.reduceat(cost, offsets[a:b][full] - lo, axis=0, dtype=np.float64)
     return bits, np.diff(offsets)
