@@ -1,14 +1,17 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
 A text is a row of a term matrix: byte-class bigrams of the whole text plus shape terms (how many words, and the
-bounds that the share of distinct words is below). Term weights are log frequency times inverse document frequency; a truncated singular value
-decomposition of the labelled rows gives the latent space. The labelled vectors (at most `max_labelled` a class, a
+bounds that the share of distinct words is below). A term counts as its log frequency times a weight learned from the
+labelled rows: how far apart the classes' means of the term lie, over its variance inside the classes (with one class
+all weights are 1). A truncated singular value decomposition of the weighted labelled rows gives the latent space. The
+labelled vectors (at most `max_labelled` a class, a
 bound of the broadcast) go to every task, which takes exact cosines of its documents with all of them in blocks of
 matrix products. The `neighbours` nearest vote with weights exp(cosine / temperature), and each class's votes are
 scaled by the share of it that was taken, so the vote estimates the true class odds.
 
 Nulls and empty texts have only shape terms and get a score like any text. Repeated rows are scored alike. With
-no labelled rows the score is 0.5, with one class it is that class. Extra columns are ignored.
+no labelled rows the score is 0.5, with one class it is that class. Null doc_ids are never labelled. Extra columns are
+kept, score and predicted are overwritten.
 """
 
 from __future__ import annotations
@@ -51,26 +54,33 @@ def term_rows(column) -> np.ndarray:
         words = raw[offsets[i] : offsets[i + 1]].split()
         share = len(set(words)) / len(words) if words else 0.0
         out[i, CLASSES * CLASSES + min(BANDS - 1, len(words).bit_length())] = 1
-        out[i, CLASSES * CLASSES + BANDS + min(SHARES - 1, int(share * SHARES)) :] = 30  # one term for each bound that the share is below
+        out[i, CLASSES * CLASSES + BANDS + min(SHARES - 1, int(share * SHARES)) :] = 1  # one term for each bound that the share is below
     return out
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, taken: tuple[float, float], latent: int = 64) -> dict:
     """Model from labelled term rows. taken: per class, how many labelled rows each taken row stands for."""
-    known = (rows > 0).sum(0)
-    idf = np.log((1 + len(rows)) / (1 + known)) + 1
-    x = np.log1p(rows) * idf
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    base = (idf[:, None] * vectors[:, ::-1][:, :latent]).astype(np.float32)
-    return {"base": base, "points": unit(np.log1p(rows) @ base), "labels": labels.astype(np.float32), "taken": taken}
+    x = np.log1p(rows.astype(np.float64))
+    weight = term_weights(x, labels)
+    _, vectors = np.linalg.eigh((x * weight).T @ (x * weight))
+    base = weight[:, None] * vectors[:, ::-1][:, :latent]
+    return {"base": base, "points": unit(x @ base), "labels": labels.astype(np.float32), "taken": taken}
+
+
+def term_weights(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """What a term says about the class: distance of the class means over the mean variance inside the classes."""
+    good, bad = x[labels > 0], x[labels <= 0]
+    if not len(good) or not len(bad):
+        return np.ones(x.shape[1])
+    return np.abs(good.mean(0) - bad.mean(0)) / ((good.var(0) + bad.var(0)) / 2 + 1e-3)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def vote(model: dict, rows: np.ndarray, neighbours: int, temperature: float) -> np.ndarray:
-    cosines = unit(np.log1p(rows) @ model["base"]) @ model["points"].T
+    cosines = unit(np.log1p(rows.astype(np.float64)) @ model["base"]) @ model["points"].T
     k = min(neighbours, cosines.shape[1])
     near = np.argpartition(cosines, -k, axis=1)[:, -k:] if k < cosines.shape[1] else np.tile(np.arange(k), (len(rows), 1))
     y = model["labels"][near]
@@ -101,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 2048, latent:
     return fit(x[order], y[order], tuple(counts.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)), latent)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, neighbours: int = 31, temperature: float = 0.05, max_labelled: int = 2048) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, neighbours: int = 31, temperature: float = 0.02, max_labelled: int = 2048) -> DataFrame:
     """docs with `score` (0 to 1, higher: quality 1 likelier) and `predicted`; learns from `labels` (doc_id, quality)."""
     model = train(docs, labels, max_labelled)
     sent = docs.sparkSession.sparkContext.broadcast(model)
