@@ -191,7 +191,7 @@ def tree_join(sets: list[np.ndarray], num: int, den: int, levels: int) -> np.nda
 
 def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block: int = 1000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): two documents link when den * overlap >= num * union."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
 
     def pointed(batches):
         shingler, points = Shingler(width), Points(num, den)
@@ -204,44 +204,47 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
                 met.append(points.of(s))
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in met])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(met) if met else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], ["doc_id", "n", "hi", "lo", "points"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], ["doc_id", "row", "n", "hi", "lo", "points"])
 
     same = ["n", "hi", "lo"]
-    pointed_sets = written(rows.mapInArrow(pointed, "doc_id long, n long, hi long, lo long, points array<long>"), "points")
+    pointed_sets = written(rows.mapInArrow(pointed, "doc_id long, row long, n long, hi long, lo long, points array<long>"), "points")
     sets = written(pointed_sets.select("doc_id", *same), "sets")
-    reps = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    # one exchange; a window keeps no group in memory beyond its sorted (point, doc_id) rows, which can spill
-    met = pointed_sets.select("doc_id", F.explode("points").alias("point"))
+    # equal sets are one from here on, so copies make no points
+    reps = pointed_sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row", "points")).alias("one"))
+    reps = written(reps.select(*same, F.col("one.doc_id").alias("rep"), F.col("one.row").alias("row"), F.col("one.points").alias("points")), "reps")
+    discard(pointed_sets)
+    # one exchange; a window keeps no group in memory beyond its sorted (point, rep) rows, which can spill
+    met = reps.select("rep", "row", F.explode("points").alias("point"))
     at = W.partitionBy("point")
-    met = met.withColumn("center", F.min("doc_id").over(at)).withColumn("last", F.max("doc_id").over(at)).where("center < last")
-    members = met.select("center", "doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id"), "n"), "doc_id").select("center", "doc_id", "n")
+    met = met.withColumn("center", F.min("rep").over(at)).withColumn("last", F.max("rep").over(at)).where("center < last")
+    members = met.select("center", F.col("rep").alias("doc_id"), "row").distinct().join(reps.select(F.col("rep").alias("doc_id"), "row", "n"), ["doc_id", "row"]).select("center", "doc_id", "row", "n")
     members = written(members, "members")
-    discard(pointed_sets)
-    parts = members.groupBy("center").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("all")).where("met > 1")
-    parts = parts.select("center", F.greatest(F.ceil(F.col("met") / block), F.ceil(F.col("all") / (block * 1000))).cast("int").alias("parts"))
-    sent = members.join(parts, "center").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # only centers beyond a block are split; they are few (members / block at most), so members stay where they are
+    hot = members.groupBy("center").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("all"))
+    hot = hot.select("center", F.greatest(F.ceil(F.col("met") / block), F.ceil(F.col("all") / (block * 1000))).cast("int").alias("parts")).where("parts > 1")
+    sent = members.join(hot, "center", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.select("center", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id")
-    sent = sent.hint("merge").join(rows, "doc_id")  # the same plan at every size
+    sent = sent.select("center", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "row")
+    sent = sent.hint("merge").join(rows, ["doc_id", "row"])  # the same plan at every size
     keys = ["center", "lo", "hi"]
 
     def joined(batches):
         shingler = Shingler(width)
         for (_, lo, hi), group in sorted_groups(batches, 3):
-            ids, at = np.unique(group.column("doc_id").to_numpy(), return_index=True)
-            if len(ids) < 2:
+            ids = group.column("doc_id").to_numpy()
+            if ids.min() == ids.max():
                 continue
-            group = group.take(pa.array(at))
             pairs = tree_join(list(shingler.sets(group.column("text"))), num, den, min(32, 2 + len(ids) // 8))
             if lo != hi and len(pairs):
                 side = group.column("part").to_numpy()
                 pairs = pairs[side[pairs[:, 0]] != side[pairs[:, 1]]]
             i, j = spanning(pairs, len(ids))
+            i, j = (x[ids[i] != ids[j]] for x in (i, j))
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["src", "dst"])
 
     sent = sent.select(*keys, "part", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys)
     found = connected_components(sent.mapInArrow(joined, "src long, dst long"))
-    joined_reps = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    joined_reps = reps.drop("points", "row").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", *same).join(joined_reps, same, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
