@@ -8,7 +8,7 @@ best. Vectors of one label meet by an equi-join on the whole filter (label, dime
 at its lowest common filter, where its exact cosine in double precision decides, so no table of pairs is ever built.
 
 If `code` is not given it is the least power of two whose filters hold one unrelated vector of the largest label each on
-average (64 to 32,768), so the unrelated pairs that are compared grow with the rows, not with their square. Only filters
+average (64 to 4,096; beyond that table size filters fill up in proportion), so the unrelated pairs that are compared grow with the rows, not with their square. Only filters
 that two vectors have get the vectors themselves; the others end as (filter, number) rows. A filter with more than
 `block` vectors is split into pairs of blocks.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.common import connected_components, discard, spanning, written
 
-SMALL = 48  # larger groups are compared by matrix products
+SMALL = 24  # larger groups are compared by matrix products
 
 
 def codewords(size: int, dim: int, half: int) -> np.ndarray:
@@ -48,15 +48,28 @@ def list_decode(unit: np.ndarray, code: int, filters: int, least: int) -> list[n
         part = unit[lo : lo + 256]
         first = part[:, :cut] @ first_words.T
         second = part[:, cut:] @ second_words.T if second_words is not None else np.zeros((len(part), code))
-        for a, b in zip(first, second):
-            i, j = np.flatnonzero(a + b.max() >= height), np.flatnonzero(b + a.max() >= height)
-            rows, columns = np.nonzero(a[i][:, None] + b[j][None, :] >= height)
-            if len(rows) < least:  # the best sums are among the best of either half
-                k = min(least, code)
-                i, j = np.argpartition(a, -k)[-k:], np.argpartition(b, -k)[-k:]
-                total = a[i][:, None] + b[j][None, :]
-                rows, columns = np.unravel_index(np.argpartition(total.ravel(), -min(least, total.size))[-min(least, total.size) :], total.shape)
-            out.append(np.sort(i[rows].astype(np.int64) * code + j[columns]))
+        order = np.argsort(-second, axis=1)
+        falling = np.take_along_axis(second, order, 1)
+        row, i = np.nonzero(first + falling[:, :1] >= height)
+        top = min(32, code)  # second codewords looked at, from the best one on
+        while True:
+            hit = first[row, i][:, None] + falling[row, :top] >= height
+            if top == code or not hit[:, -1].any():
+                break
+            top = min(2 * top, code)
+        which, rank = np.nonzero(hit)
+        row, number = row[which], i[which].astype(np.int64) * code + order[row[which], rank]
+        few = np.flatnonzero(np.bincount(row, minlength=len(part)) < least)
+        if len(few):  # the best sums are among the best of either half
+            k = min(least, code)
+            best = np.argpartition(first[few], -k, axis=1)[:, -k:]
+            total = (np.take_along_axis(first[few], best, 1)[:, :, None] + falling[few][:, None, :k]).reshape(len(few), -1)
+            at = np.argpartition(total, -min(least, k * k), axis=1)[:, -min(least, k * k) :]
+            taken = np.take_along_axis(best, at // k, 1).astype(np.int64) * code + np.take_along_axis(order[few], at % k, 1)
+            keep = ~np.isin(row, few)
+            row, number = np.concatenate([row[keep], np.repeat(few, at.shape[1])]), np.concatenate([number[keep], taken.ravel()])
+        number = number[np.lexsort((number, row))]
+        out.extend(np.split(number, np.cumsum(np.bincount(row, minlength=len(part)))[:-1]))
     return out
 
 
@@ -77,22 +90,48 @@ def meeting(unit: np.ndarray, lists: np.ndarray, group: np.ndarray, filter_: np.
             taken += len(i)
             hit = np.einsum("nd,nd->n", unit[i], unit[j]) >= threshold
             near.append(np.stack([i[hit], j[hit]], 1))
+    small = np.concatenate(near) if near else np.zeros((0, 2), np.int64)
+    near = [small[lowest_by_search(lists, small, filter_)]]
     for at, k in zip(cuts[sizes > SMALL], sizes[sizes > SMALL]):
         cosine = unit[at : at + k] @ unit[at : at + k].T >= threshold
         mine = side[at : at + k]
         cosine &= (mine[:, None] == 0) | (mine[:, None] != mine[None, :])
+        np.fill_diagonal(cosine, False)
         taken += k * (k - 1) // 2
-        near.append(np.argwhere(np.triu(cosine, 1)) + at)
-    pairs = np.concatenate(near) if near else np.zeros((0, 2), np.int64)
-    lowest = np.ones(len(pairs), bool)
-    for x in range(0, len(pairs), 1 << 14):
-        p = pairs[x : x + (1 << 14)]
-        here = filter_[p[:, 0], None]
-        left = np.where(lists[p[:, 0]] < here, lists[p[:, 0]], -1)  # the filters below this one
-        right = np.where(lists[p[:, 1]] < here, lists[p[:, 1]], -2)
-        both = np.sort(np.concatenate([left, right], 1), axis=1)
-        lowest[x : x + (1 << 14)] = ~((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).any(1)
-    return pairs[lowest], taken
+        rows = np.flatnonzero(cosine.any(1))
+        if len(rows):
+            cosine = cosine[np.ix_(rows, rows)] & ~common_below(lists[at + rows], filter_[at])
+            near.append(np.argwhere(np.triu(cosine, 1)))
+            near[-1] = at + rows[near[-1]]
+    return np.concatenate(near), taken
+
+
+def lowest_by_search(lists: np.ndarray, pairs: np.ndarray, filter_: np.ndarray) -> np.ndarray:
+    """Whether a pair's rows have no common filter below the one they met at."""
+    out = np.ones(len(pairs), bool)
+    own = np.where(lists >= 0, lists, 0).astype(np.int64) + (np.arange(len(lists), dtype=np.int64) << 32)[:, None]
+    flat = own[lists >= 0]  # ascending: by row, then by filter
+    for x in range(0, len(pairs), 1 << 15):
+        p = pairs[x : x + (1 << 15)]
+        mine = lists[p[:, 0]]
+        pair, column = np.nonzero((mine >= 0) & (mine < filter_[p[:, 0], None]))
+        wanted = (p[pair, 1].astype(np.int64) << 32) + mine[pair, column]
+        found = flat[np.minimum(np.searchsorted(flat, wanted), len(flat) - 1)] == wanted
+        out[x + pair[found]] = False
+    return out
+
+
+def common_below(lists: np.ndarray, here: int) -> np.ndarray:
+    """Boolean matrix of the rows that have a common filter below `here`."""
+    row, column = np.nonzero((lists >= 0) & (lists < here))
+    ids, at = np.unique(lists[row, column], return_inverse=True)
+    out = np.zeros((len(lists), len(lists)), bool)
+    for a in range(0, len(ids), 4096):  # bounds the memory
+        some = (at >= a) & (at < a + 4096)
+        grid = np.zeros((len(lists), min(4096, len(ids) - a)), np.float32)
+        grid[row[some], at[some] - a] = 1
+        out |= grid @ grid.T > 0
+    return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: int | None = None, filters: int = 32, least: int = 24, block: int = 1200) -> DataFrame:
@@ -103,7 +142,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: int | Non
     groups = written(fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
     if code is None:
         most = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-        code = min(1 << 15, max(64, 1 << math.ceil(math.log2(math.sqrt(filters * most)))))
+        code = min(1 << 12, max(64, 1 << math.ceil(math.log2(math.sqrt(filters * most)))))
     kind = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
 
     def decoded(batches):
