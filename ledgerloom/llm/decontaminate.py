@@ -86,7 +86,8 @@ def near_prints(windows: DataFrame, items: DataFrame, keys: list[str], radius: i
     hamming = F.bit_count(a) + F.bit_count(b)
     before = [F.bit_count(block_of(k, a, b)) <= INSIDE for k in range(BLOCKS)]
     first = F.coalesce(*(F.when(met, F.lit(k)) for k, met in enumerate(before)))
-    met = asked.join(filed.hint("merge"), ["m", "block", "bits"])  # 5,576 rows an item are no table to broadcast.where(F.col("block") == first)
+    # 5,576 rows an item are no table to broadcast
+    met = asked.join(filed.hint("merge"), ["m", "block", "bits"]).where(F.col("block") == first)
     return met.select(*keys, "item_id", hamming.alias("hamming")).where(F.col("hamming") <= radius)
 
 
