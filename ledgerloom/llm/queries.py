@@ -82,6 +82,14 @@ def queries() -> dict:
     }
 
 
+OP1_SQL = """WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS k FROM d WHERE doc_id IS NOT NULL AND n >= 50)),
+hit AS (SELECT doc_id, k FROM w JOIN (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1) USING (s) WHERE least < doc_id),
+run AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS r FROM (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit)) GROUP BY doc_id, r),
+piece AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM run),
+gone AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id"""
+
 OP7_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 reach(i, k) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.i, link.j FROM reach JOIN link ON reach.k = link.i)
@@ -106,4 +114,4 @@ SELECT i AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(k) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_capfilter": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_jaccard": OP10_SQL}
+    return {"op1_suffix": OP1_SQL, "op7_capfilter": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_jaccard": OP10_SQL}

@@ -95,13 +95,14 @@ def pieces(words: np.ndarray, start: np.ndarray, size: np.ndarray):
         yield words[start + k] & mask
 
 
-def distinct(data: np.ndarray, found: list, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(data: np.ndarray, found: list, doc: np.ndarray, draws: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(representatives, number of the representative of each stretch, least doc of each representative): stretches of
-    equal bytes and lead are one. They are told apart by a hash, which is checked byte by byte and drawn anew if it fails."""
+    equal bytes and lead are one. They are told apart by a hash, which is checked byte by byte and drawn anew if it fails,
+    and after `draws` of them by sorting the bytes."""
     start, strings, lead, _ = found
     size, words = strings + WINDOW - 1, words_at(data)
     shape = lead.astype(np.uint64) * np.uint64(128) + strings.astype(np.uint64)
-    for seed in range(1, 9):
+    for seed in range(1, draws + 1):
         code = mixed((shape + np.uint64(seed << 32)) * np.uint64(0xC2B2AE3D27D4EB4F))  # so that no bytes can undo a shape
         for piece in pieces(words, start, size):
             code = mixed((code ^ piece) * np.uint64(0x9E3779B97F4A7C15))
@@ -110,8 +111,13 @@ def distinct(data: np.ndarray, found: list, doc: np.ndarray) -> tuple[np.ndarray
         other = one[which[copy]]
         if (shape[copy] == shape[other]).all() and all((x == y).all() for x, y in zip(pieces(words, start[copy], size[copy]), pieces(words, start[other], size[other]))):
             break
-    else:
-        raise ValueError("no hash tells the stretches apart")
+    else:  # sorted by the bytes themselves
+        columns = [shape, *pieces(words, start, size)]
+        order = np.lexsort(columns[::-1])
+        fresh = np.any([np.diff(c[order], prepend=~c[order[:1]]) != 0 for c in columns], axis=0)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        one = order[fresh]
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
     return one, which, least
