@@ -162,30 +162,46 @@ def id_width(path: str, end_id: int) -> int:
     return 2 if max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 and end_id < 1 << 16 else 4
 
 
-TAIL = ".,;:!?*%$&#"  # marks that are a pre-token of their own after a letter
-
-
-def parts_of(word: str) -> tuple[str, str]:
-    """(core, tail) of a word; the tokenizer always cuts between a letter and a run of marks. An ASCII core is lower-cased, as the tokenizer does."""
-    core = word.rstrip(TAIL)
-    if not core or core[-1] >= "\u0250" or not core[-1].lower()[-1].isalpha():  # lower case of one letter ends in a mark
-        return word, ""
-    return core.lower() if core.isascii() and "<" not in core else core, word[len(core) :]
-
-
-def encoder(path: str, width: int, most: int = 700_000):
+#: fixed values: marks that such a tokenizer always cuts from a letter beside them (an apostrophe is none of them)
+MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?*%$&#", np.uint8))
+LETTERS = np.isin(np.arange(256) | 32, np.arange(ord("a"), ord("z") + 1)) & (np.arange(256) < 128)
+SAME = np.where(np.arange(256) == 10, 32, np.arange(256)).astype(np.uint8)
+LOWER = np.where(LETTERS, np.arange(256) | 32, SAME).astype(np.uint8)
+
+
+def cut_words(column) -> tuple[pa.Array, np.ndarray]:
+    """(words with the blank after them, offsets of the rows in the words) of an Arrow string column: cut after blanks and
+    line ends and between letters and MARKS. ASCII letters are lower-cased, as the tokenizer does, but for batches in which
+    that could make the name of a special token."""
+    data, offsets = utf8_view(column)
+    letter, mark = LETTERS[data], MARKS[data]
+    joint = np.zeros(len(data) + 1, bool)  # a blank goes before these bytes
+    joint[1:-1] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    joint[offsets] = True  # ... and after each text, so that its last word looks like any
+    joint[0] = False
+    moved = np.arange(len(data)) + np.cumsum(joint[:-1])
+    out = np.full(len(data) + int(joint.sum()), 32, np.uint8)
+    out[moved] = (SAME if b"<|" in data.tobytes() else LOWER)[data]
+    begins = np.ones(len(out) + 1, bool)
+    begins[1:] = out == 32
+    starts = np.flatnonzero(begins)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(out)])
+    return words, np.searchsorted(starts, offsets + np.cumsum(joint)[offsets])
+
+
+def encoder(path: str, width: int, most: int = 1_000_000):
     """Function from an Arrow string column to (ids of all rows in one array, offsets of the rows). Where the tokenizer cuts
     at blanks (it drops white space, and no pre-token holds any), so do we; Arrow numbers the
-    different words of a batch. Words, and the cores they are made of, are encoded once and remembered while the worker
-    process lives, up to `most` of each; then the memory starts anew. Other tokenizers get the texts whole."""
+    different words of a batch. Words are encoded once and remembered while the worker process lives, up to `most`; then
+    the memory starts anew. Other tokenizers get the texts whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     state = sys.modules.setdefault("ledgerloom_worker_state", types.ModuleType("ledgerloom_worker_state")).__dict__
     if (path, width) not in state:
         with open(path, encoding="utf-8") as f:
-            state[path, width] = Tokenizer.from_file(path), {}, {}, cuts_at_blanks(json.load(f))
-    tokenizer, words, cores, by_word = state[path, width]
+            state[path, width] = Tokenizer.from_file(path), {}, cuts_at_blanks(json.load(f))
+    tokenizer, words, by_word = state[path, width]
 
     def whole(column) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
@@ -195,34 +211,23 @@ def encoder(path: str, width: int, most: int = 700_000):
     if not by_word:
         return whole
 
-    def remember(seen: list[str]):
+    def encoded(column) -> tuple[np.ndarray, np.ndarray]:
+        cut, rows = cut_words(column)
+        numbered = cut.dictionary_encode()
+        word, seen = numbered.indices.to_numpy(), numbered.dictionary.cast(pa.large_string()).to_pylist()
         fresh = [w for w in seen if w not in words]
         if len(words) + len(fresh) > most:
             words.clear()
             fresh = seen
-        split = [(w, *parts_of(w)) for w in fresh]
-        used = {core for _, core, _ in split}.union(tail for _, _, tail in split)
-        if len(cores) + len(used) > most:
-            cores.clear()
-        new = list(used.difference(cores))
-        for a in range(0, len(new), 20_000):
-            for w, e in zip(new[a : a + 20_000], tokenizer.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False)):
-                cores[w] = np.array(e.ids, f"<u{width}").tobytes()
-        for w, core, tail in split:
-            words[w] = cores[core] + cores[tail] if tail else cores[core]
-
-    def encoded(column) -> tuple[np.ndarray, np.ndarray]:
-        cut = pc.split_pattern(pc.replace_substring(column.fill_null(""), "\n", " "), " ")
-        rows = cut.offsets.to_numpy().astype(np.int64)
-        numbered = cut.flatten().dictionary_encode()
-        word, seen = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
-        remember(seen)
+        for a in range(0, len(fresh), 20_000):
+            for w, e in zip(fresh[a : a + 20_000], tokenizer.encode_batch_fast(fresh[a : a + 20_000], add_special_tokens=False)):
+                words[w] = np.array(e.ids, f"<u{width}").tobytes()
         codes = [words[w] for w in seen]
         size = np.fromiter(map(len, codes), np.int64, len(codes)) // width
         table = np.frombuffer(b"".join(codes), f"<u{width}")
         at = np.concatenate([[0], np.cumsum(size[word])])
         index = np.repeat((np.cumsum(size) - size)[word] - at[:-1], size[word]) + np.arange(at[-1])
-        return table[index], at[rows - rows[0]]
+        return table[index], at[rows]
 
     return encoded
 
