@@ -12,6 +12,11 @@ def overview(records: DataFrame, collections: list[str]) -> DataFrame:
     return records.select("policy_id", *(F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}") for c in collections))
 
 
+def sizes(parts: DataFrame, by: str, counts: dict[str, Column]) -> DataFrame:
+    """Sizes of collections that are still rows: they are counted, not collected."""
+    return parts.groupBy(by).agg(*(v.alias(k) for k, v in counts.items()))
+
+
 def stages(flags: dict[str, Column]) -> Column:
     """Array of (stage, done) in order."""
     return F.array(*(F.struct(F.lit(k).alias("stage"), v.alias("done")) for k, v in flags.items()))

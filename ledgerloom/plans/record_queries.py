@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,21 +9,16 @@ from ledgerloom.functions import text as X
 from ledgerloom.operators import assemble, serve
 from ledgerloom.plans.registry import query, table
 from ledgerloom.sources import records
+from ledgerloom.sources.shared import shared_folder
 from ledgerloom.streaming import incremental
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder under the session's warehouse, which driver and executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT o_custkey AS policy_id, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def overview_counts(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("policy_id"), "o_orderkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    per = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").groupBy("policy_id").agg(F.collect_set("o_orderkey").alias("orders"), F.collect_list("l_linenumber").alias("lines"))
-    got = serve.overview(per, ["orders", "lines"])
-    return got.select("policy_id", F.col("n_orders").cast("long").alias("n_orders"), F.col("n_lines").cast("long").alias("n_lines"))
+    per = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+    return serve.sizes(per, "policy_id", {"n_orders": F.count_distinct("o_orderkey"), "n_lines": F.count("l_linenumber")})
 
 
 @query("""WITH l AS (SELECT l_orderkey k, string_agg(l_partkey || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) items, count(*) n FROM lineitem GROUP BY 1)
@@ -147,7 +140,7 @@ def duplicate_ids(spark, sf_dir):
 def sources_sinks_roundtrip(spark, sf_dir):
     """Written as JSON by portfolio and as text, and read again."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("portfolio_id"), "o_orderkey")
-    path = scratch(spark, "roundtrip")
+    path = shared_folder(spark, "roundtrip")
     report = rows.groupBy("portfolio_id").agg(F.count(F.lit(1)).cast("string").alias("report"))
     records.write_comparison(rows, report, path)
     back = spark.read.schema("o_orderkey long, portfolio_id string").json(f"{path}/rows")
@@ -160,7 +153,7 @@ def sources_sinks_roundtrip(spark, sf_dir):
 def incremental_files(spark, sf_dir):
     """Events arrive in two deliveries; the stream job takes each file once."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    base = scratch(spark, "stream")
+    base = shared_folder(spark, "stream")
     job = lambda df: df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
     half = F.col("event_id") % 2
     for part in (0, 1, None):

@@ -141,3 +141,52 @@ def source_checks(manifest: DataFrame, documents: DataFrame, markers: DataFrame)
     missing = markers.join(held, ["source", "marker"], "left").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.coalesce("held", F.lit(0)) == 0, F.col("marker")))), ",").alias("missing"))
     out = manifest.join(counts, "source", "left").join(missing, "source", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
     return out.withColumn("ok", (F.col("docs") == F.col("expected_docs")) & (F.coalesce("missing", F.lit("")) == ""))
+
+
+#: fixed values: what is kept of a file's own description
+METADATA = ["title", "author", "subject", "keywords", "creator", "producer", "creationDate", "modDate"]
+
+
+def kept_metadata(metadata: Column) -> Column:
+    """The known entries of a map; null gives an empty map."""
+    return F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, _: k.isin(METADATA))
+
+
+#: one extraction run of a document: what each stage read, what was found, what became of it
+RUN = "document_id string, schema_version string, selected_chunks map<string,array<string>>, facts long, valid_claims long, total_claims long, policy_json string, warnings array<string>"
+#: one evaluation of a record
+EVALUATION = "policy_id string, scalar_correct long, scalar_total long, financial_correct long, financial_total long, macro_f1 double, notes array<string>"
+
+
+def write_json(rows: DataFrame, path: str, schema: str, mode: str = "errorifexists") -> None:
+    """Rows of runs or evaluations as JSON lines, in the columns of their schema."""
+    fields = rows.sparkSession.createDataFrame([], schema).schema.fields
+    rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): lines that do not fit the schema are rejects with their text."""
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = spark.read.text(path).where("value <> ''").withColumn("row", parsed)
+    return raw.where("row._corrupt is null").select("row.*").drop("_corrupt"), raw.where("row._corrupt is not null").select(F.col("value").alias("line"))
+
+
+def add_to_manifest(jobs: DataFrame, path: str) -> None:
+    """Appends one row a processed document (job_id, document_id, source_file, sha256, pages, status) to a job manifest."""
+    jobs.select("job_id", "document_id", "source_file", "sha256", "pages", "status").write.mode("append").partitionBy("status").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The last row of each job and document; a run that is repeated after a loss adds equal rows."""
+    return spark.read.schema("job_id string, document_id string, source_file string, sha256 string, pages int, status string").parquet(path).distinct()
+
+
+def write_text_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small text (a dictionary that people write) as a file of exactly this name, on any file system that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(to, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
