@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import fold, line_around, squeeze
-from ledgerloom.operators.scoring import inside
+from ledgerloom.operators.scoring import holding, inside
 
 
 def validated(claims: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -80,10 +80,11 @@ def containing(excerpts: DataFrame, sources: DataFrame) -> DataFrame:
     counts = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rare = wanted.join(counts, "token").groupBy("claim_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     pairs = rare.join(tokens, "token").select("claim_id", "document_id")
-    short = claims.where(F.size(F.split("needle", " ")) <= 2)
-    found = pairs.join(claims, "claim_id").join(texts, "document_id").where(F.contains("hay", F.col("needle")))
-    # excerpts of one or two words have no inner token and are searched in all texts
-    return found.select("claim_id", "document_id").unionByName(short.join(texts, F.contains("hay", F.col("needle"))).select("claim_id", "document_id"))
+    # excerpts of one or two words have no inner token: their first word may be part of a longer one
+    short = claims.where(F.size(F.split("needle", " ")) <= 2).select("claim_id", F.split_part("needle", F.lit(" "), F.lit(1)).alias("part"))
+    in_words = holding(tokens, short).join(short, "part").join(tokens, "token").select("claim_id", "document_id").distinct()
+    found = pairs.unionByName(in_words).join(claims, "claim_id").join(texts, "document_id").where(F.contains("hay", F.col("needle")))
+    return found.select("claim_id", "document_id")
 
 
 def first_match(pages: DataFrame, pattern: str, text: str = "raw_text", by: str = "document_id") -> DataFrame:

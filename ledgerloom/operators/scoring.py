@@ -1,27 +1,46 @@
 """Scores of chunks against keywords and aliases, and top-k routing of chunks to stages.
 
-Terms that count as whole words meet chunks by an equi-join on the term's first token. Terms that count inside longer
-words too meet the distinct words of all chunks first (`inside`), and chunks by an equi-join on these words. Chunks are
-tokenised once, so no pair of a chunk and a term without a common part of a word is ever made.
+Terms are dictionaries that people write. While there are at most `most` of them they ride along with each row as a constant array
+(`ride`): a chunk's text is then neither tokenised nor shuffled, and only (chunk, item, score) rows are. Larger ones meet
+chunks by equi-joins: on the term's first token where terms count as whole words, and where they count inside longer words too
+on the words that hold them (`inside`), which the distinct words find by the first letters of the term.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ledgerloom.functions.text import fold, substring_count, term_count
+from ledgerloom.functions.text import fold, substring_count, whole_count
 
 
 def folded(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("norm", fold(F.col("text")))
 
 
-def candidates(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def ride(rows: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame | None:
+    """rows with the columns of every term beside them, or None if there are more than `most` terms. Follow it with a filter."""
+    every = terms.limit(most + 1).collect()
+    if len(every) > most:
+        return None
+    kind = terms.schema.simpleString()
+    constant = F.from_json(F.lit(json.dumps([r.asDict() for r in every])), f"array<{kind}>")
+    return rows.withColumn("__term", F.explode(constant)).select(*rows.columns, "__term.*")
+
+
+def first_token(term) -> F:
+    return F.split_part(term, F.lit(" "), F.lit(1))
+
+
+def candidates(chunks: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
     """Pairs of folded chunks (chunk_id, norm, ...) and folded terms (term, ...) that share the term's first token."""
+    beside = ride(chunks, terms, most)
+    if beside is not None:
+        return beside.where(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), first_token(F.col("term")), F.lit(" "))))
     first = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
-    wanted = terms.withColumn("token", F.split_part("term", F.lit(" "), F.lit(1)))
-    return first.join(wanted, "token").drop("token").join(chunks, "chunk_id")
+    return first.join(terms.withColumn("token", first_token(F.col("term"))), "token").drop("token").join(chunks, "chunk_id")
 
 
 def whole(words: DataFrame, terms: DataFrame) -> DataFrame:
@@ -29,16 +48,29 @@ def whole(words: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.select(F.split_part("term", F.lit(" "), F.lit(1)).alias("token"), "term").distinct()
 
 
+def holding(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(token, part): the distinct words (token) that hold a part (part) anywhere: an equi-join on its first three letters."""
+    vocabulary = words.select("token").distinct()
+    at = F.sequence(F.lit(1), F.length("token"))
+    grams = F.concat(*(F.transform(at, lambda i, n=n: F.substring(F.col("token"), i, F.lit(n))) for n in (1, 2, 3)))
+    grams = vocabulary.where("token <> ''").select("token", F.explode(F.array_distinct(grams)).alias("gram"))
+    wanted = parts.select("part").where("part <> ''").distinct().withColumn("gram", F.substring("part", 1, 3))
+    return grams.join(wanted, "gram").where(F.contains("token", F.col("part"))).select("token", "part")
+
+
 def inside(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(token, term): the words (token) in which an occurrence of a term (term) can begin: a term of one token stands
-    anywhere in a word, the first token of a longer one ends a word. Terms are a dictionary; empty ones occur nowhere."""
-    wanted = terms.where("term <> ''").select("term", F.split_part("term", F.lit(" "), F.lit(1)).alias("first")).distinct()
-    begins = F.endswith("token", F.col("first")) | ((F.col("first") == F.col("term")) & F.contains("token", F.col("first")))
-    return words.select("token").distinct().join(F.broadcast(wanted), begins).select("token", "term")
+    anywhere in a word, the first token of a longer one ends a word. Empty terms occur nowhere."""
+    wanted = terms.where("term <> ''").select("term", first_token(F.col("term")).alias("part")).distinct()
+    begins = F.endswith("token", F.col("part")) | (F.col("part") == F.col("term"))
+    return holding(words, wanted).join(wanted, "part").where(begins).select("token", "term")
 
 
-def containing(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def containing(chunks: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
     """Pairs of folded chunks (chunk_id, norm, ...) and folded terms (term, ...) that occur in them, inside words too."""
+    beside = ride(chunks, terms, most)
+    if beside is not None:
+        return beside.where(F.contains("norm", F.col("term")) & (F.col("term") != ""))
     words = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
     met = words.join(inside(words, terms), "token").select("chunk_id", "term").distinct()
     return met.join(terms, "term").join(chunks, "chunk_id").where(F.contains("norm", F.col("term")))
@@ -56,17 +88,18 @@ def headings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     not; the rule of functions.text.heading_score as an equi-join on the first token. Terms do not start with numbers."""
     lines = chunks.select("chunk_id", F.explode(F.split("text", "\n")).alias("line")).select("chunk_id", fold(F.col("line")).alias("key"))
     lines = lines.withColumn("body", F.regexp_replace("key", r"^(?:\d+ )+", "")).where("body <> ''").withColumn("token", F.split_part("body", F.lit(" "), F.lit(1)))
-    met = lines.join(terms.withColumn("token", F.split_part("term", F.lit(" "), F.lit(1))), "token")
+    met = ride(lines, terms)
+    met = met.where(F.startswith("body", F.col("term"))) if met is not None else lines.join(terms.withColumn("token", first_token(F.col("term"))), "token")
     exact, begins = F.col("body") == F.col("term"), F.startswith("body", F.concat("term", F.lit(" ")))
     numbered = F.col("body") != F.col("key")
     head = F.when(exact, F.when(numbered, 320).otherwise(220)).when(begins, F.when(numbered, 270).otherwise(160))
-    return met.groupBy("chunk_id", "item", "term").agg(F.max(head).alias("head"))
+    return met.where(exact | begins).groupBy("chunk_id", "item", "term").agg(F.max(head).alias("head"))
 
 
 def alias_scores(chunks: DataFrame, terms: DataFrame, top: int = 1200) -> DataFrame:
     """(chunk_id, item, score) of terms (item, term): the best alias. Occurrences give 8 + up to 6, a heading line
     180 plus its rank, a place near the top 12."""
-    found = candidates(chunks, terms).withColumn("n", term_count(F.col("norm"), F.col("term"))).where("n > 0")
+    found = candidates(chunks, terms).withColumn("n", whole_count(F.col("norm"), F.col("term"))).where("n > 0")
     near = F.when(F.instr(F.substring("norm", 1, top), F.col("term")) > 0, 12).otherwise(0)
     found = found.select("chunk_id", "item", "term", (8 + F.least("n", F.lit(6)) + near).alias("found"))
     both = found.join(headings(chunks, terms), ["chunk_id", "item", "term"], "left")

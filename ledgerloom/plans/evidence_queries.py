@@ -69,6 +69,14 @@ def evidence_repair(spark, sf_dir):
     return evidence.repaired(claims, chunks).select("claim_id", F.lit(True).alias("repaired"))
 
 
+@query("""WITH line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents), top AS (SELECT d, arg_min(l, (-length(l), pos)) l FROM line WHERE length(l) BETWEEN 40 AND 600 GROUP BY 1)
+SELECT d AS claim_id, sha256(l) AS window_hash, CASE WHEN right(l, 1) = '#' THEN 1.0 ELSE round(1 - 1 / length(l), 6) END AS similarity FROM top WHERE 1 - 1 / length(l) >= 0.97""")
+def repair_windows(spark, sf_dir):
+    """The window that a damaged claim is repaired to, and how similar it is."""
+    got = evidence.repaired(damaged(spark, sf_dir), sources_of(spark, sf_dir).withColumn("chunk_id", F.col("document_id")))
+    return got.select("claim_id", F.sha2("window", 256).alias("window_hash"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""WITH line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents), top AS (SELECT d, arg_min(l, (-length(l), pos)) l FROM line WHERE length(l) BETWEEN 40 AND 600 GROUP BY 1),
 win AS (SELECT d, l w FROM line WHERE l <> '' UNION ALL SELECT d, l || chr(10) || nxt FROM (SELECT d, l, lead(l) OVER (PARTITION BY d ORDER BY pos) nxt FROM line WHERE l <> '') WHERE nxt IS NOT NULL),
 f AS (SELECT d, {sql_fold("substr(l, 1, length(l) - 1) || '#'")} a, {sql_fold('w')} b FROM top JOIN win USING (d)), s AS (SELECT d, 1 - levenshtein(a, b) / greatest(length(a), length(b)) r FROM f WHERE least(length(a), length(b)) >= greatest(length(a), length(b)) * 0.97)

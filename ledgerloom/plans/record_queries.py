@@ -111,9 +111,9 @@ def file_acceptance(spark, sf_dir):
     return got.groupBy("name").agg(F.count_if(F.col("reject").isNull()).alias("accepted"), F.count_if(F.col("reject") == "EMPTY").alias("empty"), F.count_if(F.col("reject") == "UNSUPPORTED").alias("unsupported"))
 
 
-@query("SELECT source, substr(sha256(string_agg(sha256(text), chr(0) ORDER BY sha256(text))), 1, 16) AS job_id FROM documents GROUP BY 1")
+@query("""SELECT source, substr(sha256(string_agg(head || ':' || digest, chr(0) ORDER BY head)), 1, 16) AS job_id FROM (SELECT source, substr(h, 1, 3) head, sha256(string_agg(h, chr(0) ORDER BY h)) digest FROM (SELECT source, sha256(text) h FROM documents) GROUP BY ALL) GROUP BY 1""")
 def job_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list(F.sha2("text", 256)).alias("h")).select("source", incremental.job_id(F.col("h")).alias("job_id"))
+    return incremental.job_ids(table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("sha256")), "source", "sha256")
 
 
 @query("SELECT o_orderkey AS document_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 
-def job_id(hashes: Column) -> Column:
-    """Id of a job from its files' hashes, whatever their order."""
-    return F.substring(F.sha2(F.concat_ws("\0", F.array_sort(hashes)), 256), 1, 16)
+def job_ids(files: DataFrame, by: str, sha256: str) -> DataFrame:
+    """(by, job_id): id of each job from its files' hashes, whatever their order, in two levels: digests of the hashes
+    that begin alike (4,096 groups a job), then a digest of these."""
+    hashes = F.concat_ws("\0", F.array_sort(F.collect_list(sha256)))
+    parts = files.groupBy(by, F.substring(sha256, 1, 3).alias("head")).agg(F.sha2(hashes, 256).alias("digest"))
+    whole = F.concat_ws("\0", F.array_sort(F.collect_list(F.concat_ws(":", "head", "digest"))))
+    return parts.groupBy(by).agg(F.substring(F.sha2(whole, 256), 1, 16).alias("job_id"))
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
