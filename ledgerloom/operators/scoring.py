@@ -52,7 +52,8 @@ def holding(words: DataFrame, parts: DataFrame) -> DataFrame:
     """(token, part): the distinct words (token) that hold a part (part) anywhere: an equi-join on its first three letters."""
     vocabulary = words.select("token").distinct()
     at = F.sequence(F.lit(1), F.length("token"))
-    grams = F.concat(*(F.transform(at, lambda i, n=n: F.substring(F.col("token"), i, F.lit(n))) for n in (1, 2, 3)))
+    begin = lambda n: F.transform(at, lambda i: F.substring(F.col("token"), i, F.lit(n)))
+    grams = F.concat(begin(1), begin(2), begin(3))
     grams = vocabulary.where("token <> ''").select("token", F.explode(F.array_distinct(grams)).alias("gram"))
     wanted = parts.select("part").where("part <> ''").distinct().withColumn("gram", F.substring("part", 1, 3))
     return grams.join(wanted, "gram").where(F.contains("token", F.col("part"))).select("token", "part")
