@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import fold, line_around, squeeze
-from ledgerloom.operators.scoring import holding, inside
+from ledgerloom.operators.scoring import holding, inside, ride
 
 
 def validated(claims: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -103,9 +103,13 @@ def clean_terms(terms: Column) -> Column:
 def window_support(texts: DataFrame, terms: DataFrame, meet=inside) -> DataFrame:
     """(document_id, term, size, start, window): the smallest, then first window of one to three lines with a term,
     inside words too, or with `meet=whole` where the window holds the term's first token as a word."""
-    windows = line_windows(texts, F.array(F.lit(1), F.lit(2), F.lit(3))).withColumn("norm", fold(F.col("window")))
-    words = windows.select("document_id", "size", "start", "window", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
-    hits = words.join(meet(words, terms), "token").where(F.contains("norm", F.col("term")))
+    windows = line_windows(texts, F.array(F.lit(1), F.lit(2), F.lit(3))).withColumn("norm", fold(F.col("window"))).select("document_id", "size", "start", "window", "norm")
+    beside = ride(windows, terms) if meet is inside else None
+    if beside is not None:  # a bounded dictionary needs no tokens
+        hits = beside.where(F.contains("norm", F.col("term")) & (F.col("term") != ""))
+    else:
+        words = windows.select("*", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
+        hits = words.join(meet(words, terms), "token").where(F.contains("norm", F.col("term")))
     order = W.partitionBy("document_id", "term").orderBy("size", "start")
     return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("document_id", "term", "size", "start", "window")
 
@@ -139,3 +143,32 @@ def recovered(results: DataFrame, support: DataFrame) -> DataFrame:
     out = results.join(found, ["document_id", "term"], "left")
     hit = (F.col("status") == "INVALID") & F.col("recovered_excerpt").isNotNull()
     return out.withColumn("status", F.when(hit, "RECOVERED").otherwise(F.col("status"))).withColumn("recovered_excerpt", F.when(hit, F.col("recovered_excerpt")))
+
+
+def find_support(wanted: DataFrame, chunks: DataFrame, pages: DataFrame, prefer_heading: bool) -> DataFrame:
+    """(claim_id, page_number, chunk_id, term, excerpt): where each claim's terms are found in its own document.
+    wanted(claim_id, document_id, preferred_page, terms), chunks(document_id, page_number, chunk_index, chunk_id, text),
+    pages(document_id, page_number, raw_text). With prefer_heading the best heading of the document counts first: its score, 20 more on the
+    preferred page, 2 less in the raw page than in a chunk, ties to the lower page. Else, and where there is no heading, the first window: preferred
+    page, then pages in order, chunks before the raw page, smaller windows, longer terms."""
+    terms = wanted.select("claim_id", "document_id", "preferred_page", F.posexplode(clean_terms(F.col("terms"))).alias("term_rank", "term"))
+    place = lambda raw, index, chunk: F.struct("document_id", "page_number", F.lit(raw).alias("raw"), index.alias("chunk_index"), chunk.alias("chunk_id"))
+    kind = chunks.schema["chunk_id"].dataType
+    units = chunks.select(place(0, F.col("chunk_index"), F.col("chunk_id")).alias("document_id"), "text").unionByName(pages.select(place(1, F.lit(0), F.lit(None).cast(kind)).alias("document_id"), F.col("raw_text").alias("text")))
+    known = terms.select("term").distinct()
+
+    def met(hits: DataFrame) -> DataFrame:
+        flat = hits.withColumn("unit", F.col("document_id")).withColumn("document_id", F.col("unit.document_id"))
+        return flat.join(terms, ["document_id", "term"]).withColumn("away", F.coalesce((F.col("unit.page_number") != F.col("preferred_page")), F.lit(True)).cast("int"))
+
+    windows = met(window_support(units, known))
+    order = F.struct("away", "unit.page_number", "unit.raw", "unit.chunk_index", "size", "start", "term_rank")
+    found = windows.groupBy("claim_id").agg(F.min_by(F.struct("unit", "term", F.col("window").alias("excerpt")), order).alias("window"))
+    if not prefer_heading:
+        return found.select("claim_id", "window.unit.page_number", "window.unit.chunk_id", "window.term", "window.excerpt")
+    heads = met(heading_support(units, known))
+    total = F.col("score") + F.when(F.col("away") == 0, 20).otherwise(0) - F.when(F.col("unit.raw") == 1, 2).otherwise(0)
+    order = F.struct((-total).alias("total"), "unit.page_number", "unit.raw", "unit.chunk_index", "pos", "term_rank")
+    best = heads.groupBy("claim_id").agg(F.min_by(F.struct("unit", "term", "excerpt"), order).alias("head"))
+    both = found.join(best, "claim_id", "full").withColumn("hit", F.coalesce("head", "window"))
+    return both.select("claim_id", "hit.unit.page_number", "hit.unit.chunk_id", "hit.term", "hit.excerpt")

@@ -16,21 +16,23 @@ def accepted(questions: DataFrame, longest: int = 1200) -> DataFrame:
 
 
 def shared_tokens(questions: DataFrame, rows: DataFrame, weight: int = 5, stop: list[str] = []) -> DataFrame:
-    """(question_id, row_id, score): weight x number of shared tokens, by an inverted index of both sides."""
-    q = questions.select("question_id", F.explode(tokens(F.col("question"), stop)).alias("token"))
-    r = rows.select("row_id", F.explode(tokens(F.col("search_text"), stop)).alias("token"))
-    return q.join(r, "token").groupBy("question_id", "row_id").agg((F.count(F.lit(1)) * weight).alias("score"))
+    """(question_id, row_id, score): weight x number of shared tokens, by an inverted index of both sides; inside a
+    portfolio where both sides have a portfolio_id."""
+    place = [c for c in ("portfolio_id",) if c in questions.columns and c in rows.columns]
+    q = questions.select(*place, "question_id", F.explode(tokens(F.col("question"), stop)).alias("token"))
+    r = rows.select(*place, "row_id", F.explode(tokens(F.col("search_text"), stop)).alias("token"))
+    return q.join(r, [*place, "token"]).groupBy("question_id", "row_id").agg((F.count(F.lit(1)) * weight).alias("score"))
 
 
 SIDES = {f"side {x}": f"side_{x}" for x in "abc"}
 ASKED = {"NEEDS_REVIEW": (30, ["revis", "ambigu", "conflit"]), "EQUAL": (16, ["igual", "comum", "todas", "todos"]), "ONLY_IN_SOME": (16, ["algumas", "apenas", "parcial", "so em"]), "DIFFERENT": (12, ["difer", "compar"])}
 
 
-def boosted(questions: DataFrame, rows: DataFrame, weight: int = 5, stop: list[str] = []) -> DataFrame:
+def boosted(questions: DataFrame, rows: DataFrame, weight: int = 5, stop: list[str] = [], pairs: DataFrame | None = None) -> DataFrame:
     """(question_id, row_id, status, score) of comparison rows (portfolio_id, row_id, label, field_id, status, search_text)
     for the questions (portfolio_id, question_id, question) of their portfolio: weight x shared tokens, 25 for the label and
     18 for the field id in the question, 50 for the row of a side it names and the boost of a status it asks for. Rows
-    without a score are left out; rank by score, then rows that are not ALL_MISSING."""
+    without a score are left out; rank by score, then rows that are not ALL_MISSING. `pairs` (question_id, row_id): score these alone."""
     q = questions.select("portfolio_id", "question_id", fold(F.col("question")).alias("__asked"), tokens(F.col("question"), stop).alias("__tokens"))
     r = rows.select("portfolio_id", "row_id", "field_id", "status", fold(F.col("label")).alias("__label"), fold(F.col("field_id")).alias("__field"), F.split(fold(F.col("search_text")), " ").alias("__words"))
     has = lambda x: F.contains("__asked", x)
@@ -44,7 +46,8 @@ def boosted(questions: DataFrame, rows: DataFrame, weight: int = 5, stop: list[s
         for m in markers:
             any_of = any_of | has(F.lit(m))
         score = score + F.when(any_of & (F.col("status") == status), boost).otherwise(0)
-    return q.join(r, "portfolio_id").select("question_id", "row_id", "status", score.cast("long").alias("score")).where("score > 0")
+    met = q.join(r, "portfolio_id") if pairs is None else pairs.join(q, "question_id").join(r.drop("portfolio_id"), "row_id")
+    return met.select("question_id", "row_id", "status", score.cast("long").alias("score")).where("score > 0")
 
 
 def top(scores: DataFrame, limit: int, tie: list = ["row_id"]) -> DataFrame:
