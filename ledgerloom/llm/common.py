@@ -11,17 +11,40 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
 
+MADE: list[str] = []  # folders that this driver asked for, in order
+LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (URI) that driver and executors share, below spark.checkpoint.dir.
 
-    Only where that setting is absent (single-machine tests) a local temporary folder serves.
+    Where that setting is absent, a local temporary folder serves in local mode only (single-machine tests).
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-ledgerloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+        base = found.get() if found.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not LOCAL:
+            LOCAL.append(f"file://{tempfile.mkdtemp(prefix='spark-ledgerloom-')}")
+        base = LOCAL[0]
+    MADE.append(f"{base.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def sweep(spark: SparkSession, begin: int, keep: list[str]) -> None:
+    """Removes the folders made from number `begin` on but `keep`: what was computed through them has been written."""
+    remove(spark, [p for p in MADE[begin:] if p not in keep])
+    del MADE[begin:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,9 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes written() tables from which all that follows has been written, too."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(table.sparkSession, [table.written_to])
 
 
 def utf8_view(column) -> tuple[np.ndarray, np.ndarray]:

@@ -189,7 +189,7 @@ def tree_join(sets: list[np.ndarray], num: int, den: int, levels: int) -> np.nda
     return pairs[(i != j) & (overlap * (num + den) >= num * (size[i] + size[j]))]
 
 
-def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block: int = 1000) -> DataFrame:
+def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block: int = 500) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): two documents link when den * overlap >= num * union."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
 
@@ -221,7 +221,7 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
     members = written(members, "members")
     # only centers beyond a block are split; they are few (members / block at most), so members stay where they are
     hot = members.groupBy("center").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("all"))
-    hot = hot.select("center", F.greatest(F.ceil(F.col("met") / block), F.ceil(F.col("all") / (block * 1000))).cast("int").alias("parts")).where("parts > 1")
+    hot = hot.select("center", F.greatest(F.ceil(F.col("met") / block), F.ceil(F.col("all") / (block * 2000))).cast("int").alias("parts")).where("parts > 1")
     sent = members.join(hot, "center", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sent = sent.select("center", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "row")
