@@ -191,9 +191,9 @@ def retrieve_topk(spark, sf_dir):
 SELECT * FROM (SELECT q AS question_id, r AS row_id, row_number() OVER (PARTITION BY q ORDER BY a, r) AS rank FROM first) WHERE rank <= 7""")
 def retrieve_merged(spark, sf_dir):
     questions, rows = questions_of(spark, sf_dir), rows_of(spark, sf_dir)
-    scored = retrieve.top(retrieve.shared_tokens(questions, rows, stop=STOP), 1000).select("question_id", "row_id", F.col("rank").alias("inner_rank"))
+    scored = retrieve.top(retrieve.shared_tokens(questions, rows, stop=STOP), 7).select("question_id", "row_id", F.col("rank").alias("inner_rank"))
     longest = rows.orderBy(F.desc(F.length("search_text")), "row_id").limit(3).select("row_id", F.col("row_id").alias("inner_rank"))
-    return retrieve.merged([scored, questions.select("question_id").join(longest)], 7).select("question_id", "row_id", "rank")  # three rows by the limit above
+    return retrieve.merged([scored, questions.select("question_id").crossJoin(F.broadcast(longest))], 7).select("question_id", "row_id", "rank")  # three rows by the limit above
 
 
 RULES = [("RECOMMENDATION", ["which should", "recomend"]), ("REVIEW", ["review", "revis"]), ("ALL", ["in all", "en los", "dans les"]), ("ARTICLES", ["the", "der", "la"])]
@@ -286,3 +286,22 @@ def local_answers(spark, sf_dir):
 def guarded_answers(spark, sf_dir):
     answer = retrieve.guarded(F.col("text"), F.col("turn") % 2 == 0, "No recommendation is made.", ["the"], "Ask a broker.")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("answer"))
+
+
+@query(f"""WITH line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents), n AS (SELECT d, l, row_number() OVER (PARTITION BY d ORDER BY pos) k, lead(l) OVER (PARTITION BY d ORDER BY pos) l2, lead(l, 2) OVER (PARTITION BY d ORDER BY pos) l3 FROM line WHERE l <> ''),
+w AS (SELECT d, 1 size, k, l w FROM n UNION ALL SELECT d, 2, k, l || chr(10) || l2 FROM n WHERE l2 IS NOT NULL UNION ALL SELECT d, 3, k, l || chr(10) || l2 || chr(10) || l3 FROM n WHERE l3 IS NOT NULL),
+hit AS (SELECT d, t, size, k FROM (SELECT *, {sql_fold('w')} f FROM w), (VALUES ('his work is'), ('ion'), ('a de')) AS x(t) WHERE contains(f, t))
+SELECT d AS document_id, t AS term, size, k AS start FROM (SELECT *, row_number() OVER (PARTITION BY d, t ORDER BY size, k) r FROM hit) WHERE r = 1""")
+def window_support_inside(spark, sf_dir):
+    """Terms that begin inside longer words count, too."""
+    terms = spark.createDataFrame([("his work is",), ("ion",), ("a de",)], "term string")
+    return evidence.window_support(sources_of(spark, sf_dir), terms).select("document_id", "term", "size", "start")
+
+
+@query(f"""WITH {ASKED}, p AS (SELECT DISTINCT 't' || length(w) item, w term FROM (SELECT unnest(string_split({sql_fold('text')}, ' ')) w FROM benchmark) WHERE length(w) >= 6), a AS (SELECT q, {sql_fold('text')} f FROM q)
+SELECT q AS question_id, item, term FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY length(term) DESC, item, term) r FROM a JOIN p ON contains(f, term)) WHERE r = 1""")
+def glossary_inside(spark, sf_dir):
+    """Items whose phrase stands anywhere in a question, inside words too; the phrases are too many to ride along."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(X.fold(F.col("text")), " ")).alias("term")).where("length(term) >= 6").distinct()
+    phrases = words.select(F.concat(F.lit("t"), F.length("term").cast("string")).alias("item"), "term")
+    return retrieve.matched_item(questions_of(spark, sf_dir), phrases)

@@ -298,3 +298,25 @@ def stage_routes(spark, sf_dir):
     routes = scoring.stage_routes(scoring.routed([scores], docs, 5))
     shown = F.transform(F.map_entries("routes"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda c: c.cast("string")), ",")))
     return routes.select("document_id", F.array_join(shown, ";").alias("routes"))
+
+
+@query(f"WITH {COUNTED} SELECT doc_id AS chunk_id, profile, sum(3 + least(n - 1, 4))::BIGINT AS score FROM (SELECT doc_id, profile, term, (length(t) - length(replace(t, term, ''))) // length(term) n FROM doc, k) WHERE n > 0 GROUP BY 1, 2")
+def chunk_scores_inside(spark, sf_dir):
+    """Keywords count inside longer words, too."""
+    terms = spark.createDataFrame(TERMS, "profile string, term string")
+    return scoring.keyword_scores(scoring.folded(doc_chunks(spark, sf_dir)), terms)
+
+
+@query(f"WITH {COUNTED} SELECT doc_id AS chunk_id, profile, sum(3 + least(n - 1, 4))::BIGINT AS score FROM (SELECT doc_id, profile, term, (length(t) - length(replace(t, term, ''))) // length(term) n FROM doc, k) WHERE n > 0 GROUP BY 1, 2")
+def chunk_scores_joined(spark, sf_dir):
+    """As chunk_scores_inside, by the joins that a large dictionary takes."""
+    terms = spark.createDataFrame(TERMS, "profile string, term string")
+    return scoring.keyword_scores(scoring.folded(doc_chunks(spark, sf_dir)), terms, pairs=lambda chunks, words: scoring.containing(chunks, words, most=0))
+
+
+@query(f"WITH {COUNTED} SELECT source AS document_id, term AS item, arg_min(doc_id, (-s, doc_id)) AS chunk_id, max(s) AS score FROM (SELECT source, doc_id, term, 80 + CASE WHEN contains(substr(t, 1, 1000), term) THEN 20 ELSE 0 END AS s FROM doc JOIN documents USING (doc_id), k WHERE contains(t, term)) GROUP BY 1, 2")
+def phrase_scores_inside(spark, sf_dir):
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit(1).alias("page_number"), F.col("doc_id").alias("chunk_index"), "text")
+    phrases = spark.createDataFrame([(t, t) for _, t in TERMS], "item string, term string")
+    got = scoring.best_chunk(scoring.phrase_scores(scoring.folded(docs), phrases), docs, ["document_id", "item"])
+    return got.select("document_id", "item", "chunk_id", "score")
