@@ -63,9 +63,9 @@ def candidate_values(status: Column, candidates: Column) -> Column:
 
 
 def scope_ids(facts: DataFrame, key: list[str], scopes: str, items: DataFrame, alias_norms: DataFrame, category: str) -> DataFrame:
-    """(key, scope_ids): canonical ids of each row's array of scope names, or their folded text; distinct and sorted."""
+    """(key, scope_ids): canonical ids of each row's array of scope names, unknown ones as unmapped:<folded text>; distinct and sorted."""
     names = facts.select(*key, F.explode(scopes).alias("name")).withColumn("category", F.lit(category)).withColumn("given_id", F.col("name"))
-    one = F.coalesce("canonical_id", F.when(fold(F.col("name")) != "", fold(F.col("name"))))
+    one = F.coalesce("canonical_id", F.concat(F.lit("unmapped:"), F.when(fold(F.col("name")) == "", "scope").otherwise(fold(F.col("name")))))
     return resolved(names, items, alias_norms).groupBy(*key).agg(F.array_sort(F.collect_set(one)).alias("scope_ids"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.operators import compare, evaluate, evidence, nested, serve, taxonomy
+from ledgerloom.operators import compare, evaluate, evidence, nested, record_cells, serve, taxonomy
 from ledgerloom.plans.registry import query, table
 from ledgerloom.plans.text_queries import documents, part_dictionary, sql_fold
+from ledgerloom.sources.records import RECORD
 
 POS = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
@@ -90,7 +91,7 @@ def scoped_cells_of(spark, sf_dir) -> DataFrame:
     return facts.select("portfolio_id", "entity_id", F.lit("limits").alias("section"), nested.scoped_key(F.col("base"), F.col("scope_ids")).alias("field_id"), F.col("base").alias("label"), F.lit("FOUND").alias("state"), key.alias("key"), "name")
 
 
-SCOPED = "cell AS (SELECT s_nationkey p, l_suppkey e, l_returnflag || CASE WHEN l_quantity > 25 THEN '::scope=' || least(split_part(p_name, ' ', 2), lower(l_linestatus)) || '+' || greatest(split_part(p_name, ' ', 2), lower(l_linestatus)) ELSE '' END f, l_quantity::DECIMAL(18,2) q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"
+SCOPED = "cell AS (SELECT s_nationkey p, l_suppkey e, l_returnflag || CASE WHEN l_quantity > 25 THEN '::scope=' || least(split_part(p_name, ' ', 2), 'unmapped:' || lower(l_linestatus)) || '+' || greatest(split_part(p_name, ' ', 2), 'unmapped:' || lower(l_linestatus)) ELSE '' END f, l_quantity::DECIMAL(18,2) q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"
 
 
 @query(f"""WITH {SCOPED} SELECT p AS portfolio_id, f AS field_id, count(*) AS cells, count(DISTINCT q) AS keys, min('{{"currency":"BRL","kind":"MONEY","number":"' || rtrim(rtrim(q::DECIMAL(38,6)::VARCHAR, '0'), '.') || '","text":null,"unit":null}}') AS least FROM cell GROUP BY ALL""")
@@ -105,7 +106,7 @@ def scoped_compare(spark, sf_dir):
     return compare.comparison_rows(scoped_cells_of(spark, sf_dir), members).select("portfolio_id", "field_id", "present_count", "status")
 
 
-@query("SELECT l_returnflag AS base, CASE WHEN l_quantity > 25 THEN least(split_part(p_name, ' ', 2), lower(l_linestatus)) || '+' || greatest(split_part(p_name, ' ', 2), lower(l_linestatus)) ELSE '' END AS scopes, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+@query("SELECT l_returnflag AS base, CASE WHEN l_quantity > 25 THEN least(split_part(p_name, ' ', 2), 'unmapped:' || lower(l_linestatus)) || '+' || greatest(split_part(p_name, ' ', 2), 'unmapped:' || lower(l_linestatus)) ELSE '' END AS scopes, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def canonical_scopes(spark, sf_dir):
     cells = scoped_cells_of(spark, sf_dir).select(F.col("label").alias("base"), F.regexp_extract("field_id", "::scope=(.*)$", 1).alias("scopes"))
     return cells.groupBy("base", "scopes").agg(F.count(F.lit(1)).alias("n"))
@@ -211,3 +212,36 @@ def fact_overlap(spark, sf_dir):
     facts = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag")
     repeated = facts.groupBy("l_partkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return evaluate.overlap(facts, repeated).select("expected", "hits")
+
+
+MISSING = [f"('{a}', '{b}')" for a, b in record_cells.SCALARS if b not in ("insurer", "coverage_trigger", "premium")]
+
+
+@query(f"""WITH o AS (SELECT o_custkey p, o_orderkey e, o_orderpriority pr, o_orderstatus st, o_totalprice::DECIMAL(18,2) t FROM orders), m AS (SELECT p, count(*) n FROM o GROUP BY 1),
+c AS (SELECT o.p, e, split_part(p_name, ' ', 2) f, count(*) k, min(lower(l_returnflag)) a FROM o JOIN lineitem ON l_orderkey = e JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+d AS (SELECT o.p, e, CASE l_linestatus WHEN 'O' THEN 'deductible::scope=' || split_part(p_name, ' ', 2) ELSE 'deductible' END f, count(*) k, min(l_quantity::DECIMAL(18,2)) a FROM o JOIN lineitem ON l_orderkey = e JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT p AS portfolio_id, 'identification' AS section, 'insurer' AS field_id, n AS present_count, CASE WHEN count(DISTINCT pr) = 1 THEN 'EQUAL' ELSE 'DIFFERENT' END AS status FROM o JOIN m USING (p) GROUP BY p, n
+UNION ALL SELECT p, 'contractual_terms', 'coverage_trigger', count(*) FILTER (st <> 'P'), CASE WHEN count(*) FILTER (st <> 'P') = 0 THEN 'ALL_MISSING' WHEN count(*) FILTER (st <> 'P') < n THEN 'ONLY_IN_SOME' ELSE 'EQUAL' END FROM o JOIN m USING (p) GROUP BY p, n
+UNION ALL SELECT p, 'contractual_terms', 'premium', count(*) FILTER (t <= 400000), CASE WHEN max(t) > 400000 THEN 'NEEDS_REVIEW' WHEN count(DISTINCT t) = 1 THEN 'EQUAL' ELSE 'DIFFERENT' END FROM o JOIN m USING (p) GROUP BY p, n
+UNION ALL SELECT p, s, f, 0, 'ALL_MISSING' FROM m CROSS JOIN (VALUES {', '.join(MISSING)}) AS x(s, f)
+UNION ALL SELECT p, s, f, count(*), CASE WHEN max(k) > 1 THEN 'NEEDS_REVIEW' WHEN count(*) < n THEN 'ONLY_IN_SOME' WHEN count(DISTINCT a) = 1 THEN 'EQUAL' ELSE 'DIFFERENT' END FROM (SELECT p, 'coverages' s, f, k, a FROM c UNION ALL SELECT p, 'policy_deductibles', f, k, a::VARCHAR FROM d) JOIN m USING (p) GROUP BY p, s, f, n""")
+def record_comparison(spark, sf_dir):
+    """Orders as whole records of their customers' portfolios: lines are coverages by their part's name, returned ones deductibles, open ones of the part's
+    scope; priorities are insurers, order states triggers, prices premiums that a person has to see above a limit."""
+    items, aliases = part_dictionary(spark, sf_dir)
+    items, aliases = items.withColumn("category", F.lit("coverages")), aliases.withColumn("category", F.lit("coverages"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    coverage = F.struct(F.col("p_name").alias("original_name"), F.col("l_returnflag").alias("category"))
+    money = F.struct(F.lit("MONEY").alias("kind"), F.col("l_quantity").cast("decimal(38,6)").alias("numeric_value"))
+    deductible = F.struct(F.lit("deductible").alias("canonical_id"), F.lit("D").alias("original_name"), money.alias("value"), F.when(F.col("l_linestatus") == "O", F.array(F.upper("p_name"))).alias("applies_to"))
+    held = lines.groupBy("l_orderkey").agg(F.collect_list(coverage).alias("coverages"), F.collect_list(F.when(F.col("l_returnflag") == "R", deductible)).alias("policy_deductibles"))
+    orders = table(spark, sf_dir, "orders").join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    text = lambda status, value: F.struct(status.alias("status"), value.alias("value"))
+    trigger = F.when(F.col("o_orderstatus") == "O", "claims made").when(F.col("o_orderstatus") == "F", "Base de Reclamações")
+    price = F.struct(F.lit("MONEY").alias("kind"), F.col("o_totalprice").cast("decimal(38,6)").alias("numeric_value"))
+    terms = F.struct(text(F.when(F.col("o_orderstatus") == "P", "NOT_FOUND").otherwise("FOUND"), trigger).alias("coverage_trigger"), F.struct(F.when(F.col("o_totalprice").cast("decimal(18,2)") > 400000, "AMBIGUOUS").otherwise("FOUND").alias("status"), price.alias("value")).alias("premium"))
+    body = F.struct(F.col("o_orderkey").cast("string").alias("policy_id"), F.struct(text(F.lit("FOUND"), F.col("o_orderpriority")).alias("insurer")).alias("identification"), terms.alias("contractual_terms"), "coverages", "policy_deductibles")
+    records = orders.select(F.from_json(F.to_json(body), RECORD).alias("r")).select("r.*")
+    members = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("portfolio_id"), F.col("o_orderkey").cast("string").alias("entity_id"), F.col("o_orderkey").alias("position"))
+    rows = record_cells.compare_records(records, members, items, taxonomy.alias_table(items, aliases))
+    return rows.select("portfolio_id", "section", "field_id", "present_count", "status")
