@@ -21,14 +21,14 @@ def facts_of(spark, sf_dir) -> DataFrame:
 
 
 FIELD = "CASE WHEN l_returnflag = 'R' THEN 'deductible' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'aggregate_limit' WHEN l_returnflag = 'A' THEN 'franchise' ELSE 'maximum_guarantee_limit' END"
-FIELD_OF = F.expr(FIELD)
+
 LINE = f"fact AS (SELECT l_orderkey d, ({POS}) pos, p_name, p_type, p_size, l_returnflag, l_linestatus, l_quantity::DECIMAL(18,2) amount, {FIELD} field, CASE WHEN p_size % 4 = 0 THEN split_part(p_name, ' ', 2) END id FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 def money_of(spark, sf_dir) -> DataFrame:
     """(document_id, policy_limits, policy_deductibles); every fourth size names its part by an alias of the dictionary."""
     items, aliases = part_dictionary(spark, sf_dir)
-    facts = facts_of(spark, sf_dir).withColumn("field_id", FIELD_OF).withColumn("category", F.lit("thing")).withColumn("given_id", F.col("p_type"))
+    facts = facts_of(spark, sf_dir).withColumn("field_id", F.expr(FIELD)).withColumn("category", F.lit("thing")).withColumn("given_id", F.col("p_type"))
     facts = facts.withColumn("name", F.when(F.col("p_size") % 4 == 0, F.col("p_name")).otherwise(F.lit("-")))
     facts = taxonomy.resolved(facts, items, taxonomy.alias_table(items, aliases))
     return nested.money(facts, "document_id", "pos", ["amount"])
