@@ -103,7 +103,7 @@ def harmonized(cells: DataFrame, members: DataFrame, concepts: DataFrame) -> Dat
     said = cells.join(concepts.select("concept_id", "section", F.col("field_id")), ["section", "field_id"])
     per = said.groupBy("portfolio_id", "concept_id", "entity_id").agg(F.max((F.col("state") == "FOUND").cast("int")).alias("here"), F.max(F.col("state").isin(REVIEW).cast("int")).alias("review"))
     got = per.groupBy("portfolio_id", "concept_id").agg(F.sum("here").alias("present"), F.max("review").alias("review"))
-    every = members.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("policy_count")).join(concepts.select("concept_id", "concept_label").distinct())
+    every = members.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("policy_count")).crossJoin(concepts.select("concept_id", "concept_label").distinct())  # the rows that the result has
     out = every.join(got, ["portfolio_id", "concept_id"], "left").withColumn("present_count", F.coalesce("present", F.lit(0)))
     state = F.when(F.col("review") > 0, "NEEDS_REVIEW").when(F.col("present_count") == 0, "ABSENT_IN_ALL").when(F.col("present_count") == F.col("policy_count"), "PRESENT_IN_ALL").otherwise("PRESENT_IN_SOME")
     return out.select("portfolio_id", "concept_id", "concept_label", "present_count", "policy_count", state.alias("status"))

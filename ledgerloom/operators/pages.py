@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
 
 from ledgerloom.functions.text import clean_text, strip
 
@@ -14,10 +13,11 @@ PAGE = ["document_id", "page_number"]
 
 def pages_of(documents: DataFrame, lines_a_page: int) -> DataFrame:
     """Single-text documents cut into pages of a number of lines."""
-    lines = documents.select("document_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("page_number", (F.floor(F.col("pos") / lines_a_page) + 1).cast("int"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy(*PAGE).agg(text.alias("raw_text"))
+    lines = F.split("text", "\n")
+    one = lambda p: F.array_join(F.slice(lines, (p - 1) * lines_a_page + 1, lines_a_page), "\n")
+    pages = F.transform(F.sequence(F.lit(1), F.ceil(F.size(lines) / lines_a_page).cast("int")), one)
+    rows = documents.where("text is not null").select("document_id", F.posexplode(pages).alias("pos", "raw_text"))
+    return rows.select("document_id", (F.col("pos") + 1).alias("page_number"), "raw_text")
 
 
 def page_status(text: Column, threshold: int = 80) -> Column:
@@ -36,9 +36,10 @@ def margin_key(line: Column) -> Column:
 
 def page_lines(pages: DataFrame, text: str = "raw_text") -> DataFrame:
     """Non-empty lines with their place counted from the top and from the bottom."""
-    lines = pages.select(*PAGE, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    page = W.partitionBy(*PAGE)
-    return lines.withColumn("top", F.row_number().over(page.orderBy("pos"))).withColumn("bottom", F.row_number().over(page.orderBy(F.desc("pos"))))
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+    held = pages.select(*PAGE, F.filter(lines, lambda x: x["line"] != "").alias("__lines"))
+    rows = held.select(*PAGE, F.size("__lines").alias("__n"), F.posexplode("__lines").alias("__i", "__line"))
+    return rows.select(*PAGE, "__line.pos", "__line.line", (F.col("__i") + 1).alias("top"), (F.col("__n") - F.col("__i")).alias("bottom"))
 
 
 def repeated_margins(lines: DataFrame, pages: DataFrame, window: int = 3, longest: int = 140, ratio: float = 0.6, least: int = 3) -> DataFrame:
