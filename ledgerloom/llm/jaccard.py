@@ -208,17 +208,18 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
 
     same = ["n", "hi", "lo"]
     pointed_sets = written(rows.mapInArrow(pointed, "doc_id long, row long, n long, hi long, lo long, points array<long>"), "points")
-    sets = written(pointed_sets.select("doc_id", *same), "sets")
-    # equal sets are one from here on, so copies make no points
-    reps = pointed_sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row", "points")).alias("one"))
-    reps = written(reps.select(*same, F.col("one.doc_id").alias("rep"), F.col("one.row").alias("row"), F.col("one.points").alias("points")), "reps")
-    discard(pointed_sets)
+    sets = written(pointed_sets.select("doc_id", "row", *same), "sets")
+    reps = sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("one"))
+    reps = reps.select(*same, F.col("one.doc_id").alias("rep"), F.col("one.row").alias("row"))
+    # equal sets are one before they make points, so copies make none
+    met = pointed_sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row", "points")).alias("one"))
+    met = met.select(F.col("one.doc_id").alias("rep"), F.explode("one.points").alias("point"))
     # one exchange; a window keeps no group in memory beyond its sorted (point, rep) rows, which can spill
-    met = reps.select("rep", "row", F.explode("points").alias("point"))
     at = W.partitionBy("point")
     met = met.withColumn("center", F.min("rep").over(at)).withColumn("last", F.max("rep").over(at)).where("center < last")
-    members = met.select("center", F.col("rep").alias("doc_id"), "row").distinct().join(reps.select(F.col("rep").alias("doc_id"), "row", "n"), ["doc_id", "row"]).select("center", "doc_id", "row", "n")
+    members = met.select("center", F.col("rep").alias("doc_id")).distinct().join(reps.select(F.col("rep").alias("doc_id"), "row", "n"), "doc_id").select("center", "doc_id", "row", "n")
     members = written(members, "members")
+    discard(pointed_sets)
     # only centers beyond a block are split; they are few (members / block at most), so members stay where they are
     hot = members.groupBy("center").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("all"))
     hot = hot.select("center", F.greatest(F.ceil(F.col("met") / block), F.ceil(F.col("all") / (block * 2000))).cast("int").alias("parts")).where("parts > 1")
@@ -245,6 +246,6 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
 
     sent = sent.select(*keys, "part", "doc_id", "text").repartition(*keys).sortWithinPartitions(*keys)
     found = connected_components(sent.mapInArrow(joined, "src long, dst long"))
-    joined_reps = reps.drop("points", "row").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    joined_reps = reps.drop("row").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", *same).join(joined_reps, same, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
