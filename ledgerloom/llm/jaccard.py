@@ -1,7 +1,8 @@
 """N-gram Jaccard join by prefix trees.
 
 A document is the set of its distinct word n-grams in one global order: longer n-grams first (in bytes, a fixed stand-in
-for rarity), then by hash. Documents with equal sets are collapsed. Sets meet at points, which are chosen so that no
+for rarity), then by hash. Equal sets are one: a task makes their points
+once, and groups hold the smallest document of each. Sets meet at points, which are chosen so that no
 link is lost: sizes fall into classes a factor of the threshold wide, a pair lies in one class or two neighbouring ones,
 and for the larger class at most k n-grams are in only one of two linked sets. The hash range is cut into k + 1 + e
 parts, so linked sets agree on e + 1 whole parts at least; each non-empty part's content is a point of the set. Only sets
@@ -189,19 +190,24 @@ def tree_join(sets: list[np.ndarray], num: int, den: int, levels: int) -> np.nda
     return pairs[(i != j) & (overlap * (num + den) >= num * (size[i] + size[j]))]
 
 
-def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block: int = 500) -> DataFrame:
+def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block: int = 500, most_split: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): two documents link when den * overlap >= num * union."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
 
     def pointed(batches):
-        shingler, points = Shingler(width), Points(num, den)
+        shingler, points, seen = Shingler(width), Points(num, den), set()
         for batch in batches:
             n, hi, lo, met = [], [], [], []
-            for s in shingler.sets(batch.column(1)):
+            for s, named in zip(shingler.sets(batch.column(1)), batch.column(0).is_valid().to_pylist()):
                 n.append(len(s))
                 hi.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
                 lo.append(int(mixed(s ^ FACTOR).sum(dtype=np.uint64).view(np.int64)))
-                met.append(points.of(s))
+                same = (n[-1], hi[-1], lo[-1])
+                met.append(points.of(s) if named and same not in seen else np.zeros(0, np.int64))  # a task's copies make their points once
+                if named:
+                    seen.add(same)
+            if len(seen) > 500_000:
+                seen.clear()  # bounds the memory; points made again change nothing
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in met])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(met) if met else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], ["doc_id", "row", "n", "hi", "lo", "points"])
@@ -211,19 +217,20 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
     sets = written(pointed_sets.select("doc_id", "row", *same), "sets")
     reps = sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("one"))
     reps = reps.select(*same, F.col("one.doc_id").alias("rep"), F.col("one.row").alias("row"))
-    # equal sets are one before they make points, so copies make none
-    met = pointed_sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row", "points")).alias("one"))
-    met = met.select(F.col("one.doc_id").alias("rep"), F.explode("one.points").alias("point"))
-    # one exchange; a window keeps no group in memory beyond its sorted (point, rep) rows, which can spill
+    # one exchange; a window keeps no group in memory beyond its sorted (point, set) rows, which can spill. Sets go by a hash
+    # of theirs: copies from several tasks are one, and two sets of one hash would only be compared once too often
+    met = pointed_sets.where("doc_id is not null").select(F.col("hi").alias("set"), F.explode("points").alias("point"))
     at = W.partitionBy("point")
-    met = met.withColumn("center", F.min("rep").over(at)).withColumn("last", F.max("rep").over(at)).where("center < last")
-    members = met.select("center", F.col("rep").alias("doc_id")).distinct().join(reps.select(F.col("rep").alias("doc_id"), "row", "n"), "doc_id").select("center", "doc_id", "row", "n")
+    met = met.withColumn("center", F.min("set").over(at)).withColumn("last", F.max("set").over(at)).where("center < last")
+    members = met.select("center", "set").distinct().join(reps.select(F.col("hi").alias("set"), F.col("rep").alias("doc_id"), "row", "n"), "set").select("center", "doc_id", "row", "n")
     members = written(members, "members")
     discard(pointed_sets)
-    # only centers beyond a block are split; they are few (members / block at most), so members stay where they are
+    # only centers beyond a block are split: at most members / block. While they are fewer than most_split, they are broadcast and
+    # members stay where they are, beyond that the join shuffles
     hot = members.groupBy("center").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("all"))
     hot = hot.select("center", F.greatest(F.ceil(F.col("met") / block), F.ceil(F.col("all") / (block * 2000))).cast("int").alias("parts")).where("parts > 1")
-    sent = members.join(hot, "center", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    hot = written(hot, "hot")
+    sent = members.join(F.broadcast(hot) if hot.count() < most_split else hot, "center", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sent = sent.select("center", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "row")
     sent = sent.hint("merge").join(rows, ["doc_id", "row"])  # the same plan at every size
