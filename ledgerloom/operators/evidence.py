@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import fold, line_around, squeeze
-from ledgerloom.operators.scoring import holding, inside, ride
+from ledgerloom.operators.automaton import supported, supported_within
+from ledgerloom.operators.scoring import holding
 
 
 def validated(claims: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -100,18 +101,27 @@ def clean_terms(terms: Column) -> Column:
     return F.transform(F.array_sort(F.transform(keys, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
 
 
-def window_support(texts: DataFrame, terms: DataFrame, meet=inside) -> DataFrame:
-    """(document_id, term, size, start, window): the smallest, then first window of one to three lines with a term,
-    inside words too, or with `meet=whole` where the window holds the term's first token as a word."""
-    windows = line_windows(texts, F.array(F.lit(1), F.lit(2), F.lit(3))).withColumn("norm", fold(F.col("window"))).select("document_id", "size", "start", "window", "norm")
-    beside = ride(windows, terms) if meet is inside else None
-    if beside is not None:  # a bounded dictionary needs no tokens
-        hits = beside.where(F.contains("norm", F.col("term")) & (F.col("term") != ""))
-    else:
-        words = windows.select("*", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
-        hits = words.join(meet(words, terms), "token").where(F.contains("norm", F.col("term")))
-    order = W.partitionBy("document_id", "term").orderBy("size", "start")
-    return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("document_id", "term", "size", "start", "window")
+def filled_lines(text: str = "text") -> Column:
+    """A text's lines that are not empty, trimmed."""
+    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+
+
+def keyed(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts with `keys`, their lines as operators.automaton.supports() takes them."""
+    return texts.withColumn("keys", F.transform(filled_lines(text), fold))
+
+
+def cut_lines(start: str, size) -> Column:
+    """The text of `size` lines from number `start` (from 0) on."""
+    return F.array_join(F.slice(filled_lines(), F.col(start) + 1, size), "\n")
+
+
+def window_support(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(document_id, term, size, start, window): the smallest, then first window of one to three lines with a term, inside
+    words too. Lines are postings of the terms' occurrences; text is cut for the windows that are left."""
+    hits = supported(keyed(texts), terms.select("term").distinct()).where("size is not null")
+    out = hits.join(texts.select("document_id", "text"), "document_id")
+    return out.select("document_id", "term", "size", (F.col("start") + 1).alias("start"), cut_lines("start", F.col("size")).alias("window"))
 
 
 def grounded(items: DataFrame, evidence: DataFrame, hits: DataFrame) -> DataFrame:
@@ -120,21 +130,13 @@ def grounded(items: DataFrame, evidence: DataFrame, hits: DataFrame) -> DataFram
 
 
 def heading_support(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(document_id, term, score, pos, excerpt): the best heading line of a text for each term (item terms joined on the
-    first token): numbered exact 300, numbered with at most six more words 250, plain 220 and 170; the excerpt is the
-    line and the two after it. Ties go to the first line."""
-    lines = texts.select("document_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    order = W.partitionBy("document_id").orderBy("pos")
-    lines = lines.withColumn("excerpt", F.concat_ws("\n", "line", F.lead("line", 1).over(order), F.lead("line", 2).over(order))).withColumn("key", fold(F.col("line")))
-    lines = lines.withColumn("body", F.regexp_replace("key", r"^(?:\d+ )+", "")).withColumn("token", F.split_part("body", F.lit(" "), F.lit(1)))
-    met = lines.where("body <> ''").join(terms.select("term", F.split_part("term", F.lit(" "), F.lit(1)).alias("token")), "token")
-    numbered, exact = F.col("body") != F.col("key"), F.col("body") == F.col("term")
-    more = F.size(F.split("body", " ")) - F.size(F.split("term", " "))
-    prefix = F.startswith("body", F.concat("term", F.lit(" "))) & (more <= 6)
-    score = F.when(exact, F.when(numbered, 300).otherwise(220)).when(prefix, F.when(numbered, 250).otherwise(170))
-    best = met.withColumn("score", score).where("score is not null")
-    rank = F.row_number().over(W.partitionBy("document_id", "term").orderBy(F.desc("score"), "pos"))
-    return best.withColumn("rank", rank).where("rank = 1").select("document_id", "term", "score", "pos", "excerpt")
+    """(document_id, term, score, pos, excerpt): the best heading line of a text for each term: numbered exact 300, numbered with at
+    most six more words 250, plain 220 and 170; the excerpt is the line and the two after it, pos its number among all lines. Ties go to
+    the first line."""
+    hits = supported(keyed(texts), terms.select("term").distinct()).where("score is not null")
+    out = hits.join(texts.select("document_id", "text"), "document_id")
+    numbers = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    return out.select("document_id", "term", "score", F.element_at(numbers, F.col("pos") + 1).alias("pos"), cut_lines("pos", 3).alias("excerpt"))
 
 
 def recovered(results: DataFrame, support: DataFrame) -> DataFrame:
@@ -152,23 +154,19 @@ def find_support(wanted: DataFrame, chunks: DataFrame, pages: DataFrame, prefer_
     preferred page, 2 less in the raw page than in a chunk, ties to the lower page. Else, and where there is no heading, the first window: preferred
     page, then pages in order, chunks before the raw page, smaller windows, longer terms."""
     terms = wanted.select("claim_id", "document_id", "preferred_page", F.posexplode(clean_terms(F.col("terms"))).alias("term_rank", "term"))
-    place = lambda raw, index, chunk: F.struct("document_id", "page_number", F.lit(raw).alias("raw"), index.alias("chunk_index"), chunk.alias("chunk_id"))
+    unit = lambda raw, index, chunk: F.struct("page_number", F.lit(raw).alias("raw"), index.alias("chunk_index"), chunk.alias("chunk_id")).alias("unit")
     kind = chunks.schema["chunk_id"].dataType
-    units = chunks.select(place(0, F.col("chunk_index"), F.col("chunk_id")).alias("document_id"), "text").unionByName(pages.select(place(1, F.lit(0), F.lit(None).cast(kind)).alias("document_id"), F.col("raw_text").alias("text")))
-    known = terms.select("term").distinct()
-
-    def met(hits: DataFrame) -> DataFrame:
-        flat = hits.withColumn("unit", F.col("document_id")).withColumn("document_id", F.col("unit.document_id"))
-        return flat.join(terms, ["document_id", "term"]).withColumn("away", F.coalesce((F.col("unit.page_number") != F.col("preferred_page")), F.lit(True)).cast("int"))
-
-    windows = met(window_support(units, known))
-    order = F.struct("away", "unit.page_number", "unit.raw", "unit.chunk_index", "size", "start", "term_rank")
-    found = windows.groupBy("claim_id").agg(F.min_by(F.struct("unit", "term", F.col("window").alias("excerpt")), order).alias("window"))
-    if not prefer_heading:
-        return found.select("claim_id", "window.unit.page_number", "window.unit.chunk_id", "window.term", "window.excerpt")
-    heads = met(heading_support(units, known))
-    total = F.col("score") + F.when(F.col("away") == 0, 20).otherwise(0) - F.when(F.col("unit.raw") == 1, 2).otherwise(0)
-    order = F.struct((-total).alias("total"), "unit.page_number", "unit.raw", "unit.chunk_index", "pos", "term_rank")
-    best = heads.groupBy("claim_id").agg(F.min_by(F.struct("unit", "term", "excerpt"), order).alias("head"))
-    both = found.join(best, "claim_id", "full").withColumn("hit", F.coalesce("head", "window"))
-    return both.select("claim_id", "hit.unit.page_number", "hit.unit.chunk_id", "hit.term", "hit.excerpt")
+    units = chunks.select("document_id", unit(0, F.col("chunk_index"), F.col("chunk_id")), "text").unionByName(pages.select("document_id", unit(1, F.lit(0), F.lit(None).cast(kind)), F.col("raw_text").alias("text")))
+    hits = supported_within(keyed(units), terms.select("document_id", "term"))
+    met = hits.join(terms, ["document_id", "term"]).withColumn("away", F.coalesce((F.col("unit.page_number") != F.col("preferred_page")), F.lit(True)).cast("int"))
+    windows = F.struct("away", "unit.page_number", "unit.raw", "unit.chunk_index", "size", "start", "term_rank")
+    found = F.min_by(F.struct("unit", "term", "size", "start"), F.when(F.col("size").isNotNull(), windows)).alias("hit")
+    if prefer_heading:
+        total = F.col("score") + F.when(F.col("away") == 0, 20).otherwise(0) - F.when(F.col("unit.raw") == 1, 2).otherwise(0)
+        heads = F.struct((-total).alias("total"), "unit.page_number", "unit.raw", "unit.chunk_index", "pos", "term_rank")
+        head = F.min_by(F.struct("unit", "term", F.lit(3).alias("size"), F.col("pos").alias("start")), F.when(F.col("score").isNotNull(), heads))
+        found = F.coalesce(head, found).alias("hit")
+    best = met.groupBy("claim_id", "document_id").agg(found).where("hit is not null").select("claim_id", "document_id", "hit.*")
+    # the text is cut for the winner alone
+    out = best.join(units, (best["document_id"] == units["document_id"]) & best["unit"].eqNullSafe(units["unit"]))
+    return out.select("claim_id", best["unit.page_number"], best["unit.chunk_id"], "term", cut_lines("start", F.col("size")).alias("excerpt"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ledgerloom.functions.text import fold, squeeze, tokens
-from ledgerloom.operators.scoring import inside
+from ledgerloom.operators.automaton import LETTERS, occurrences
 
 
 def accepted(questions: DataFrame, longest: int = 1200) -> DataFrame:
@@ -101,14 +101,11 @@ def cached(questions: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFra
     return asked.join(known, "key"), asked.join(known, "key", "left_anti")
 
 
-def matched_item(questions: DataFrame, phrases: DataFrame, meet=inside) -> DataFrame:
-    """(question_id, item): the item with the longest phrase contained in the question, inside words too, or with
-    `meet=whole` where the question holds the phrase's first token as a word."""
-    asked = questions.select("question_id", fold(F.col("question")).alias("norm"))
-    words = asked.select("question_id", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
-    hits = words.join(meet(words, phrases), "token").where(F.contains("norm", F.col("term"))).join(phrases, "term")
-    order = W.partitionBy("question_id").orderBy(F.desc(F.length("term")), "item", "term")
-    return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("question_id", "item", "term")
+def matched_item(questions: DataFrame, phrases: DataFrame, letters: int = LETTERS) -> DataFrame:
+    """(question_id, item, term): the item with the longest phrase (item, term) contained in the question, inside words too."""
+    hits = occurrences(questions.select(F.col("question_id").alias("chunk_id"), fold(F.col("question")).alias("norm")), phrases.select("item", "term"), letters=letters)
+    order = W.partitionBy("chunk_id").orderBy(F.desc(F.length("term")), "item", "term")
+    return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(F.col("chunk_id").alias("question_id"), "item", "term")
 
 
 def label_map(items: DataFrame) -> DataFrame:

@@ -1,53 +1,26 @@
 """Scores of chunks against keywords and aliases, and top-k routing of chunks to stages.
 
-Terms are dictionaries that people write. While there are at most `most` of them they ride along with each row as a constant array
-(`ride`): a chunk's text is then neither tokenised nor shuffled, and only (chunk, item, score) rows are. Larger ones meet
-chunks by equi-joins: on the term's first token where terms count as whole words, and where they count inside longer words too
-on the words that hold them (`inside`), which the distinct words find by the first letters of the term.
+Terms meet chunks in one pass of an automaton over each text (operators.automaton), so a chunk's text is neither tokenised nor
+shuffled, and only (chunk, term) hits are. Parts that a table of words must hold are found by equi-joins instead (`holding`, `inside`).
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ledgerloom.functions.text import fold, substring_count, whole_count
+from ledgerloom.functions.text import fold, fold_marks, substring_count
+from ledgerloom.operators.automaton import LETTERS, line_occurrences, occurrences
 
 
 def folded(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("norm", fold(F.col("text")))
 
 
-def ride(rows: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame | None:
-    """rows with the columns of every term beside them, or None if there are more than `most` terms. Follow it with a filter."""
-    every = terms.limit(most + 1).collect()
-    if len(every) > most:
-        return None
-    kind = terms.schema.simpleString()
-    constant = F.from_json(F.lit(json.dumps([r.asDict() for r in every])), f"array<{kind}>")
-    return rows.withColumn("__term", F.explode(constant)).select(*rows.columns, "__term.*")
-
-
 def first_token(term) -> F:
     return F.split_part(term, F.lit(" "), F.lit(1))
 
 
-def candidates(chunks: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
-    """Pairs of folded chunks (chunk_id, norm, ...) and folded terms (term, ...) that share the term's first token."""
-    beside = ride(chunks, terms, most)
-    if beside is not None:
-        return beside.where(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), first_token(F.col("term")), F.lit(" "))))
-    first = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
-    return first.join(terms.withColumn("token", first_token(F.col("term"))), "token").drop("token").join(chunks, "chunk_id")
-
-
-def whole(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(token, term): the first token of each term (term)."""
-    return terms.select(F.split_part("term", F.lit(" "), F.lit(1)).alias("token"), "term").distinct()
-
-
 def holding(words: DataFrame, parts: DataFrame) -> DataFrame:
     """(token, part): the distinct words (token) that hold a part (part) anywhere: an equi-join on its first three letters."""
     vocabulary = words.select("token").distinct()
@@ -67,45 +40,32 @@ def inside(words: DataFrame, terms: DataFrame) -> DataFrame:
     return holding(words, wanted).join(wanted, "part").where(begins).select("token", "term")
 
 
-def containing(chunks: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
-    """Pairs of folded chunks (chunk_id, norm, ...) and folded terms (term, ...) that occur in them, inside words too."""
-    beside = ride(chunks, terms, most)
-    if beside is not None:
-        return beside.where(F.contains("norm", F.col("term")) & (F.col("term") != ""))
-    words = chunks.select("chunk_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
-    met = words.join(inside(words, terms), "token").select("chunk_id", "term").distinct()
-    return met.join(terms, "term").join(chunks, "chunk_id").where(F.contains("norm", F.col("term")))
+def keyword_scores(chunks: DataFrame, keywords: DataFrame, cap: int = 4, letters: int = LETTERS) -> DataFrame:
+    """(chunk_id, profile, score): each keyword (profile, term) that occurs, inside words too, gives 3 plus its further occurrences
+    up to `cap`. letters: size of an automaton, see operators.automaton."""
+    found = occurrences(chunks, keywords, letters=letters)
+    return found.groupBy("chunk_id", "profile").agg(F.sum(3 + F.least(F.col("n") - 1, F.lit(cap))).alias("score"))
 
 
-def keyword_scores(chunks: DataFrame, keywords: DataFrame, cap: int = 4, pairs=containing) -> DataFrame:
-    """(chunk_id, profile, score): each keyword that occurs gives 3 plus its further occurrences up to `cap`. `pairs` tells
-    what can occur: `containing`, or `candidates` for chunks that hold the keyword's first token as a word."""
-    found = pairs(chunks, keywords).withColumn("n", substring_count(F.col("norm"), F.col("term"))).where("n > 0")
-    return found.groupBy("chunk_id", "profile").agg(F.sum(3 + F.least(F.col("n") - 1, F.lit(cap))).alias("score"))
+def lines_of(chunks: DataFrame, cut: str = "\n") -> DataFrame:
+    """(chunk_id, keys, marks, upper): a chunk's lines, as line_occurrences() takes them. `upper`: what stands before a colon is in capitals."""
+    lines = F.split("text", cut)
+    head = lambda x: F.trim(F.split_part(x, F.lit(":"), F.lit(1)))
+    return chunks.select("chunk_id", F.transform(lines, fold).alias("keys"), F.transform(lines, fold_marks).alias("marks"), F.transform(lines, lambda x: (head(x) != "") & (head(x) == F.upper(head(x)))).alias("upper"))
 
 
-def headings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, item, term, head): rank of the best line of a chunk that starts with a term, after section numbers or
-    not; the rule of functions.text.heading_score as an equi-join on the first token. Terms do not start with numbers."""
-    lines = chunks.select("chunk_id", F.explode(F.split("text", "\n")).alias("line")).select("chunk_id", fold(F.col("line")).alias("key"))
-    lines = lines.withColumn("body", F.regexp_replace("key", r"^(?:\d+ )+", "")).where("body <> ''").withColumn("token", F.split_part("body", F.lit(" "), F.lit(1)))
-    met = ride(lines, terms)
-    met = met.where(F.startswith("body", F.col("term"))) if met is not None else lines.join(terms.withColumn("token", first_token(F.col("term"))), "token")
-    exact, begins = F.col("body") == F.col("term"), F.startswith("body", F.concat("term", F.lit(" ")))
-    numbered = F.col("body") != F.col("key")
-    head = F.when(exact, F.when(numbered, 320).otherwise(220)).when(begins, F.when(numbered, 270).otherwise(160))
-    return met.where(exact | begins).groupBy("chunk_id", "item", "term").agg(F.max(head).alias("head"))
+def near_top(top: int) -> F:
+    """The first occurrence lies whole in the first `top` letters."""
+    return F.col("first") + F.length("term") <= top
 
 
 def alias_scores(chunks: DataFrame, terms: DataFrame, top: int = 1200) -> DataFrame:
-    """(chunk_id, item, score) of terms (item, term): the best alias. Occurrences give 8 + up to 6, a heading line
+    """(chunk_id, item, score) of terms (item, term): the best alias. Whole occurrences give 8 + up to 6, a heading line
     180 plus its rank, a place near the top 12."""
-    found = candidates(chunks, terms).withColumn("n", whole_count(F.col("norm"), F.col("term"))).where("n > 0")
-    near = F.when(F.instr(F.substring("norm", 1, top), F.col("term")) > 0, 12).otherwise(0)
-    found = found.select("chunk_id", "item", "term", (8 + F.least("n", F.lit(6)) + near).alias("found"))
-    both = found.join(headings(chunks, terms), ["chunk_id", "item", "term"], "left")
-    score = F.col("found") + F.coalesce(F.col("head") + 180, F.lit(0))
-    return both.groupBy("chunk_id", "item").agg(F.max(score.cast("long")).alias("score"))
+    found = line_occurrences(lines_of(chunks), terms, top=top).where("whole > 0")
+    heading = F.when(F.col("head") > 0, F.col("head") + 180).otherwise(0)
+    score = 8 + F.least("whole", F.lit(6)) + F.when(near_top(top), 12).otherwise(0) + heading
+    return found.groupBy("chunk_id", "item").agg(F.max(score.cast("long")).alias("score"))
 
 
 def best_chunk(scores: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
@@ -146,11 +106,10 @@ def page_range(pages: DataFrame, pattern: str, after: int = 10) -> DataFrame:
     return pages.groupBy("document_id").agg(F.coalesce(first, F.max("page_number")).cast("long").alias("end_page"), F.max("page_number").cast("long").alias("page_count"))
 
 
-def phrase_scores(chunks: DataFrame, phrases: DataFrame, head: int = 1000, pairs=containing) -> DataFrame:
-    """(chunk_id, item, score) of phrases (item, term): 80, and 20 more near the top; `pairs` as in keyword_scores."""
-    found = pairs(chunks, phrases).where(F.contains("norm", F.col("term")))
-    score = 80 + F.when(F.instr(F.substring("norm", 1, head), F.col("term")) > 0, 20).otherwise(0)
-    return found.groupBy("chunk_id", "item").agg(F.max(score.cast("long")).alias("score"))
+def phrase_scores(chunks: DataFrame, phrases: DataFrame, head: int = 1000) -> DataFrame:
+    """(chunk_id, item, score) of phrases (item, term): 80, and 20 more near the top."""
+    score = 80 + F.when(near_top(head), 20).otherwise(0)
+    return occurrences(chunks, phrases).groupBy("chunk_id", "item").agg(F.max(score.cast("long")).alias("score"))
 
 
 def stage_routes(routes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import evaluate, evidence, retrieve, scoring
+from ledgerloom.operators import evaluate, evidence, retrieve
 from ledgerloom.plans.registry import query, table
 from ledgerloom.plans.text_queries import LINES_A_PAGE, doc_pages, documents, sql_fold
 
@@ -95,11 +95,11 @@ def regex_scalar(spark, sf_dir):
 
 @query(f"""WITH line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents), n AS (SELECT d, l, row_number() OVER (PARTITION BY d ORDER BY pos) k, lead(l) OVER (PARTITION BY d ORDER BY pos) l2, lead(l, 2) OVER (PARTITION BY d ORDER BY pos) l3 FROM line WHERE l <> ''),
 w AS (SELECT d, 1 size, k, l w FROM n UNION ALL SELECT d, 2, k, l || chr(10) || l2 FROM n WHERE l2 IS NOT NULL UNION ALL SELECT d, 3, k, l || chr(10) || l2 || chr(10) || l3 FROM n WHERE l3 IS NOT NULL),
-hit AS (SELECT d, t, size, k FROM (SELECT *, {sql_fold('w')} f FROM w), (VALUES ('this work is'), ('licensed under'), ('la de')) AS x(t) WHERE contains(f, t) AND list_contains(string_split(f, ' '), split_part(t, ' ', 1)))
+hit AS (SELECT d, t, size, k FROM (SELECT *, {sql_fold('w')} f FROM w), (VALUES ('this work is'), ('licensed under'), ('la de')) AS x(t) WHERE contains(f, t))
 SELECT d AS document_id, t AS term, size, k AS start FROM (SELECT *, row_number() OVER (PARTITION BY d, t ORDER BY size, k) r FROM hit) WHERE r = 1""")
 def window_support(spark, sf_dir):
     terms = spark.createDataFrame([("this work is",), ("licensed under",), ("la de",)], "term string")
-    return evidence.window_support(sources_of(spark, sf_dir), terms, meet=scoring.whole).select("document_id", "term", "size", F.col("start").cast("long").alias("start"))  # as its SQL
+    return evidence.window_support(sources_of(spark, sf_dir), terms).select("document_id", "term", "size", F.col("start").cast("long").alias("start"))
 
 
 @query("""WITH word AS (SELECT doc_id d, lang, n_chars FROM documents), e AS (SELECT lang, d FROM word JOIN labels ON d = doc_id WHERE quality = 1 GROUP BY ALL), x AS (SELECT lang, d FROM word JOIN labels ON d = doc_id WHERE n_chars >= 1000 GROUP BY ALL),
@@ -232,12 +232,18 @@ def answer_cache(spark, sf_dir):
     return known.select("conv_id", "turn", F.lit(True).alias("known")).unionByName(new.select("conv_id", "turn", F.lit(False).alias("known")))
 
 
-@query(f"""WITH {ASKED}, p AS (SELECT DISTINCT 't' || length(w) item, w term FROM (SELECT unnest(string_split({sql_fold('text')}, ' ')) w FROM benchmark) WHERE length(w) >= 6), a AS (SELECT q, {sql_fold('text')} f FROM q), hit AS (SELECT q, item, term FROM (SELECT DISTINCT q, f, unnest(string_split(f, ' ')) w FROM a) JOIN p ON w = term)
-SELECT q AS question_id, item, term FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY length(term) DESC, item, term) r FROM hit) WHERE r = 1""")
-def concept_glossary(spark, sf_dir):
+GLOSSARY = f"""WITH {ASKED}, p AS (SELECT DISTINCT 't' || length(w) item, w term FROM (SELECT unnest(string_split({sql_fold('text')}, ' ')) w FROM benchmark) WHERE length(w) >= 6), a AS (SELECT q, {sql_fold('text')} f FROM q)
+SELECT q AS question_id, item, term FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY length(term) DESC, item, term) r FROM a JOIN p ON contains(f, term)) WHERE r = 1"""
+
+
+def phrases_of(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(X.fold(F.col("text")), " ")).alias("term")).where("length(term) >= 6").distinct()
-    phrases = words.select(F.concat(F.lit("t"), F.length("term").cast("string")).alias("item"), "term")
-    return retrieve.matched_item(questions_of(spark, sf_dir), phrases, meet=scoring.whole)  # as its SQL
+    return words.select(F.concat(F.lit("t"), F.length("term").cast("string")).alias("item"), "term")
+
+
+@query(GLOSSARY)
+def concept_glossary(spark, sf_dir):
+    return retrieve.matched_item(questions_of(spark, sf_dir), phrases_of(spark, sf_dir))
 
 
 HEADS = f"""line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos FROM documents), k AS (SELECT d, l, pos, concat_ws(chr(10), l, lead(l) OVER w, lead(l, 2) OVER w) x, {sql_fold('l')} k FROM line WHERE l <> '' WINDOW w AS (PARTITION BY d ORDER BY pos)), b AS (SELECT *, regexp_replace(k, '^([0-9]+ )+', '') b FROM k),
@@ -298,10 +304,7 @@ def window_support_inside(spark, sf_dir):
     return evidence.window_support(sources_of(spark, sf_dir), terms).select("document_id", "term", "size", "start")
 
 
-@query(f"""WITH {ASKED}, p AS (SELECT DISTINCT 't' || length(w) item, w term FROM (SELECT unnest(string_split({sql_fold('text')}, ' ')) w FROM benchmark) WHERE length(w) >= 6), a AS (SELECT q, {sql_fold('text')} f FROM q)
-SELECT q AS question_id, item, term FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY length(term) DESC, item, term) r FROM a JOIN p ON contains(f, term)) WHERE r = 1""")
+@query(GLOSSARY)
 def glossary_inside(spark, sf_dir):
-    """Items whose phrase stands anywhere in a question, inside words too; the phrases are too many to ride along."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(X.fold(F.col("text")), " ")).alias("term")).where("length(term) >= 6").distinct()
-    phrases = words.select(F.concat(F.lit("t"), F.length("term").cast("string")).alias("item"), "term")
-    return retrieve.matched_item(questions_of(spark, sf_dir), phrases)
+    """Items whose phrase stands anywhere in a question, inside words too; the dictionary is taken apart for several automata."""
+    return retrieve.matched_item(questions_of(spark, sf_dir), phrases_of(spark, sf_dir), letters=2500)

@@ -249,10 +249,10 @@ COUNTED = f"k(profile, term) AS (VALUES {TERM_ROWS}), doc AS (SELECT doc_id, tex
 WHOLE = "CASE WHEN contains(term, ' ') THEN (length(' ' || replace(t, ' ', '  ') || ' ') - length(replace(' ' || replace(t, ' ', '  ') || ' ', ' ' || replace(term, ' ', '  ') || ' ', ''))) // (length(replace(term, ' ', '  ')) + 2) ELSE len(list_filter(string_split(t, ' '), lambda x: x = term)) END"
 
 
-@query(f"WITH {COUNTED} SELECT doc_id AS chunk_id, profile, sum(3 + least(n - 1, 4))::BIGINT AS score FROM (SELECT doc_id, profile, term, (length(t) - length(replace(t, term, ''))) // length(term) n, t FROM doc, k WHERE list_contains(string_split(t, ' '), split_part(term, ' ', 1))) WHERE n > 0 GROUP BY 1, 2")
+@query(f"WITH {COUNTED} SELECT doc_id AS chunk_id, profile, sum(3 + least(n - 1, 4))::BIGINT AS score FROM (SELECT doc_id, profile, term, (length(t) - length(replace(t, term, ''))) // length(term) n, t FROM doc, k) WHERE n > 0 GROUP BY 1, 2")
 def chunk_scores(spark, sf_dir):
     terms = spark.createDataFrame(TERMS, "profile string, term string")
-    return scoring.keyword_scores(scoring.folded(doc_chunks(spark, sf_dir)), terms, pairs=scoring.candidates)  # as its SQL
+    return scoring.keyword_scores(scoring.folded(doc_chunks(spark, sf_dir)), terms)
 
 
 HEADS = f"list_max(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches({sql_fold('l')}, '^([0-9]+ )+' || term || '$') THEN 500 WHEN regexp_matches({sql_fold('l')}, '^([0-9]+ )+' || term || ' ') THEN 450 WHEN {sql_fold('l')} = term THEN 400 WHEN starts_with({sql_fold('l')}, term || ' ') THEN 340 ELSE 0 END))"
@@ -282,12 +282,11 @@ def route_topk(spark, sf_dir):
     return scoring.routed([scores, scores], docs, 14).select("document_id", "profile", "chunk_id", "score", "rank")
 
 
-@query(f"WITH {COUNTED} SELECT source AS document_id, term AS item, arg_min(doc_id, (-s, doc_id)) AS chunk_id, max(s) AS score FROM (SELECT source, doc_id, term, 80 + CASE WHEN contains(substr(t, 1, 1000), term) THEN 20 ELSE 0 END AS s FROM doc JOIN documents USING (doc_id), k WHERE contains(t, term) AND list_contains(string_split(t, ' '), split_part(term, ' ', 1))) GROUP BY 1, 2")
+@query(f"WITH {COUNTED} SELECT source AS document_id, term AS item, arg_min(doc_id, (-s, doc_id)) AS chunk_id, max(s) AS score FROM (SELECT source, doc_id, term, 80 + CASE WHEN contains(substr(t, 1, 1000), term) THEN 20 ELSE 0 END AS s FROM doc JOIN documents USING (doc_id), k WHERE contains(t, term)) GROUP BY 1, 2")
 def identity_phrase_score(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit(1).alias("page_number"), F.col("doc_id").alias("chunk_index"), "text")
     phrases = spark.createDataFrame([(t, t) for _, t in TERMS], "item string, term string")
-    # first tokens as whole words, as its SQL
-    got = scoring.best_chunk(scoring.phrase_scores(scoring.folded(docs), phrases, pairs=scoring.candidates), docs, ["document_id", "item"])
+    got = scoring.best_chunk(scoring.phrase_scores(scoring.folded(docs), phrases), docs, ["document_id", "item"])
     return got.select("document_id", "item", "chunk_id", "score")
 
 
@@ -309,9 +308,9 @@ def chunk_scores_inside(spark, sf_dir):
 
 @query(f"WITH {COUNTED} SELECT doc_id AS chunk_id, profile, sum(3 + least(n - 1, 4))::BIGINT AS score FROM (SELECT doc_id, profile, term, (length(t) - length(replace(t, term, ''))) // length(term) n FROM doc, k) WHERE n > 0 GROUP BY 1, 2")
 def chunk_scores_joined(spark, sf_dir):
-    """As chunk_scores_inside, by the joins that a large dictionary takes."""
+    """As chunk_scores_inside, with a dictionary of several automata."""
     terms = spark.createDataFrame(TERMS, "profile string, term string")
-    return scoring.keyword_scores(scoring.folded(doc_chunks(spark, sf_dir)), terms, pairs=lambda chunks, words: scoring.containing(chunks, words, most=0))
+    return scoring.keyword_scores(scoring.folded(doc_chunks(spark, sf_dir)), terms, letters=8)
 
 
 @query(f"WITH {COUNTED} SELECT source AS document_id, term AS item, arg_min(doc_id, (-s, doc_id)) AS chunk_id, max(s) AS score FROM (SELECT source, doc_id, term, 80 + CASE WHEN contains(substr(t, 1, 1000), term) THEN 20 ELSE 0 END AS s FROM doc JOIN documents USING (doc_id), k WHERE contains(t, term)) GROUP BY 1, 2")
