@@ -9,22 +9,51 @@ from pyspark.sql import Column, functions as F
 BLANKS = r"[\s\x{00a0}\x{2007}\x{202f}\x{3000}]+"
 
 
-def accent_table() -> tuple[str, str]:
-    """Latin letters with marks and their base letters, from the Unicode decomposition."""
-    pairs = [(c, unicodedata.normalize("NFKD", c)[0]) for c in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFKD", c)[0].isascii()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def ranges(letters: list[int]) -> str:
+    """A pattern's character class of code points in ascending order."""
+    out, begin = [], 0
+    for i, x in enumerate(letters):
+        if i + 1 == len(letters) or letters[i + 1] != x + 1:
+            out.append(rf"\x{{{letters[begin]:x}}}-\x{{{x:x}}}")
+            begin = i + 1
+    return f"[{''.join(out)}]"
 
 
-ACCENTED, PLAIN = accent_table()
+def folded_letter(letter: str) -> str:
+    """What a letter is compared as: case folded, without the marks of its compatibility decomposition."""
+    return "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c)).casefold()
+
+
+def folding() -> tuple[str, str, str, str]:
+    """By that rule, over the planes that have letters with a decomposition: letters that fold to one and what they fold to, marks (which fold to
+    nothing) last; the pattern of letters that fold to several (ligatures, fractions, squared words), and these letters each
+    with what it folds to. Texts are in lower case before. Syllables of Hangul stay whole."""
+    lower = [chr(x) for x in range(0x80, 0x30000) if not 0xD800 <= x < 0xE000 and not 0xAC00 <= x < 0xD7A4 and chr(x).lower() == chr(x)]
+    changed = {c: to for c in lower if (to := folded_letter(c)) != c}
+    one = {c: to for c, to in changed.items() if len(to) == 1}
+    many = {c: to for c, to in changed.items() if len(to) > 1 and c not in COMMON}
+    # blocks first: a class of hundreds of ranges is slow to leave
+    blocks = ranges([x for block in sorted({ord(c) >> 8 for c in many}) for x in range(block << 8, block + 1 << 8) if x > 0x7F])
+    return "".join([*one, *(c for c, to in changed.items() if not to)]), "".join(one.values()), f"(?={blocks}){ranges([*map(ord, many)])}", "\1".join(c + to for c, to in many.items())
+
+
+COMMON = "ßﬀﬁﬂﬃﬄ…"  # letters that fold to several in ordinary text
+LETTERS, PLAIN, LIGATURE, LIGATURES = folding()
 
 
 def fold_marks(text: Column) -> Column:
-    """Lower case without marks; punctuation and line breaks stay."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+    """Case folded without marks, of the compatibility decomposition; punctuation and line breaks stay. Texts of ASCII alone are only put in
+    lower case; the several hundred rare letters that fold to more than one are looked for where there is any."""
+    low = F.lower(text)
+    for letter in COMMON:
+        low = F.replace(low, F.lit(letter), F.lit(folded_letter(letter)))
+    each = F.aggregate(F.split(F.lit(LIGATURES), "\1"), low, lambda t, x: F.replace(t, F.left(x, F.lit(1)), F.substr(x, F.lit(2))))
+    plain = F.translate(F.when(F.rlike(low, F.lit(LIGATURE)), each).otherwise(low), LETTERS, PLAIN)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(plain)
 
 
 def fold(text: Column) -> Column:
-    """Comparison key: lower case, no marks, every run of other characters one blank."""
+    """Comparison key: case folded, no marks, every run of other characters one blank."""
     return F.trim(F.regexp_replace(fold_marks(text), "[^a-z0-9]+", " "))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
@@ -33,28 +33,73 @@ def report(results: DataFrame, by: str) -> DataFrame:
 
 def line_windows(texts: DataFrame, sizes: Column, text: str = "text") -> DataFrame:
     """Windows of consecutive non-empty lines: (…, size, start, window) for each size in an array column."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     out = texts.withColumn("__lines", lines).withColumn("size", F.explode(sizes)).where("size > 0 and size <= size(__lines)")
     out = out.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("__lines") - F.col("size") + 1)))
     return out.withColumn("window", F.array_join(F.slice("__lines", F.col("start"), F.col("size")), "\n")).drop("__lines")
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching characters of two texts, case ignored."""
-    return pd.Series([SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio() for x, y in zip(a, b)])
+GRAM = 3
+
+
+def shared_grams(a: int, b: int, least: float) -> float:
+    """How many of the character grams of a text of b letters at least occur in one of a letters, if their similarity is `least`: matching letters
+    are least * (a + b) / 2 at least; an unmatched letter of b breaks GRAM grams of b, one of a those across its place."""
+    matched = least * (a + b) / 2
+    return b - GRAM + 1 - GRAM * (b - matched) - (GRAM - 1) * (a - matched) - 1e-6
+
+
+def nearest(excerpt: str, text: str, least: float) -> tuple[str | None, float, int]:
+    """(window, similarity, comparisons): the window of about as many lines as the excerpt that is most similar to it, case and spacing
+    ignored, if `least` is reached; ties go to fewer lines, then to the first. A window is compared letter by letter only if its
+    length and the number of its grams that the excerpt has, too, a sum over its lines, leave room for `least` and for more than the best one
+    so far."""
+    key = lambda x: " ".join(x.split()).casefold()
+    wanted = key(excerpt)
+    grams = {wanted[i : i + GRAM] for i in range(len(wanted) - GRAM + 1)}
+    lines = [x.strip(" ") for x in text.split("\n") if x.strip()]
+    keys = [key(x) for x in lines]
+    size, known = [0], [0]
+    for k in keys:
+        size.append(size[-1] + len(k) + 1)
+        known.append(known[-1] + sum(k[i : i + GRAM] in grams for i in range(len(k) - GRAM + 1)))
+    n = max(1, sum(1 for x in excerpt.split("\n") if x.strip()))
+    best, found, compared = 0.0, None, 0
+    for many in range(max(1, n - 1), min(len(lines), n + 1) + 1):
+        for at in range(len(lines) - many + 1):
+            length = size[at + many] - size[at] - 1
+            bar = max(best, least)
+            if 2 * min(len(wanted), length) < bar * (len(wanted) + length) - 1e-6:
+                continue
+            if known[at + many] - known[at] + GRAM * (many - 1) < shared_grams(len(wanted), length, bar):  # GRAM grams lie across a joint
+                continue
+            window = " ".join(keys[at : at + many])
+            if window == wanted:
+                similarity = 1.0
+            else:
+                compared += 1
+                similarity = SequenceMatcher(None, wanted, window, autojunk=False).ratio()
+            if similarity > best:
+                best, found = similarity, at
+                text = "\n".join(lines[at : at + many])
+    return (text, best, compared) if found is not None and best >= least else (None, best, compared)
 
 
 def repaired(claims: DataFrame, chunks: DataFrame, least: float = 0.97, shortest: int = 24) -> DataFrame:
-    """Invalid claims (document_id, chunk_id, claim_id, excerpt) with the nearest window of their chunk: about as many lines
-    as the excerpt, similarity at least `least`. Lengths that cannot reach it are cut before the similarity is taken."""
-    n = F.size(F.filter(F.split("excerpt", "\n"), lambda x: F.trim(x) != ""))
-    joined = claims.where(F.length("excerpt") >= shortest).join(chunks.select("document_id", "chunk_id", "text"), ["document_id", "chunk_id"])
-    windows = line_windows(joined, F.array(n - 1, n, n + 1))
-    a, b = F.length("excerpt"), F.length("window")
-    close = windows.where(2 * F.least(a, b) >= (a + b) * least).withColumn("similarity", ratio("excerpt", "window")).where(F.col("similarity") >= least)
-    order = W.partitionBy("claim_id").orderBy(F.desc("similarity"), "size", "start")
-    return close.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("claim_id", "window", "similarity")
+    """(claim_id, window, similarity) of invalid claims (document_id, chunk_id, claim_id, excerpt): the nearest window of their chunk,
+    see nearest(). A chunk's text travels once a claim; its windows are cut in the task."""
+    asked = claims.where(F.length(squeeze(F.col("excerpt"))) >= shortest)
+    joined = asked.join(chunks.select("document_id", "chunk_id", "text"), ["document_id", "chunk_id"]).select("claim_id", "excerpt", "text")
+    fields = T.StructType([joined.schema["claim_id"], T.StructField("window", T.StringType()), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            got = [nearest(a, b, least)[:2] if b else (None, 0.0) for a, b in zip(batch.column("excerpt").to_pylist(), batch.column("text").to_pylist())]
+            keep = pa.array([w is not None for w, _ in got], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column("claim_id"), pa.array([w for w, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], fields.names)
+            yield out.filter(keep)
+
+    return joined.mapInArrow(run, fields)
 
 
 def repaired_folded(claims: DataFrame, chunks: DataFrame, least: float = 0.97, shortest: int = 24) -> DataFrame:
@@ -103,7 +148,7 @@ def clean_terms(terms: Column) -> Column:
 
 def filled_lines(text: str = "text") -> Column:
     """A text's lines that are not empty, trimmed."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def keyed(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -143,7 +143,7 @@ def chunks(pages: DataFrame, text: str = "clean_text", size: int = 3000, overlap
 
     kind = pages.schema["document_id"].dataType.simpleString()
     out = pages.select("document_id", F.col("page_number").cast("int"), text).mapInArrow(split, f"document_id {kind}, page_number int, chunk_index int, char_start int, char_end int, text string")
-    number = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    number = lambda c, n: F.lpad(F.col(c).cast("string"), F.greatest(F.lit(n), F.length(F.col(c).cast("string"))), F.lit("0"))  # noqa: E731  # padded, never cut
     name = F.concat(F.col("document_id").cast("string"), F.lit(":p"), number("page_number", 4), F.lit(":c"), number("chunk_index", 3))
     return out.select(name.alias("chunk_id"), "*")
 

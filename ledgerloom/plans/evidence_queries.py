@@ -62,15 +62,15 @@ def damaged(spark, sf_dir):
 
 
 @query(f"""WITH line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents), top AS (SELECT d, arg_min(l, (-length(l), pos)) l FROM line WHERE length(l) BETWEEN 40 AND 600 GROUP BY 1)
-SELECT d AS claim_id, true AS repaired FROM top WHERE 1 - 1 / length(l) >= 0.97""")
+SELECT d AS claim_id, true AS repaired FROM top WHERE 1 - 1 / length(replace({SQUEEZE.format('l')}, 'ß', 'ss')) >= 0.97""")
 def evidence_repair(spark, sf_dir):
     claims = damaged(spark, sf_dir)
     chunks = sources_of(spark, sf_dir).withColumn("chunk_id", F.col("document_id"))
     return evidence.repaired(claims, chunks).select("claim_id", F.lit(True).alias("repaired"))
 
 
-@query("""WITH line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents), top AS (SELECT d, arg_min(l, (-length(l), pos)) l FROM line WHERE length(l) BETWEEN 40 AND 600 GROUP BY 1)
-SELECT d AS claim_id, sha256(l) AS window_hash, CASE WHEN right(l, 1) = '#' THEN 1.0 ELSE round(1 - 1 / length(l), 6) END AS similarity FROM top WHERE 1 - 1 / length(l) >= 0.97""")
+@query(f"""WITH line AS (SELECT doc_id d, trim(unnest(string_split(text, chr(10)))) l, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents), top AS (SELECT d, arg_min(l, (-length(l), pos)) l FROM line WHERE length(l) BETWEEN 40 AND 600 GROUP BY 1)
+SELECT d AS claim_id, sha256(l) AS window_hash, CASE WHEN right(l, 1) = '#' THEN 1.0 ELSE round(1 - 1 / length(replace({SQUEEZE.format('l')}, 'ß', 'ss')), 6) END AS similarity FROM top WHERE 1 - 1 / length(replace({SQUEEZE.format('l')}, 'ß', 'ss')) >= 0.97""")
 def repair_windows(spark, sf_dir):
     """The window that a damaged claim is repaired to, and how similar it is."""
     got = evidence.repaired(damaged(spark, sf_dir), sources_of(spark, sf_dir).withColumn("chunk_id", F.col("document_id")))

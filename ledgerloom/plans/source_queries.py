@@ -116,12 +116,9 @@ def records_source(spark, sf_dir):
 @query("SELECT p_type AS category, split_part(p_name, ' ', 2) AS id, count(DISTINCT p_name) AS aliases FROM part GROUP BY 1, 2")
 def dictionary_source(spark, sf_dir):
     thing = F.split_part("p_name", F.lit(" "), F.lit(2))
-    items = table(spark, sf_dir, "part").groupBy("p_type", thing.alias("id")).agg(F.sort_array(F.collect_set("p_name")).alias("aliases"))
-    files = items.groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("id", F.initcap("id").alias("label"), "aliases"))).alias("items"))
+    items = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category"), thing.alias("id")).agg(F.sort_array(F.collect_set("p_name")).alias("aliases"))
     path = shared_folder(spark, "dictionary")
-    # the category is the file's name, so each category is written to a file of that name
-    for kind in [r[0] for r in files.select("p_type").limit(1000).collect()]:
-        records.write_text_file(spark, f"{path}/{kind}.json", files.where(F.col("p_type") == kind).select(F.to_json(F.struct("items"))).first()[0])
+    records.write_dictionary(items.withColumns({"item_order": F.lit(0), "label": F.initcap("id"), "description": F.lit(None).cast("string")}), path)
     _, aliases = records.read_dictionary(spark, path)
     return aliases.groupBy("category", "id").agg(F.count(F.lit(1)).alias("aliases"))
 

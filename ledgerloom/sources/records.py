@@ -69,15 +69,26 @@ def portfolio(records: DataFrame, portfolio_id: str) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(items, aliases) of JSON dictionaries, one file a category: {"items": [{"id", "label", "aliases", "description"}]}."""
+    """(items, aliases) of JSON dictionaries, one value a category: {"category", "items": [{"id", "label", "aliases", "description"}]}. Files that do
+    not state their category have it as their name."""
     item_type = T.StructType().add("id", "string").add("label", "string").add("aliases", TEXTS).add("description", "string")
-    raw = spark.read.schema(T.StructType().add("items", T.ArrayType(item_type))).json(path, multiLine=True)
-    category = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    schema = T.StructType().add("category", "string").add("items", T.ArrayType(item_type))
+    raw = spark.read.schema(schema).json(path, multiLine=True, recursiveFileLookup=True)
+    category = F.coalesce("category", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
     rows = raw.select(category.alias("category"), F.posexplode("items").alias("item_order", "item"))
     items = rows.select("category", "item.id", "item.label", "item.description", "item_order")
     return items, rows.select("category", "item.id", F.posexplode_outer("item.aliases").alias("alias_order", "alias")).where("alias is not null")
 
 
+def write_dictionary(items: DataFrame, path: str) -> None:
+    """Items (category, item_order, id, label, aliases, description) as dictionary files, a folder and file a category. The executors write them; nothing
+    passes the driver."""
+    item = F.struct("item_order", F.struct("id", "label", "aliases", "description").alias("item"))
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"])
+    files = items.groupBy("category").agg(listed.alias("items")).withColumn("value", F.to_json(F.struct("category", "items")))
+    files.select(F.xxhash64("category").alias("file"), "value").write.partitionBy("file").option("maxRecordsPerFile", 1).text(path)
+
+
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     member = T.StructType().add("section", "string").add("field_id", "string")
     concept = T.StructType().add("id", "string").add("label", "string").add("members", T.ArrayType(member))
@@ -179,14 +190,3 @@ def add_to_manifest(jobs: DataFrame, path: str) -> None:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The last row of each job and document; a run that is repeated after a loss adds equal rows."""
     return spark.read.schema("job_id string, document_id string, source_file string, sha256 string, pages int, status string").parquet(path).distinct()
-
-
-def write_text_file(spark: SparkSession, path: str, text: str) -> None:
-    """One small text (a dictionary that people write) as a file of exactly this name, on any file system that Spark reaches."""
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    out = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(to, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
