@@ -14,7 +14,8 @@ that two vectors have get the vectors themselves; the others end as (filter, num
 
 Equal vectors of a label are collapsed before (their links follow from the count), so a group of copies costs one
 vector. Null, zero or non-finite vectors and null labels link with nothing; vectors of different dimension never link.
-Repeated vec_ids are rows of their own. An empty table gives an empty result. Extra columns are dropped. Labels may be of
+Repeated vec_ids are rows of their own: a number that each distinct vector of a label gets is the key of all joins, not its vec_id.
+Rows without a vec_id link like others; they name no component, and kept is true for them only where their component has no vec_id at all. An empty table gives an empty result. Extra columns are dropped. Labels may be of
 any type that groups, components float or double.
 The filters are random (fixed seed), so a link can be missed: measured recall stands in the README.
 """
@@ -139,7 +140,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: int | Non
     rows = vectors.select("vec_id", "embedding", "label")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
-    groups = written(fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    groups = fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    groups = written(groups.withColumn("rep", F.monotonically_increasing_id()), "vectors")  # rep: the vector's own number
     if code is None:
         most = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
         code = min(1 << 12, max(64, 1 << math.ceil(math.log2(math.sqrt(filters * most)))))
@@ -156,8 +158,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: int | Non
                     lists[k] = found
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], [*batch.schema.names, "dim", "filters"])
 
-    fields = ", ".join(f"{c} {kind[c]}" for c in groups.columns)
-    coded = written(groups.mapInArrow(decoded, f"{fields}, dim int, filters array<int>"), "decoded")
+    entered = groups.drop("least")
+    fields = ", ".join(f"{c} {kind[c]}" for c in entered.columns)
+    coded = written(entered.mapInArrow(decoded, f"{fields}, dim int, filters array<int>"), "decoded")
     entries = coded.select("label", "dim", F.explode("filters").alias("filter"), "rep")
     met = entries.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = met.select("label", "dim", "filter", F.ceil(F.col("members") / block).cast("int").alias("parts"))
@@ -215,10 +218,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, code: int | Non
     sent = sent.repartition("cell").sortWithinPartitions("cell", *keys)
     found = written(sent.mapInArrow(compared, "src long, dst long, n long"), "links")
     links = found.where("n > 0").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("src <> dst").select("src", "dst"))
-    per = groups.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    per = per.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    components = connected_components(found.where("src <> dst").select("src", "dst")).withColumnRenamed("node", "rep")
+    linked = groups.join(components, "rep", "left").join(links, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    per = linked.join(names, "component").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.lit(True).alias("fine"))
     discard(coded)
     out = rows.join(per, ["label", "embedding"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

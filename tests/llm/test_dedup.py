@@ -249,3 +249,13 @@ def test_jaccard_of_null_ids_and_of_texts_that_share_an_id(spark):
     got = jaccard.components(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()
     found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str)
     assert found == sorted([(None, 59, 3), (7, 58, 3), (7, 58, 3), (7, 58, 3), (3, 59, 3), (9, 59, 3), (None, 58, 3), (None, 0, None), (5, 1, 5)], key=str)
+
+
+def test_repeated_ids_of_unlike_vectors_keep_their_own_links(spark):
+    """Two vectors of id 5, each with one near vector, and rows without an id."""
+    near = lambda v: [x + 0.01 for x in v]
+    a, b, c = [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, -0.3, 0.0], [-1.0, 0.1, 0.5, -1.0]
+    rows = [(5, a, 1), (5, b, 1), (6, near(a), 1), (7, near(b), 1), (None, c, 1), (None, near(c), 1), (9, [0.9, -0.9, 0.1, 0.0], 1), (None, near([0.9, -0.9, 0.1, 0.0]), 1), (5, a, 2), (8, None, 1)]
+    got = capfilter.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    show = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got.collect())
+    assert show == sorted([("5", 1, "5", True)] * 2 + [("6", 1, "5", False), ("7", 1, "5", False), ("5", 0, "5", True), ("8", 0, "8", True), ("9", 1, "9", True), ("None", 1, "9", False)] + [("None", 1, "None", True)] * 2)
