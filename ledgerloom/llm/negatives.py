@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from ledgerloom.llm.common import written
 
 TILE = 1 << 21  # scores at once
+LEAST = 1024  # rows of a cell from which on rows are dealt out for the tasks' sake
 TOP = np.iinfo(np.int64).max
 
 
@@ -184,7 +185,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: str, positives: int = 5, negat
     n, m = rows.count(), anchors.count()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     a_blocks = max(1, -(-m // block))
-    r_blocks = max(1, -(-n // block), -(-tasks // a_blocks))
+    r_blocks = max(1, -(-n // block), min(-(-tasks // a_blocks), n // LEAST))  # a cell for each task, if it has enough rows
     wide = anchors.withColumns({"limits": F.array(F.lit(TOP)), "least": F.lit(int(np.iinfo(np.int64).min))})
     found = best(wide, rows, True, positives, a_blocks, r_blocks).select("anchor", F.col("score").alias("positive_score"), F.col("vec_id").alias("positive_id"))
     # whole numbers: low * p <= 100 * s <= high * p
