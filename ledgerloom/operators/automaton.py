@@ -131,12 +131,12 @@ LINES = T.StructType([*OCCURRENCES.fields, T.StructField("head", T.IntegerType()
 NUMBERS, NUMBERED = re.compile(r"\d+ "), re.compile(r"(?:\d+ )*")
 
 
-def line_occurrences(chunks: DataFrame, terms: DataFrame, kinds: dict[str, list[str]] = {}, top: int = 1200, letters: int = LETTERS) -> DataFrame:
+def line_occurrences(chunks: DataFrame, terms: DataFrame, kinds: dict[str, list[str]] = {}, top: int = 1200, letters: int = LETTERS, key: list[str] = ["chunk_id"]) -> DataFrame:
     """As occurrences(), of chunks (chunk_id, keys, marks, upper) given as lines: folded, without marks, and whether in
     capitals. More columns: `head`, the best rank of a line that begins with the term (alone 220, before others 160, behind section
     numbers 320 and 270; else 0), the place, rank and capitals of the first such line, and `kind_at`, the first line that holds
     `plain` (the term with its punctuation) beside a word of the term's mode in `kinds`. Terms have columns mode and plain if
-    kinds are given."""
+    kinds are given. `key`: columns of the chunks that come with each hit."""
 
     def scan(table):
         known = automaton(table.column("term").to_pylist())
@@ -196,7 +196,7 @@ def line_occurrences(chunks: DataFrame, terms: DataFrame, kinds: dict[str, list[
 
         return look
 
-    return scanned(chunks.select("chunk_id", "keys", "marks", "upper"), ["chunk_id"], terms, LINES, scan, letters)
+    return scanned(chunks.select(*key, "keys", "marks", "upper"), key, terms, LINES, scan, letters)
 
 
 SUPPORT = T.StructType([T.StructField(c, T.IntegerType()) for c in ("size", "start", "score", "pos")])

@@ -61,13 +61,37 @@ def matrix(cells: DataFrame, members: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(F.col("items") > 0, "FOUND").when(F.col("review") > 0, "AMBIGUOUS").otherwise("NOT_FOUND"))
 
 
+WORD = 64  # members in one word of bits
+
+
+def bit(position: Column) -> Column:
+    """A member's bit in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(position, F.lit(WORD)).cast("int"))
+
+
+def member_words(members: DataFrame) -> DataFrame:
+    """(portfolio_id, word, every, ids): the members of a portfolio, WORD positions to a word: their bits, and their ids in portfolio order."""
+    held = members.select("portfolio_id", F.floor(F.col("position") / WORD).alias("word"), bit(F.col("position")).alias("one"), F.struct("position", bit(F.col("position")).alias("bit"), F.col("entity_id").cast("string").alias("entity_id")).alias("id"))
+    return held.groupBy("portfolio_id", "word").agg(F.bit_or("one").alias("every"), F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def present_bits(cells: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., word, bits, review): which members state something FOUND, as bits: one fixed-size state a word of members, whatever they are."""
+    at = cells.join(members.select("portfolio_id", "entity_id", "position"), ["portfolio_id", "entity_id"])
+    here = F.when(F.col("state") == "FOUND", bit(F.col("position"))).otherwise(F.lit(0).cast("long"))
+    return at.groupBy(*by, F.floor(F.col("position") / WORD).alias("word")).agg(F.bit_or(here).alias("bits"), F.max(F.col("state").isin(REVIEW).cast("int")).alias("review"))
+
+
 def presence(cells: DataFrame, members: DataFrame) -> DataFrame:
-    """Lists of present and missing members of each field, in portfolio order."""
-    at = F.struct("position", F.col("entity_id").cast("string").alias("entity_id"))
-    here = F.col("state") == "FOUND"
-    order = lambda c: F.transform(F.array_sort(c), lambda x: x["entity_id"])
-    got = matrix(cells, members).groupBy(*ROW).agg(F.collect_list(F.when(here, at)).alias("p"), F.collect_list(F.when(~here, at)).alias("m"))
-    return got.select(*ROW, order("p").alias("present_ids"), order("m").alias("missing_ids"))
+    """Lists of present and missing members of each field, in portfolio order. Up to the lists, members are bits; a word of members (64) is one
+    row, and ids are cut from its bits. Positions are different inside a portfolio."""
+    words = member_words(members)
+    bits = present_bits(cells, members, ROW).select(*ROW, "word", "bits")
+    fields = cells.select(*ROW).distinct().join(words, "portfolio_id").join(bits, [*ROW, "word"], "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
+    cut = lambda mask: F.transform(F.filter("ids", lambda x: x["bit"].bitwiseAND(mask) != 0), lambda x: x["entity_id"])
+    per = F.array_sort(F.collect_list(F.struct("word", cut(F.col("bits")).alias("p"), cut(F.bitwise_not("bits")).alias("m"))))
+    got = fields.groupBy(*ROW).agg(per.alias("per"))
+    return got.select(*ROW, F.flatten(F.transform("per", lambda x: x["p"])).alias("present_ids"), F.flatten(F.transform("per", lambda x: x["m"])).alias("missing_ids"))
 
 
 def duplicates(cells: DataFrame) -> DataFrame:
@@ -101,8 +125,8 @@ def ordered_rows(rows: DataFrame) -> DataFrame:
 def harmonized(cells: DataFrame, members: DataFrame, concepts: DataFrame) -> DataFrame:
     """Presence of concepts, each a family of (section, field_id), over the members of each portfolio."""
     said = cells.join(concepts.select("concept_id", "section", F.col("field_id")), ["section", "field_id"])
-    per = said.groupBy("portfolio_id", "concept_id", "entity_id").agg(F.max((F.col("state") == "FOUND").cast("int")).alias("here"), F.max(F.col("state").isin(REVIEW).cast("int")).alias("review"))
-    got = per.groupBy("portfolio_id", "concept_id").agg(F.sum("here").alias("present"), F.max("review").alias("review"))
+    per = present_bits(said, members, ["portfolio_id", "concept_id"])
+    got = per.groupBy("portfolio_id", "concept_id").agg(F.sum(F.bit_count("bits")).alias("present"), F.max("review").alias("review"))
     every = members.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("policy_count")).crossJoin(concepts.select("concept_id", "concept_label").distinct())  # the rows that the result has
     out = every.join(got, ["portfolio_id", "concept_id"], "left").withColumn("present_count", F.coalesce("present", F.lit(0)))
     state = F.when(F.col("review") > 0, "NEEDS_REVIEW").when(F.col("present_count") == 0, "ABSENT_IN_ALL").when(F.col("present_count") == F.col("policy_count"), "PRESENT_IN_ALL").otherwise("PRESENT_IN_SOME")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.text import fold
 from ledgerloom.operators import compare
 from ledgerloom.operators.nested import contractual_code, item_payload, scoped_key, stable, value_key
+from ledgerloom.sources.shared import stored
 
 #: fixed values: sections and fields of a record that are compared, and the dictionary of each collection
 SCALARS = [("identification", f) for f in "insurer product_name susep_process policy_number insured policyholder document_version".split()] + [("contractual_terms", f) for f in "policy_period currency premium retroactive_date extended_reporting_period geographic_scope jurisdiction coverage_trigger".split()]
@@ -47,41 +48,50 @@ def scalar_cells(records: DataFrame) -> DataFrame:
 
 
 def long_items(records: DataFrame) -> DataFrame:
-    """Items of all collections as rows (entity_id, section, pos, ...); what a section does not have is null."""
-    out, kinds = None, {f.name: f.dataType for f in records.schema.fields}
+    """Items of all collections as rows (entity_id, section, pos, ...), by one explode; what a section does not have is null."""
+    kinds = {f.name: f.dataType for f in records.schema.fields}
     limits = kinds["policy_limits"]
-    for section in COLLECTIONS:
+    def shaped(section: str):
         has = kinds[section].elementType.fieldNames()
-        get = lambda name, kind: F.col(f"x.{name}") if name in has else F.lit(None).cast(kind)  # noqa: E731,B023
-        rows = records.select(F.col("policy_id").alias("entity_id"), F.lit(section).alias("section"), F.posexplode(section).alias("pos", "x"))
-        named = F.col("x.original_term" if section == "definitions" else "x.original_name")
-        given = F.col("x.canonical_term" if section == "definitions" else "x.canonical_id")
-        texts = F.col("x.definition_text") if section == "definitions" else get("summary", "string")
-        one = rows.select("entity_id", "section", "pos", given.alias("given"), named.alias("name"), get("category", "string").alias("category"), get("conditions", "array<string>").alias("conditions"), get("exceptions", "array<string>").alias("exceptions"), get("applies_to", "array<string>").alias("applies_to"), texts.alias("text"), get("value", limits.elementType["value"].dataType).alias("value"), get("limits", limits).alias("limits"), get("deductibles", limits).alias("deductibles"))
-        out = one if out is None else out.unionByName(one)
-    return out
 
+        def one(x, i):
+            get = lambda name, kind: (x[name] if name in has else F.lit(None).cast(kind)).alias(name)
+            term = section == "definitions"
+            text = x["definition_text"] if term else x["summary"] if "summary" in has else F.lit(None).cast("string")
+            return F.struct(F.lit(section).alias("section"), i.alias("pos"), x["canonical_term" if term else "canonical_id"].alias("given"), x["original_term" if term else "original_name"].alias("name"), get("category", "string"), get("conditions", "array<string>"), get("exceptions", "array<string>"), get("applies_to", "array<string>"), text.alias("text"), get("value", limits.elementType["value"].dataType), get("limits", limits), get("deductibles", limits))
 
-def collection_cells(records: DataFrame, items: DataFrame, alias_norms: DataFrame) -> DataFrame:
-    """A cell for each item of each collection. Its field is the given id, else the dictionary's id for its name, else the name as
-    unmapped; limits and deductibles carry their scopes. Items are compared by their payload."""
-    rows = long_items(records)
-    item = ["entity_id", "section", "pos"]
-    # money inside items, and the scopes of all money, resolved by the dictionary of coverages
-    inner = lambda c: rows.select(*item, F.lit(c).alias("kind"), F.posexplode(c).alias("inner_pos", "m")).select(*item, "kind", "inner_pos", "m.value", "m.applies_to")
-    own = rows.where(F.col("section").isin(MONEY)).select(*item, F.lit("own").alias("kind"), F.lit(0).alias("inner_pos"), "value", "applies_to")
-    money = own.unionByName(inner("limits")).unionByName(inner("deductibles"))
-    key = [*item, "kind", "inner_pos"]
+        return F.transform(F.coalesce(section, F.array().cast(kinds[section])), one)
+
+    return records.select(F.col("policy_id").alias("entity_id"), F.explode(F.concat(*map(shaped, COLLECTIONS))).alias("x")).select("entity_id", "x.*")
+
+
+def scopes_of(rows: DataFrame, items: DataFrame, alias_norms: DataFrame) -> DataFrame:
+    """(entity_id, section, pos, ids): for each item that names scopes, of its own or of money inside it, a map from each name to the ids that the
+    dictionary of coverages has for it, else to the name as unmapped."""
+    inner = lambda c: F.flatten(F.transform(F.coalesce(c, F.array().cast(rows.schema[c].dataType)), lambda m: F.coalesce(m["applies_to"], F.array().cast("array<string>"))))
+    names = F.array_distinct(F.concat(F.coalesce("applies_to", F.array().cast("array<string>")), inner("limits"), inner("deductibles")))
+    scopes = rows.select("entity_id", "section", "pos", F.explode(names).alias("scope")).where("scope is not null").withColumn("norm", fold(F.col("scope")))
     known = items.where("category = 'coverages'").select(F.col("id").alias("scope"), F.col("id").alias("direct")).distinct()
     alias = alias_norms.where("category = 'coverages'").select(F.col("alias_norm").alias("norm"), F.col("id").alias("alias"))
-    scopes = money.select(*key, F.explode("applies_to").alias("scope")).withColumn("norm", fold(F.col("scope"))).join(known, "scope", "left").join(alias, "norm", "left")
+    scopes = scopes.join(known, "scope", "left").join(alias, "norm", "left")
     unnamed = F.concat(F.lit("unmapped:"), F.when(F.col("norm") == "", "scope").otherwise(F.col("norm")))
-    scopes = scopes.groupBy(*key).agg(F.array_sort(F.collect_set(F.coalesce("direct", "alias", unnamed))).alias("scope_ids"))
-    money = money.join(scopes, key, "left").withColumn("scope_ids", F.coalesce("scope_ids", F.array().cast("array<string>")))
-    money = money.withColumn("payload", stable(value=money_key(F.col("value")), applies_to=F.array_join("scope_ids", "+")))
-    mine = money.where("kind = 'own'").select(*item, "scope_ids", F.col("payload").alias("own_payload"))
-    nested = money.where("kind <> 'own'").groupBy(*item).agg(F.collect_list(F.concat_ws(":", "kind", "payload")).alias("nested"))
-    rows = rows.join(mine, item, "left").join(nested, item, "left")
+    one = scopes.groupBy("entity_id", "section", "pos", "scope").agg(F.collect_set(F.coalesce("direct", "alias", unnamed)).alias("ids"))
+    return one.groupBy("entity_id", "section", "pos").agg(F.map_from_entries(F.collect_list(F.struct("scope", "ids"))).alias("ids"))
+
+
+def collection_cells(records: DataFrame, items: DataFrame, alias_norms: DataFrame) -> DataFrame:
+    """A cell for each item of each collection. Its field is the given id, else the dictionary's id for its name, else the name as
+    unmapped; limits and deductibles carry their scopes. Items are compared by their payload. Items are written once; money inside them is
+    looked at where it is, in its array."""
+    rows = stored(long_items(records), "items")
+    rows = rows.join(scopes_of(rows, items, alias_norms), ["entity_id", "section", "pos"], "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("__ids", F.coalesce("ids", F.create_map().cast("map<string,array<string>>")))
+    resolved = lambda names: F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce(names, none), lambda n: F.coalesce(F.try_element_at(F.col("__ids"), n), none)))))
+    payload_of = lambda value, names: stable(value=money_key(value), applies_to=F.array_join(resolved(names), "+"))
+    money = lambda c: F.transform(F.coalesce(c, F.array().cast(rows.schema[c].dataType)), lambda m: F.concat(F.lit(f"{c}:"), payload_of(m["value"], m["applies_to"])))
+    own = F.col("section").isin(MONEY)
+    rows = rows.withColumns({"scope_ids": F.when(own, resolved(F.col("applies_to"))), "own_payload": F.when(own, payload_of(F.col("value"), F.col("applies_to"))), "nested": F.concat(money("limits"), money("deductibles"))})
 
     dictionary = F.create_map(*(F.lit(x) for kv in COLLECTIONS.items() for x in kv))
     names = alias_norms.select(F.col("category").alias("__category"), F.col("alias_norm").alias("__norm"), F.col("id").alias("__id"))

@@ -47,11 +47,11 @@ def keyword_scores(chunks: DataFrame, keywords: DataFrame, cap: int = 4, letters
     return found.groupBy("chunk_id", "profile").agg(F.sum(3 + F.least(F.col("n") - 1, F.lit(cap))).alias("score"))
 
 
-def lines_of(chunks: DataFrame, cut: str = "\n") -> DataFrame:
-    """(chunk_id, keys, marks, upper): a chunk's lines, as line_occurrences() takes them. `upper`: what stands before a colon is in capitals."""
+def lines_of(chunks: DataFrame, cut: str = "\n", key: list[str] = ["chunk_id"]) -> DataFrame:
+    """(key..., keys, marks, upper): a chunk's lines, as line_occurrences() takes them. `upper`: what stands before a colon is in capitals."""
     lines = F.split("text", cut)
     head = lambda x: F.trim(F.split_part(x, F.lit(":"), F.lit(1)))
-    return chunks.select("chunk_id", F.transform(lines, fold).alias("keys"), F.transform(lines, fold_marks).alias("marks"), F.transform(lines, lambda x: (head(x) != "") & (head(x) == F.upper(head(x)))).alias("upper"))
+    return chunks.select(*key, F.transform(lines, fold).alias("keys"), F.transform(lines, fold_marks).alias("marks"), F.transform(lines, lambda x: (head(x) != "") & (head(x) == F.upper(head(x)))).alias("upper"))
 
 
 def near_top(top: int) -> F:

@@ -8,6 +8,7 @@ from ledgerloom.operators import compare, evaluate, evidence, nested, record_cel
 from ledgerloom.plans.registry import query, table
 from ledgerloom.plans.text_queries import documents, part_dictionary, sql_fold
 from ledgerloom.sources.records import RECORD
+from ledgerloom.sources.shared import stored
 
 POS = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
@@ -241,7 +242,7 @@ def record_comparison(spark, sf_dir):
     price = F.struct(F.lit("MONEY").alias("kind"), F.col("o_totalprice").cast("decimal(38,6)").alias("numeric_value"))
     terms = F.struct(text(F.when(F.col("o_orderstatus") == "P", "NOT_FOUND").otherwise("FOUND"), trigger).alias("coverage_trigger"), F.struct(F.when(F.col("o_totalprice").cast("decimal(18,2)") > 400000, "AMBIGUOUS").otherwise("FOUND").alias("status"), price.alias("value")).alias("premium"))
     body = F.struct(F.col("o_orderkey").cast("string").alias("policy_id"), F.struct(text(F.lit("FOUND"), F.col("o_orderpriority")).alias("insurer")).alias("identification"), terms.alias("contractual_terms"), "coverages", "policy_deductibles")
-    records = orders.select(F.from_json(F.to_json(body), RECORD).alias("r")).select("r.*")
+    records = stored(orders.select(F.from_json(F.to_json(body), RECORD).alias("r")).select("r.*"), "records")
     members = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("portfolio_id"), F.col("o_orderkey").cast("string").alias("entity_id"), F.col("o_orderkey").alias("position"))
     rows = record_cells.compare_records(records, members, items, taxonomy.alias_table(items, aliases))
     return rows.select("portfolio_id", "section", "field_id", "present_count", "status")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import assemble, serve
+from ledgerloom.operators import assemble, assembly, serve
 from ledgerloom.plans.registry import query, table
 from ledgerloom.sources import records
 from ledgerloom.sources.shared import shared_folder
@@ -161,3 +161,73 @@ def incremental_files(spark, sf_dir):
             events.where(half == part).write.mode("append").parquet(f"{base}/in")
         incremental.run_available(spark, f"{base}/in", events.schema, job, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+
+
+@query("""WITH d AS (SELECT *, o_orderkey % 3 part, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, o_orderkey) r FROM orders)
+SELECT o_custkey AS policy_id, min(o_orderkey) FILTER (r = 1) AS taken, count(*) FILTER (r > 1) AS refused, coalesce(sum(o_orderkey) FILTER (r > 1), 0)::BIGINT AS refused_keys FROM d GROUP BY 1""")
+def guarded_deliveries(spark, sf_dir):
+    """Orders as records of their customers, in three deliveries, each a run of its own: the first record of a customer is taken, those that come later, in
+    the same delivery or another, are refused."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    base = shared_folder(spark, "guarded")
+    for part in range(3):
+        orders.where(F.col("o_orderkey") % 3 == part).write.mode("append").parquet(f"{base}/in")
+        incremental.run_guarded(spark, f"{base}/in", orders.schema, "o_custkey", "o_orderkey", f"{base}/out", f"{base}/checkpoint")
+    taken = spark.read.schema(orders.schema).parquet(f"{base}/out/taken").groupBy(F.col("o_custkey").alias("policy_id")).agg(F.min("o_orderkey").alias("taken"))
+    refused = spark.read.schema(orders.schema).parquet(f"{base}/out/refused").groupBy(F.col("o_custkey").alias("policy_id")).agg(F.count(F.lit(1)).alias("refused"), F.sum("o_orderkey").alias("refused_keys"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return taken.join(refused, "policy_id", "left").select("policy_id", "taken", none("refused"), none("refused_keys"))
+
+
+@query("""WITH l AS (SELECT l_orderkey d, l_linenumber pos, min((l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus)) m FROM lineitem GROUP BY ALL),
+i AS (SELECT d, pos, CASE m[4] WHEN 'A' THEN 'coverages' WHEN 'N' THEN 'extensions' ELSE 'exclusions' END s, CASE WHEN m[1] % 2 = 0 THEN 'p' || m[1] % 7 END id, 'part ' || m[1] nm, m[3]::DECIMAL(18,2) q, m[5] ls FROM l),
+t AS (SELECT d, s, string_agg(coalesce(id, '?') || ':' || nm || ':' || CASE WHEN id IS NULL THEN '0.0' ELSE '0.95' END || ':' || CASE WHEN s = 'coverages' THEN 'MAIN_COVERAGE' ELSE '' END || '[' || CASE WHEN q > 25 THEN 'limit=' || q || CASE WHEN ls = 'O' THEN '+extra=' || q ELSE '' END ELSE '' END || ']', ';' ORDER BY pos) x FROM i GROUP BY ALL),
+o AS (SELECT *, o_orderdate::DATE od FROM orders)
+SELECT o_orderkey AS document_id, CASE WHEN o_custkey % 5 = 0 THEN 'hint ' || o_orderkey WHEN o_orderstatus = 'F' THEN o_orderkey::VARCHAR ELSE 'n' || o_custkey END AS policy_id, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS insurer, strftime(od, '%Y-%m') AS version,
+CASE WHEN o_orderstatus = 'O' THEN strftime(od, '%Y-%m-%d') || '/' || strftime(od + 365, '%Y-%m-%d') ELSE 'NOT_FOUND' END AS period, o_totalprice::DECIMAL(18,2)::VARCHAR AS premium, CASE WHEN o_orderstatus = 'P' THEN 'NOT_FOUND' ELSE 'FOUND' END AS retroactive, (1 + o_custkey % 3) || ' years' AS reporting, CASE WHEN o_orderstatus = 'O' THEN 'CLAIMS_MADE' END AS trigger_code,
+'aggregate_limit=' || (o_totalprice::DECIMAL(18,2) * 2)::DECIMAL(18,2) AS limits, 'deductible=' || o_totalprice::DECIMAL(18,2) AS deductibles, coalesce(c.x, '') AS coverages, coalesce(e.x, '') AS extensions, coalesce(u.x, '') AS exclusions, 'term ' || o_orderstatus || '=' || o_orderpriority AS definitions
+FROM o LEFT JOIN t c ON c.d = o_orderkey AND c.s = 'coverages' LEFT JOIN t e ON e.d = o_orderkey AND e.s = 'extensions' LEFT JOIN t u ON u.d = o_orderkey AND u.s = 'exclusions'""")
+def whole_records(spark, sf_dir):
+    """Orders as documents, from raw facts to records by one call: their own columns are facts, definitions and money, their lines items with limits."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), "o_custkey", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    day, show = F.col("day"), lambda c: F.date_format(c, "yyyy-MM-dd")
+    fact = lambda name, value, status=F.lit("FOUND"), pos=1: F.struct(F.lit(name).alias("field_id"), F.lit(pos).cast("long").alias("pos"), status.alias("status"), value.cast("string").alias("raw"))
+    month = F.concat(F.element_at(F.array(*map(F.lit, X.MONTHS)), F.month(day)), F.lit("/"), F.year(day).cast("string"))
+    said = F.array(
+        fact("insurer", F.lit("old")),
+        fact("insurer", F.col("o_orderpriority"), F.when(F.col("o_custkey") % 3 == 0, "AMBIGUOUS").otherwise("FOUND"), 2),
+        fact("policy_number", F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("n"), F.col("o_custkey").cast("string")))),
+        fact("document_version", month),
+        fact("policy_start", show(day)),
+        fact("policy_end", F.when(F.col("o_orderstatus") == "O", show(F.date_add(day, 365))).otherwise("open")),
+        fact("retroactive_date", F.when(F.col("o_orderstatus") == "P", "none").otherwise(show(day))),
+        fact("extended_reporting_period", F.concat((1 + F.col("o_custkey") % 3).cast("string"), F.lit(" anos"))),
+        fact("coverage_trigger", F.when(F.col("o_orderstatus") == "O", "Claims Made")),
+    )
+    money = lambda name, pos, amount: F.struct(F.lit(name).alias("field_id"), F.lit(pos).cast("long").alias("pos"), amount.cast("decimal(38,6)").alias("amount"), F.lit("BRL").alias("currency"))
+    sums = F.array(money("premium", 1, F.col("price")), money("premium", 2, F.col("price") + 1), money("aggregate_limit", 3, F.col("price") * 2), money("deductible", 4, F.col("price")), money("other", 5, F.col("price")))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").cast("long").alias("pos")).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")).alias("m")).select("document_id", "pos", "m.*")
+    known = F.col("l_partkey") % 2 == 0
+    items = lines.select("document_id", "pos", F.when(F.col("l_returnflag") == "A", "coverages").when(F.col("l_returnflag") == "N", "extensions").otherwise("exclusions").alias("field_id"), F.when(known, F.concat(F.lit("p"), (F.col("l_partkey") % 7).cast("string"))).alias("canonical_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("raw"), F.lit(0.95).alias("given_confidence"))
+    held = F.when(F.col("l_linestatus") == "O", F.array(F.lit("limit"), F.lit("extra"))).otherwise(F.array(F.lit("limit")))
+    inner = lines.where("l_quantity > 25").select("document_id", "pos", F.posexplode(held).alias("inner_pos", "field_id"), F.col("l_quantity").alias("amount"))
+    facts = assembly.put_together(
+        assembly.tagged("fact", orders.select("document_id", F.explode(said).alias("f")).select("document_id", "f.*")),
+        assembly.tagged("money", orders.select("document_id", F.explode(sums).alias("f")).select("document_id", "f.*")),
+        assembly.tagged("item", items),
+        assembly.tagged("money", inner),
+        assembly.tagged("definition", orders.select("document_id", F.lit(1).alias("pos"), F.concat(F.lit("term "), "o_orderstatus").alias("raw"), F.col("o_orderpriority").alias("text"))),
+        assembly.tagged("document", orders.select("document_id", F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("hint "), F.col("document_id").cast("string"))).alias("raw"), F.lit("NATIVE").alias("status"))),
+    )
+    got = assembly.assembled(facts).join(orders.select("document_id"), "document_id")
+    plain = lambda x: x.cast("decimal(18,2)").cast("string")
+    limits = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws("=", m["canonical_id"], plain(m["amount"]))), "+")
+    item = lambda x: F.concat(F.coalesce(x["canonical_id"], F.lit("?")), F.lit(":"), x["original_name"], F.lit(":"), x["normalization_confidence"].cast("string"), F.lit(":"), F.coalesce(x["category"], F.lit("")), F.lit("["), limits(x["limits"]), F.lit("]"))
+    terms = F.col("contractual_terms")
+    return got.select(
+        "document_id", "policy_id", F.col("identification.insurer.value").alias("insurer"), F.col("identification.document_version.value").alias("version"),
+        F.when(terms["policy_period"]["status"] == "FOUND", F.concat_ws("/", show(terms["policy_period"]["start"]), show(terms["policy_period"]["end"]))).otherwise("NOT_FOUND").alias("period"),
+        plain(terms["premium"]["value"]).alias("premium"), terms["retroactive_date"]["status"].alias("retroactive"), F.concat_ws(" ", terms["extended_reporting_period"]["value"]["number"].cast("int").cast("string"), terms["extended_reporting_period"]["value"]["unit"]).alias("reporting"), terms["coverage_trigger_canonical"].alias("trigger_code"),
+        limits(F.col("policy_limits")).alias("limits"), limits(F.col("policy_deductibles")).alias("deductibles"), *(F.array_join(F.transform(s, item), ";").alias(s) for s in ("coverages", "extensions", "exclusions")),
+        F.array_join(F.transform("definitions", lambda x: F.concat_ws("=", x["original_term"], x["definition_text"])), ";").alias("definitions"),
+    )
