@@ -91,6 +91,22 @@ def near_prints(windows: DataFrame, items: DataFrame, keys: list[str], radius: i
     return met.select(*keys, "item_id", hamming.alias("hamming")).where(F.col("hamming") <= radius)
 
 
+def touched(text: DataFrame, sizes: DataFrame, window: list[str], ride: bool) -> DataFrame:
+    """(window..., w): the windows of texts (doc_id, row, w) that begin at a shingle of the benchmark (sizes: key, ms), for each of its items'
+    lengths. A benchmark that may ride along is broadcast and texts stay where they are; else shingles move alone, without
+    their text, and the places that are found come back to it, once a text."""
+    grams = text.select("doc_id", "row", "w", F.size("w").alias("n"), F.posexplode(zipped(F.col("w"))).alias("pos", "z"))
+    grams = grams.select("doc_id", "row", "w", "n", "pos", F.xxhash64(*(F.col("z")[f"w{k}"] for k in range(WORDS))).alias("key")).where(F.col("pos") <= F.col("n") - WORDS)
+    start = F.greatest(F.least("pos", F.col("n") - F.col("m")), F.lit(0)).alias("start")
+    if ride:
+        hits = grams.join(F.broadcast(sizes), "key").select("doc_id", "row", "w", "n", "pos", F.explode("ms").alias("m")).select("doc_id", "row", "m", start, "w")
+    else:
+        places = grams.drop("w").join(sizes, "key").select("doc_id", "row", "n", "pos", F.explode("ms").alias("m")).select("doc_id", "row", F.struct("m", start).alias("place"))
+        places = places.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+        hits = text.join(places, ["doc_id", "row"]).select("doc_id", "row", F.explode("places").alias("place"), "w").select("doc_id", "row", "place.m", "place.start", "w")
+    return hits.select(*window, F.slice("w", F.col("start") + 1, F.col("m")).alias("w")).dropDuplicates(window)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100, most_broadcast: int = 500_000) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): each document's best window for each item it holds."""
     items = benchmark.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).select("item_id", words("text").alias("w"))
@@ -101,12 +117,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
 
     sizes = items.select("m", F.explode("sh").alias("key")).groupBy("key").agg(F.collect_set("m").alias("ms"))
     text = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), words("text").alias("w"))
-    grams = text.select("doc_id", "row", "w", F.posexplode(zipped(F.col("w"))).alias("pos", "z"))
-    grams = grams.select("doc_id", "row", "w", "pos", F.xxhash64(*(F.col("z")[f"w{k}"] for k in range(WORDS))).alias("key")).where(F.col("pos") <= F.size("w") - WORDS)
-    hits = grams.join(small(sizes), "key").select("doc_id", "row", "w", "pos", F.explode("ms").alias("m"))
-    start = F.greatest(F.least("pos", F.size("w") - F.col("m")), F.lit(0))
     window = ["doc_id", "row", "m", "start"]
-    windows = hits.select("doc_id", "row", "m", start.alias("start"), F.slice("w", start + 1, F.col("m")).alias("w")).dropDuplicates(window)
+    windows = touched(text, sizes, window, size <= most_broadcast)
     windows = written(windows.select(*window, F.size("w").alias("n_words"), shingle_hashes(F.col("w")).alias("sh")), "windows")
 
     near = near_prints(simhash(windows, window), simhash(items, ["item_id", "m"]), window)
