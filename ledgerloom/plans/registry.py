@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["compare_queries", "text_queries", "evidence_queries", "record_queries", "nested_queries", "source_queries", "routing_queries", "question_queries", "ingest_queries"]
+MODULES = ["compare_queries", "text_queries", "evidence_queries", "record_queries", "nested_queries", "source_queries", "routing_queries", "question_queries", "ingest_queries", "display_queries"]
 _queries: dict = {}
 _sql: dict[str, str] = {}
 
