@@ -69,5 +69,7 @@ def recovery_terms(label: Column, aliases: Column, original: Column) -> Column:
     """Label, aliases and original name, one of each folded form, at least six characters and 40 % of the longest."""
     every = F.array_compact(F.concat(F.array(label), F.coalesce(aliases, F.array().cast("array<string>")), F.array(original)))
     keys = F.array_distinct(F.transform(every, fold))
-    longest = F.array_max(F.transform(keys, F.length))
-    return F.filter(keys, lambda t: F.length(t) >= F.greatest(F.lit(6), F.floor(longest * 0.4)))
+    # keys and the least length are arguments of lambdas: what a lambda's body names is computed once an element
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    least = lambda ks: F.greatest(F.lit(6), F.floor(F.array_max(F.transform(ks, F.length)) * 0.4))
+    return once(keys, lambda ks: once(least(ks), lambda n: F.filter(ks, lambda t: F.length(t) >= n)))

@@ -137,7 +137,7 @@ def fold_marks(spark, sf_dir):
 SELECT doc_id, coalesce(list_aggregate(list_sort(list_filter(ks, lambda t: length(t) >= greatest(6, floor(list_max(list_transform(ks, lambda u: length(u))) * 0.4)))), 'string_agg', '|'), '') AS terms FROM k""")
 def recovery_terms(spark, sf_dir):
     lines = F.split("text", "\n")
-    rest = F.filter(lines, lambda x, i: (i > 0) & (i < F.size(lines) - 1))
+    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))
     got = taxonomy.recovery_terms(F.element_at(lines, 1), rest, F.element_at(lines, -1))
     return documents(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(got), "|").alias("terms"))
 
