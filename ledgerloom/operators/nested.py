@@ -81,15 +81,16 @@ def money(facts: DataFrame, by: str, pos: str, fields: list[str]) -> DataFrame:
     return facts.where(F.col("field_id").isin(LIMITS + DEDUCTIBLES)).groupBy(by).agg(side(LIMITS).alias("policy_limits"), side(DEDUCTIBLES).alias("policy_deductibles"))
 
 
-def item_sections(items: DataFrame, financials: DataFrame, by: str, pos: str) -> DataFrame:
+def item_sections(items: DataFrame, financials: DataFrame | None, by: str, pos: str) -> DataFrame:
     """(by, coverages, extensions, exclusions) of items (by, pos, section, canonical_id, normalization_confidence,
     given_confidence, name, category) and the financials inside them (by, pos, inner_pos, canonical_id, field_id, amount):
     arrays in the facts' order. A given confidence counts only with an id; a coverage without a category is a main
-    one; limits apply to the item that holds them."""
-    limit = F.struct("inner_pos", F.coalesce("canonical_id", "field_id").alias("canonical_id"), "amount")
-    inner = financials.groupBy(by, pos).agg(F.array_sort(F.collect_list(limit)).alias("limits"))
-    known = F.col("canonical_id").isNotNull()
-    rows = items.join(inner, [by, pos], "left")
+    one; limits apply to the item that holds them. Without financials, items bring theirs as an array `limits` of (inner_pos, canonical_id,
+    amount), null where there are none, and need no join."""
+    known, rows = F.col("canonical_id").isNotNull(), items
+    if financials is not None:
+        limit = F.struct("inner_pos", F.coalesce("canonical_id", "field_id").alias("canonical_id"), "amount")
+        rows = items.join(financials.groupBy(by, pos).agg(F.array_sort(F.collect_list(limit)).alias("limits")), [by, pos], "left")
     rows = rows.withColumn("normalization_confidence", F.greatest("normalization_confidence", F.when(known, F.col("given_confidence")).otherwise(0.0)))
     rows = rows.withColumn("category", F.when(F.col("section") == "coverages", F.coalesce("category", F.lit("MAIN_COVERAGE"))))
     applies = F.when(known, F.array("canonical_id")).otherwise(F.array().cast("array<string>"))
@@ -103,6 +104,12 @@ def texts_key(texts: Column) -> Column:
     return F.array_sort(F.transform(F.coalesce(texts, F.array().cast("array<string>")), fold))
 
 
+def items_of_sections(sections: DataFrame, by: str, names: list[str] = SECTIONS) -> DataFrame:
+    """(by, section, x) of item_sections(): the items of all named sections as rows, by one explode."""
+    one = lambda s: F.transform(s, lambda x: F.struct(F.lit(s).alias("section"), x.alias("x")))
+    return sections.select(by, F.explode(F.concat(*map(one, names))).alias("item")).select(by, "item.section", "item.x")
+
+
 def item_payload(section: Column, category: Column, conditions: Column, limits: Column, exceptions: Column, applies_to: Column, text: Column) -> Column:
     """What items of a section are compared by: their matter, not their names, descriptions, confidences or evidence.
     limits: array of strings, one for each nested limit."""
@@ -132,7 +139,12 @@ def sublimits(items: DataFrame) -> DataFrame:
 def sublimit_accuracy(expected: DataFrame, extracted: DataFrame) -> DataFrame:
     """(policy_id, correct, total, accuracy) of sublimits() of both sides for every policy that has any; nothing expected counts as 1."""
     key = ["policy_id", "kind", "parent", "value"]
-    both = expected.select(*key, F.lit(1).alias("e"), F.lit(0).alias("x")).unionByName(extracted.select(*key, F.lit(0).alias("e"), F.lit(1).alias("x")))
+    return sublimits_judged(expected.select(*key, F.lit(1).alias("e"), F.lit(0).alias("x")).unionByName(extracted.select(*key, F.lit(0).alias("e"), F.lit(1).alias("x"))))
+
+
+def sublimits_judged(both: DataFrame) -> DataFrame:
+    """sublimit_accuracy() of the sublimits of both sides in one table, e 1 where a row is expected and x 1 where it is extracted."""
+    key = ["policy_id", "kind", "parent", "value"]
     per = both.groupBy(*key).agg(F.max("e").alias("e"), F.max("x").alias("x")).groupBy("policy_id")
     got = per.agg(F.sum(F.col("e") * F.col("x")).alias("correct"), F.sum("e").alias("total"))
     return got.withColumn("accuracy", F.when(F.col("total") == 0, 1.0).otherwise(F.col("correct") / F.col("total")))

@@ -31,3 +31,15 @@ def test_terms_of_long_texts_are_folded_once(spark):
     began = time.time()
     (got,) = df.select(F.size(taxonomy.recovery_terms(F.lit("um"), F.col("ls"), F.lit("dois")))).first()
     assert got == 4000 and time.time() - began < 20
+
+
+def test_items_come_with_their_limits(spark):
+    """Limits inside the items give what a join with financials gives."""
+    items = spark.createDataFrame([(1, 1, "coverages", "a", 0.5, 0.9, "A", None), (1, 2, "exclusions", None, 0.0, 0.9, "B", "c"), (2, 1, "extensions", "b", 0.1, 0.2, "C", None)], "d int, pos int, section string, canonical_id string, normalization_confidence double, given_confidence double, name string, category string")
+    money = spark.createDataFrame([(1, 1, 1, None, "other", 5), (1, 1, 0, "x", "y", 7), (2, 1, 0, "z", "y", 9)], "d int, pos int, inner_pos int, canonical_id string, field_id string, amount int")
+    limit = F.struct("inner_pos", F.coalesce("canonical_id", "field_id").alias("canonical_id"), "amount")
+    held = items.join(money.groupBy("d", "pos").agg(F.array_sort(F.collect_list(limit)).alias("limits")), ["d", "pos"], "left")
+    want = nested.item_sections(items, money, "d", "pos")
+    assert rows(nested.item_sections(held, None, "d", "pos")) == rows(want)
+    got = nested.items_of_sections(want, "d", ["coverages", "extensions"])
+    assert [(r.d, r.section, r.x.name) for r in got.orderBy("d").collect()] == [(1, "coverages", "A"), (2, "extensions", "C")]
