@@ -43,3 +43,14 @@ def test_items_come_with_their_limits(spark):
     assert rows(nested.item_sections(held, None, "d", "pos")) == rows(want)
     got = nested.items_of_sections(want, "d", ["coverages", "extensions"])
     assert [(r.d, r.section, r.x.name) for r in got.orderBy("d").collect()] == [(1, "coverages", "A"), (2, "extensions", "C")]
+
+
+def test_repair_queries_change_one_compared_letter(spark, tmp_path):
+    """A line of 45 letters that ends in ß: its SQL says one letter of 46 is changed."""
+    from ledgerloom.plans import evidence_queries as E
+
+    line = "Abcdefghij klmnopqrst uvwxyzabcd efghijklm qß"
+    spark.createDataFrame([(1, line + "\nshort", "de", "s", 45)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(E.evidence_repair(spark, str(tmp_path))) == [(1, True)]
+    (got,) = E.repair_windows(spark, str(tmp_path)).collect()
+    assert got.similarity == round(1 - 1 / len(line.replace("ß", "ss")), 6)
