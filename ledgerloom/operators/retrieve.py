@@ -19,7 +19,9 @@ def shared_tokens(questions: DataFrame, rows: DataFrame, weight: int = 5, stop:
     """(question_id, row_id, score): weight x number of shared tokens, by an inverted index of both sides; inside a
     portfolio where both sides have a portfolio_id."""
     place = [c for c in ("portfolio_id",) if c in questions.columns and c in rows.columns]
-    q = questions.select(*place, "question_id", F.explode(tokens(F.col("question"), stop)).alias("token"))
+    # dealt by question before tokens are cut: where the rows are few enough to be broadcast, pairs are counted and ranked where they are made
+    asked = questions.select(*place, "question_id", "question").repartition("question_id")
+    q = asked.select(*place, "question_id", F.explode(tokens(F.col("question"), stop)).alias("token"))
     r = rows.select(*place, "row_id", F.explode(tokens(F.col("search_text"), stop)).alias("token"))
     return q.join(r, [*place, "token"]).groupBy("question_id", "row_id").agg((F.count(F.lit(1)) * weight).alias("score"))
 
@@ -84,6 +86,19 @@ def numbered_evidence(evidence: DataFrame, by: str, key: list[str], order: list,
     return first.withColumn("n", n.cast("long")).where(F.col("n") <= limit).withColumn("evidence_id", F.concat(F.lit("E"), F.col("n").cast("string"))).drop("at")
 
 
+def evidence_of_rows(scores: DataFrame, held: DataFrame, limit: int = 12) -> DataFrame:
+    """(question_id, document_id, n, evidence_id): the documents of held (row_id, document_id) that hold a question's rows, in the order of score, row and
+    document. Of a row only its first `limit` documents can be among a question's first, and rows after which `limit` documents are certain are
+    not opened: each document counts for one row of all, so sums of these counts are never more than the documents there are."""
+    first = held.select("row_id", "document_id").distinct().withColumn("nth", F.row_number().over(W.partitionBy("row_id").orderBy("document_id"))).where(F.col("nth") <= limit)
+    owner = F.min("row_id").over(W.partitionBy("document_id"))
+    packs = first.withColumn("own", (owner == F.col("row_id")).cast("long")).groupBy("row_id").agg(F.collect_list("document_id").alias("documents"), F.sum("own").alias("own"))
+    order = W.partitionBy("question_id").orderBy(F.desc("score"), "row_id").rowsBetween(W.unboundedPreceding, -1)
+    opened = scores.join(packs, "row_id").withColumn("certain", F.coalesce(F.sum("own").over(order), F.lit(0))).where(F.col("certain") < limit)
+    found = opened.select("question_id", "row_id", (-F.col("score")).alias("order"), F.explode("documents").alias("document_id"))
+    return numbered_evidence(found, "question_id", ["document_id"], ["order", "row_id"], limit)
+
+
 def citations(answers: DataFrame, available: DataFrame) -> DataFrame:
     """answers(answer_id, answer, cited) with the cited ids in order that exist in available(answer_id, ids), and the invalid ones."""
     inline = F.regexp_extract_all("answer", F.lit(r"\[(E\d+)\]"), F.lit(1))

@@ -54,3 +54,27 @@ def test_repair_queries_change_one_compared_letter(spark, tmp_path):
     assert rows(E.evidence_repair(spark, str(tmp_path))) == [(1, True)]
     (got,) = E.repair_windows(spark, str(tmp_path)).collect()
     assert got.similarity == round(1 - 1 / len(line.replace("ß", "ss")), 6)
+
+
+def test_evidence_opens_first_documents_only(spark):
+    """Rows share documents: a question's first documents, by brute force; rows bring hundreds of documents."""
+    held = [(r, d) for r in range(1, 9) for d in range(500) if (d * 7 + r) % (r + 1) == 0 or d < r % 3]
+    scores = [(q, r, 5 * ((q * r) % 4 + 1)) for q in range(30) for r in range(1, 9) if (q + r) % 3]
+    s, h = spark.createDataFrame(scores, "question_id long, row_id long, score long"), spark.createDataFrame(held, "row_id long, document_id long")
+    for limit in (1, 3, 12):
+        want = []
+        for q in range(30):
+            best = {}
+            for qq, r, x in scores:
+                for rr, d in held if qq == q else ():
+                    if rr == r:
+                        best[d] = min(best.get(d, (1, 0)), (-x, r))
+            want += [(q, d, f"E{n}") for n, d in enumerate(sorted(best, key=lambda d: (best[d], d))[:limit], 1)]
+        assert rows(retrieve.evidence_of_rows(s, h, limit).select("question_id", "document_id", "evidence_id")) == sorted(want)
+
+
+def test_excerpts_are_found_without_tokens(spark):
+    """Excerpts meet texts as they are: cut words, repeats, sources that share an id, texts without blanks."""
+    claims = spark.createDataFrame([(1, "b  c"), (2, " x\ny z "), (3, ""), (4, None), (5, "b c")], "claim_id int, excerpt string")
+    texts = spark.createDataFrame([(1, "ab cd"), (1, "bb\tcc"), (2, "xx y zz"), (3, None), (4, "abcd")], "document_id int, text string")
+    assert rows(evidence.containing(claims, texts)) == [(1, 1), (1, 1), (2, 2), (5, 1), (5, 1)]
