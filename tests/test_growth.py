@@ -78,3 +78,13 @@ def test_excerpts_are_found_without_tokens(spark):
     claims = spark.createDataFrame([(1, "b  c"), (2, " x\ny z "), (3, ""), (4, None), (5, "b c")], "claim_id int, excerpt string")
     texts = spark.createDataFrame([(1, "ab cd"), (1, "bb\tcc"), (2, "xx y zz"), (3, None), (4, "abcd")], "document_id int, text string")
     assert rows(evidence.containing(claims, texts)) == [(1, 1), (1, 1), (2, 2), (5, 1), (5, 1)]
+
+
+def test_rows_that_score_alike_are_met_once(spark):
+    """Of 300 rows with the same texts and status the first three stay, with the row that a question names."""
+    from ledgerloom.operators import questions as Q
+
+    r = spark.range(300).select(F.lit(1).alias("portfolio_id"), F.col("id").alias("row_id"), F.col("id").alias("row_order"), F.lit("s").alias("section"), F.concat(F.lit("part-"), F.col("id").cast("string")).alias("field_id"), F.lit("red wheel").alias("label"), F.lit("EQUAL").alias("status"), F.lit("red wheel").alias("search_text"))
+    q = spark.createDataFrame([(1, 1, "red wheel, part-250?")], "question_id long, portfolio_id int, question string")
+    assert {x for (x,) in Q.telling_rows(q, r, 3).select("row_id").collect()} == {0, 1, 2, 25, 250}
+    assert [x.row_id for x in Q.best_rows(q, r, 3).orderBy("rank").collect()] == [2, 25, 250]
