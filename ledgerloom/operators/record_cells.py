@@ -107,5 +107,7 @@ def compare_records(records: DataFrame, members: DataFrame, items: DataFrame, al
     """Comparison rows of records inside the portfolios of members (portfolio_id, entity_id, position): repeats of an item under one field
     need review, scalars have none."""
     place = members.select("portfolio_id", "entity_id")
-    scalars = compare.comparison_rows(scalar_cells(records).join(place, "entity_id"), members, repeats_need_review=False)
-    return scalars.unionByName(compare.comparison_rows(collection_cells(records, items, alias_norms).join(place, "entity_id"), members))
+    held = [F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0))), F.lit(0)) for c in COLLECTIONS]
+    n, *sizes = records.agg(F.count(F.lit(1)), *held).first()
+    scalars = compare.comparison_rows(scalar_cells(records).join(place, "entity_id"), members, repeats_need_review=False, size=n * len(SCALARS))
+    return scalars.unionByName(compare.comparison_rows(collection_cells(records, items, alias_norms).join(place, "entity_id"), members, size=sum(sizes)))
