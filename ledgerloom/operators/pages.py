@@ -117,6 +117,9 @@ def cut(text: str, size: int, overlap: int, back: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if a < b]
 
 
+ROWS = 256  # pages cut together: their text, places and pieces are all that Python holds beside the batch
+
+
 def chunks(pages: DataFrame, text: str = "clean_text", size: int = 3000, overlap: int = 250, back: int = 500) -> DataFrame:
     """Chunks of at most `size` characters with exact offsets. Greedy inside a page, parallel over pages, Arrow batches.
     A page of one chunk needs no places, only its white space taken off."""
@@ -130,7 +133,7 @@ def chunks(pages: DataFrame, text: str = "clean_text", size: int = 3000, overlap
         return [(lead, len(t.rstrip()))] if lead < len(t) else []
 
     def split(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             texts = batch.column(2).to_pylist()
             found = [spans(t) if t else [] for t in texts]
             n = np.array([len(x) for x in found], np.int64)
