@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 
 def job_ids(files: DataFrame, by: str, sha256: str) -> DataFrame:
@@ -32,49 +33,35 @@ def duplicate_ids(records: DataFrame, key: str) -> DataFrame:
     return records.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def first_of_each(key, frames, state):
-    """Rows of one id with `refused`: the first one in order is taken, unless an earlier batch has taken one; what was taken is state. Only the
-    row that is first so far is held."""
-    import pandas as pd
-
-    held, taken = None, state.exists
-    for frame in frames:
-        rows = frame if held is None else pd.concat([held, frame])
-        if not taken:
-            rows = rows.sort_values(["__order", "__row"], kind="stable")
-            held, rows = rows.head(1), rows.iloc[1:]
-        if len(rows):
-            yield rows.assign(__refused=True)
-    if held is not None:
-        state.update((held["__order"].iloc[0],))
-        yield held.assign(__refused=False)
-
-
-def guarded(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """The rows of a stream with a boolean `refused`: of the rows with one id the first (least `order`, then by content) that ever came is
-    taken, those after it, in the same batch or any later one, are refused. The ids taken are the stream's state, in its checkpoint, so a run after
-    a restart knows them. Rows travel as JSON, with their types. Null ids are one id."""
-    whole = F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"})
-    narrow = stream.select(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("__key"), F.col(order).cast("string").alias("__order"), whole.alias("__row"))
-    if stream.schema[order].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):  # as text, numbers sort by digits
-        narrow = narrow.withColumn("__order", F.when(F.startswith("__order", F.lit("-")), F.concat(F.lit("-"), F.lpad((F.lit(2**63 - 1) + F.col("__order").cast("long")).cast("string"), 20, "0"))).otherwise(F.lpad("__order", 20, "0")))
-    narrow = narrow.withColumn("__order", F.coalesce("__order", F.lit("")))
-    marked = narrow.groupBy("__key").applyInPandasWithState(first_of_each, "__key string, __order string, __row string, __refused boolean", "taken string", "append", "NoTimeout")
-    return marked.select(F.from_json("__row", stream.schema).alias("row"), F.col("__refused").alias("refused")).select("row.*", "refused")
+def guarded(batch: DataFrame, earlier: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of a batch with a boolean `refused`: of the rows with one id the first (least `order`, nulls first, then by content) is taken, those after
+    it are refused, and all whose id is among the ids (`id`) of earlier batches. One exchange by id, no join: an earlier id is a row before all others.
+    Null ids are one id."""
+    rest = [c for c in batch.columns if c not in (key, order)]
+    content = [F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})] if rest else []
+    rows = batch.withColumn("__earlier", F.lit(False)).unionByName(earlier.select(F.col("id").alias(key), F.lit(True).alias("__earlier")), allowMissingColumns=True)
+    # dealt before the window, so that content is written out behind the exchange
+    nth = F.row_number().over(W.partitionBy(key).orderBy(F.desc("__earlier"), F.asc_nulls_first(order), *content))
+    return rows.repartition(key).withColumn("refused", nth > 1).where(~F.col("__earlier")).drop("__earlier")
 
 
 def run_guarded(spark: SparkSession, source: str, schema: T.StructType, key: str, order: str, sink: str, checkpoint: str, max_files: int = 1000) -> None:
-    """Everything new under `source` into `sink`/taken and `sink`/refused (Parquet), each id once over all runs, see guarded(). A batch's folders are
-    written over if it is replayed."""
+    """Everything new under `source` into `sink`/taken and `sink`/refused (Parquet), each id once over all runs, see guarded(). The ids that a batch takes
+    are kept in `checkpoint`/ids, so a run after a restart knows them; a batch looks at those of batches before it, and its folders are written over if it
+    is replayed. A checkpoint without them (of an earlier version) is not gone on with."""
+    ids = T.StructType([T.StructField("id", schema[key].dataType), T.StructField("batch", T.LongType())])
 
     def batch(df: DataFrame, number: int) -> None:
-        df = df.persist()
-        for name, refused in (("taken", False), ("refused", True)):
-            df.where(F.col("refused") == refused).drop("refused").write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
+        here = df.sparkSession
+        earlier = here.read.schema(ids).parquet(f"{checkpoint}/ids").where(F.col("batch") < number) if number else here.createDataFrame([], ids)
+        df = guarded(df, earlier, key, order).persist()
+        taken = df.where(~F.col("refused")).drop("refused")
+        for rows, path in ((taken, f"{sink}/taken"), (df.where("refused").drop("refused"), f"{sink}/refused"), (taken.select(F.col(key).alias("id")), f"{checkpoint}/ids")):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
         df.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    guarded(stream, key, order).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_available(spark: SparkSession, source: str, schema: T.StructType, job: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, max_files: int = 1000) -> None:
