@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.text import decimal_key, fold, snake
+from ledgerloom.functions.text import decimal_key, fold, snake_of
 from ledgerloom.operators.taxonomy import resolved
 
 #: fixed values: which money facts a record keeps, and its sections of items
@@ -28,17 +28,19 @@ def any_of(key: Column, words: list[str]) -> Column:
 
 def contractual_code(path: Column, value: Column) -> Column:
     """Code of a contractual field's text by the field's rules; other fields, null and blank texts have none."""
-    key = fold(value)
-    scope = F.when(any_of(key, WORLDWIDE), "WORLDWIDE").when(key.isin(HOME_SCOPE), "BRAZIL")
-    law = F.when(any_of(key, HOME_LAW), "BR")
-    trigger = F.when(key == "occurrence", "OCCURRENCE")
-    for words, code in reversed(TRIGGERS):
-        trigger = F.when(any_of(key, words), code).otherwise(trigger)
-    by_path = {"contractual_terms.geographic_scope": scope, "contractual_terms.jurisdiction": law, "contractual_terms.coverage_trigger": trigger}
-    out = F.lit(None).cast("string")
-    for name, code in by_path.items():
-        out = F.when(path == name, F.coalesce(code, snake(value))).otherwise(out)
-    return F.when(key != "", out)
+    def of(key):
+        scope = F.when(any_of(key, WORLDWIDE), "WORLDWIDE").when(key.isin(HOME_SCOPE), "BRAZIL")
+        law = F.when(any_of(key, HOME_LAW), "BR")
+        trigger = F.when(key == "occurrence", "OCCURRENCE")
+        for words, code in reversed(TRIGGERS):
+            trigger = F.when(any_of(key, words), code).otherwise(trigger)
+        by_path = {"contractual_terms.geographic_scope": scope, "contractual_terms.jurisdiction": law, "contractual_terms.coverage_trigger": trigger}
+        out = F.lit(None).cast("string")
+        for name, code in by_path.items():
+            out = F.when(path == name, F.coalesce(code, snake_of(key))).otherwise(out)
+        return F.when(key != "", out)
+
+    return F.element_at(F.transform(F.array(fold(value)), of), 1)  # folded once, not once a rule
 
 
 def policy_id(hint: Column, number: Column, document: Column) -> Column:

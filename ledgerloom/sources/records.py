@@ -42,6 +42,25 @@ RECORD = (
     .add("clauses", item(("category", T.StringType()), ("summary", T.StringType()), ("conditions", TEXTS)))
     .add("extraction", T.StructType().add("schema_version", "string").add("extraction_method", "string").add("extractor_model", "string").add("extracted_at", "timestamp").add("warnings", TEXTS).add("errors", TEXTS))
 )
+
+
+def filled(value: Column, has: T.DataType, wanted: T.DataType) -> Column:
+    """A value as one of a wider type: fields that it does not have are null, also inside arrays. A struct that is null is one of nulls, so that what is
+    asked of it is seen through."""
+    if isinstance(wanted, T.StructType):
+        one = lambda f: filled(value[f.name], has[f.name].dataType, f.dataType) if f.name in has.fieldNames() else F.lit(None).cast(f.dataType)
+        return F.struct(*(one(f).alias(f.name) for f in wanted.fields))
+    if isinstance(wanted, T.ArrayType):
+        return F.transform(value, lambda x: filled(x, has.elementType, wanted.elementType))
+    return value.cast(wanted)
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """Rows that have some columns and fields of RECORD as records with all of them."""
+    has = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.select(*((filled(F.col(f.name), has[f.name], f.dataType) if f.name in has else F.lit(None).cast(f.dataType)).alias(f.name) for f in RECORD.fields))
+
+
 REQUIRED = ["policy_id", "source_documents", "identification", "contractual_terms", "extraction"]
 
 
