@@ -52,23 +52,25 @@ def assembled(facts: DataFrame, by: str = "document_id") -> DataFrame:
     """Records (policy_id, by, identification, contractual_terms, policy_limits, policy_deductibles, coverages, extensions, exclusions,
     definitions, clauses, extraction_method) of tagged facts."""
     kind, name = F.col("kind"), F.col("field_id")
-    value = F.struct("status", "normalized", "raw", "amount", "currency")
-    last = lambda f: F.max_by(value, F.when((kind == "fact") & (name == f), F.col("pos"))).alias(f"f_{f}")
-    listed = lambda test, *columns: F.array_sort(F.collect_list(F.when(test, F.struct("pos", "inner_pos", *columns))))
-    loose = (kind == "money") & F.col("inner_pos").isNull()
-    price = F.struct(F.coalesce("canonical_id", "field_id").alias("canonical_id"), "amount", "currency", "raw")
     scalars = [*TEXTS, "policy_start", "policy_end", "currency", "retroactive_date", "extended_reporting_period", *CODED]
+    listed = lambda test, *columns: F.sort_array(F.collect_list(F.when(test, F.struct("pos", "inner_pos", *columns))))
+    loose = (kind == "money") & F.col("inner_pos").isNull()
+    price = F.struct(F.coalesce("canonical_id", "field_id").alias("canonical_id"), "amount", "currency", "raw").alias("m")
+    # one list a kind, not an aggregate for each field: what tells the fields apart stands last, so that it orders nothing
     folded = facts.groupBy(by).agg(
-        *map(last, scalars),
-        F.min_by(price, F.when(loose & (name == "premium"), F.col("pos"))).alias("premium"),
-        *(listed(loose & name.isin(names), price.alias("m")).alias(c) for c, names in (("policy_limits", LIMITS), ("policy_deductibles", DEDUCTIBLES))),
-        listed((kind == "money") & F.col("inner_pos").isNotNull(), price.alias("m")).alias("inner"),
-        *(listed((kind == "item") & (name == s), "canonical_id", F.col("raw").alias("name"), "category", "given_confidence", "confidence").alias(s) for s in SECTIONS),
+        F.reverse(listed((kind == "fact") & name.isin(scalars) & F.col("pos").isNotNull(), "status", "normalized", "raw", name.alias("name"))).alias("facts"),
+        listed(loose & name.isin("premium", *LIMITS, *DEDUCTIBLES), price, name.alias("of")).alias("money"),
+        listed((kind == "money") & F.col("inner_pos").isNotNull(), price).alias("inner"),
+        listed((kind == "item") & name.isin(SECTIONS), "canonical_id", F.col("raw").alias("name"), "category", "given_confidence", "confidence", name.alias("of")).alias("items"),
         listed(kind == "definition", F.col("canonical_id").alias("canonical_term"), F.col("raw").alias("original_term"), F.col("text").alias("definition_text")).alias("definitions"),
         listed(kind == "clause", "canonical_id", F.col("raw").alias("name"), "category", F.col("text").alias("summary")).alias("clauses"),
         F.max(F.when(kind == "document", F.col("raw"))).alias("hint"),
         F.max(F.when(kind == "document", F.col("status"))).alias("extraction_method"),
     )
+    of_kind = lambda c, names: F.filter(c, lambda x: x["of"].isin(names))
+    last = lambda f: F.get("facts", F.array_position(F.col("facts")["name"], f).cast("int") - 1).alias(f"f_{f}")
+    premium = F.get(F.filter("money", lambda x: (x["of"] == "premium") & x["pos"].isNotNull()), 0)["m"].alias("premium")
+    folded = folded.select(by, "hint", "extraction_method", "inner", "definitions", "clauses", premium, of_kind("money", LIMITS).alias("policy_limits"), of_kind("money", DEDUCTIBLES).alias("policy_deductibles"), *(of_kind("items", [s]).alias(s) for s in SECTIONS), *map(last, scalars))
     of = lambda f: F.col(f"f_{f}")
     said = lambda f: F.coalesce(of(f)["normalized"], of(f)["raw"])
     day = lambda f: F.when(of(f)["status"] == "FOUND", date_or_null(said(f)))
@@ -87,8 +89,8 @@ def assembled(facts: DataFrame, by: str = "document_id") -> DataFrame:
     texts = [text_field(of(f)).alias(f) for f in TEXTS if f != "document_version"]
     dated = text_field(of("document_version"))
     identification = F.struct(*texts, F.struct(dated["status"].alias("status"), version(dated["value"]).alias("value")).alias("document_version"))
-    span = F.struct(duration(said("extended_reporting_period"))["number"].alias("number"), duration(said("extended_reporting_period"))["unit"].alias("unit"))
-    span = F.when(span["number"].isNotNull() & span["unit"].isNotNull(), span)
+    whole = lambda d: F.when(d["number"].isNotNull() & d["unit"].isNotNull(), F.struct(d["number"].alias("number"), d["unit"].alias("unit")))
+    span = F.get(F.transform(F.array(duration(said("extended_reporting_period"))), whole), 0)  # read once, not once for each mention
     money = F.struct(F.when(F.col("premium.amount").isNotNull(), "FOUND").otherwise("NOT_FOUND").alias("status"), F.col("premium.amount").alias("value"), F.col("premium.currency").alias("currency"))
     coded = [c for f in CODED for c in (text_field(of(f)).alias(f), contractual_code(F.lit(f"contractual_terms.{f}"), text_field(of(f))["value"]).alias(f"{f}_canonical"))]
     terms = F.struct(period(day("policy_start"), day("policy_end")).alias("policy_period"), text_field(of("currency")).alias("currency"), money.alias("premium"), typed(of("retroactive_date"), date_or_null(said("retroactive_date"))).alias("retroactive_date"), typed(of("extended_reporting_period"), span).alias("extended_reporting_period"), *coded)
