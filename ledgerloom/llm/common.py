@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,9 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    # shuffle files of what has been written stay until the driver collects its garbage, of which it makes no more when the data grow
+    gc.collect()
+    jvm.System.gc()
 
 
 def sweep(spark: SparkSession, begin: int, keep: list[str]) -> None:

@@ -190,6 +190,20 @@ def tree_join(sets: list[np.ndarray], num: int, den: int, levels: int) -> np.nda
     return pairs[(i != j) & (overlap * (num + den) >= num * (size[i] + size[j]))]
 
 
+WORDS = 1 << 20  # words of bits in which the texts of groups are marked, at most: 64 texts a word
+
+
+def among(rows: DataFrame, members: DataFrame, most: int = WORDS) -> DataFrame:
+    """The rows (doc_id, text, row) without nearly all those whose `row` no member has: members set bits by their hash, and a row stays if its bit is
+    set. Beyond 64 * most members fewer rows go, and none too many."""
+    marks = members.select("row").distinct()
+    words = F.lit(min(max(marks.count(), 1), most)).cast("long")
+    place = F.struct(F.pmod(F.col("row"), words).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("row"), F.lit(64)).cast("int")).alias("bit"))
+    bits = marks.select(place.alias("at")).groupBy(F.col("at.word").alias("word")).agg(F.bit_or("at.bit").alias("bits"))
+    held = rows.withColumn("at", place).join(F.broadcast(bits), F.col("at.word") == F.col("word"))
+    return held.where(F.col("bits").bitwiseAND(F.col("at.bit")) != 0).select(rows.columns)
+
+
 def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block: int = 500, most_split: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): two documents link when den * overlap >= num * union."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
@@ -233,7 +247,7 @@ def components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, b
     sent = members.join(F.broadcast(hot) if hot.count() < most_split else hot, "center", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sent = sent.select("center", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "doc_id", "row")
-    sent = sent.hint("merge").join(rows, ["doc_id", "row"])  # the same plan at every size
+    sent = sent.hint("merge").join(among(rows, members), ["doc_id", "row"])  # the same plan at every size
     keys = ["center", "lo", "hi"]
 
     def joined(batches):
